@@ -33,9 +33,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back, so that lost executors cost no recomputation."""
+def few(spark: SparkSession) -> int:
+    """Files of a table that is narrow and small beside its input: an eighth of the shuffle's partitions."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+
+
+def materialize(df: DataFrame, name: str, files: str = "as is") -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back, so that lost executors cost no recomputation.
+
+    files: "as is"; "fewer" for a narrow table whose last stage is light (its tasks do more each); "gathered"
+    for one whose last stage is heavy (a small shuffle follows it). Each file costs its creation, the setting
+    of its rights and a read later, whatever its size.
+    """
     spark = df.sparkSession
+    if files != "as is":
+        df = df.coalesce(few(spark)) if files == "fewer" else df.repartition(few(spark))
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -69,3 +81,14 @@ def _clean() -> None:
         except Exception:
             return
 
+
+#: Most rows and bytes of a batch that goes to a Python worker.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hold what a Python worker has at once to a few MB, however long the texts are: lower the session's batch limits where they are higher."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(name, None)
+        if now is None or not now.isdecimal() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))

@@ -17,6 +17,8 @@ by their text; repeated rows stand one after the other. An empty table gives no
 
 from __future__ import annotations
 
+import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,13 +31,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import make_dir, materialize, new_path
+from .scratch import bound_batches, make_dir, materialize, new_path
 
 LENGTH, END_ID = 2048, 2
 #: Sequences in a batch of a file.
 BATCH = 256
 #: Words whose ids a worker remembers; beyond, it forgets all and begins anew.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 
 @cache
@@ -45,15 +47,69 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: ASCII characters that are neither letter, digit nor white space: a run of them after a word is a piece of its own.
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+
+
+def byte_letters() -> dict[int, str]:
+    """For each byte the character that byte-level vocabularies write it as: itself if it is printable, else the next from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+LETTERS = byte_letters()
+
+
 class Encoder:
     """Encodes texts word by word with a memory.
 
     The tokenizer drops ASCII white space and makes no token across it, so a text's ids are its words' ids
-    one after the other (tests hold this against encoding whole texts). Words are kept as UTF-8.
+    one after the other (tests hold this against encoding whole texts). Words are kept as UTF-8. A word of
+    composed letters is normalised by lower case alone and is one piece, so it goes to the tokenizer's model
+    directly; so does such a word before a run of marks. Every other word takes the whole way.
     """
 
     def __init__(self, path: str):
         self.tokenizer, self.known = tokenizer(path), {}
+        self.model = self.tokenizer.model
+        self.packers = [struct.Struct(f"<{n}I").pack for n in range(256)]
+
+    def whole(self, words: list[bytes]) -> list[bytes]:
+        got = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return [np.array(e.ids, np.uint32).tobytes() for e in got]
+
+    def letters(self, word: bytes) -> bytes | None:
+        """The ids of a word of letters; None if it is no such word."""
+        if len(word) > 60:
+            return None
+        if word.isalpha():
+            piece = word.lower().decode()
+        else:
+            low = (text := word.decode()).replace("Σ", "σ").lower()  # a last sigma is like others there
+            if not text.isalpha() or not low.isalpha() or not unicodedata.is_normalized("NFC", text):
+                return None
+            piece = low.encode().decode("latin-1").translate(LETTERS)
+        ids = [t.id for t in self.model.tokenize(piece)]
+        return self.packers[len(ids)](*ids)
+
+    def learn(self, words: set[bytes]) -> None:
+        known, letters, rest = self.known, self.letters, []
+        for w in words:
+            base = w.rstrip(MARKS)
+            ids = (known.get(base) if base.isalpha() else None) or letters(base) if base else None
+            if ids is None:
+                rest.append(w)
+            elif len(base) == len(w):
+                known[w] = ids
+            else:
+                end = w[len(base) :]
+                if end not in known:
+                    known[end] = self.whole([end])[0]
+                known[w] = ids + known[end]
+        for i in range(0, len(rest), 5000):
+            part = rest[i : i + 5000]
+            known.update(zip(part, self.whole(part), strict=True))
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         known, words = self.known, [t.encode().split() for t in texts]
@@ -62,11 +118,7 @@ class Encoder:
             if len(known) + len(new) > REMEMBERED:
                 known.clear()
                 new = {w for ws in words for w in ws}
-            new = list(new)
-            for i in range(0, len(new), 20_000):
-                part = new[i : i + 20_000]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, np.uint32).tobytes()
+            self.learn(new)
         return [np.frombuffer(b"".join(map(known.__getitem__, ws)), np.uint32) for ws in words]
 
 
@@ -124,6 +176,7 @@ class Packer:
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """Write Arrow files under path; return the manifest: part, file, n_docs, n_tokens, base (ids in the parts before)."""
     spark = docs.sparkSession
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_t"))
     # bounds come from the ids alone; a span of equal ids is the only thing that can't be cut
     rows = rows.repartitionByRange("_id").sortWithinPartitions("_id", "_t")

@@ -208,6 +208,19 @@ def test_tokens(data, empty):
     assert tokens.digest(empty).count() == 0
 
 
+def test_encoder_is_exact_on_odd_texts():
+    import random
+
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    t, e, r = Tokenizer.from_file(path("word_bpe_49k.json")), tokens.Encoder(path("word_bpe_49k.json")), random.Random(2)
+    odd = ["a", "Z", "é", "e\u0301", "İ", "ß", "ẞ", "ﬁ", "Σ", "ς", "ー", "中", "أ", "ª", "가", "\u212b", "\u212a", "'", "s", "t", ".", "#", "1", "²", "\x1c", "\xa0", "\u200b", "😀", "<|endoftext|>", "-", "\x00", "ǅ", "ʰ", "\u0301", "\u093c", "क"]
+    for _ in range(6000):
+        text = "".join(r.choice(odd) + (" " if r.random() < 0.2 else "") for _ in range(r.randint(1, 12)))
+        assert e.ids([text])[0].tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
 def test_random_access_without_copies(data, tmp_path):
     from public_tokenizers import path
 

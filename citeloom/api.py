@@ -182,6 +182,10 @@ TEXT_FUNCTIONS = {
     "key_for_text": (lambda t: key_for_text(t)["key"], "string"), "key_reason": (lambda t: key_for_text(t)["reason"], "string"), "has_citation": (lambda t: has_citation(t, SEED, Options()), "boolean"),
     "case_name": (fm.case_name, "string"), "toa_sort_key": (fm.toa_sort_key, "string"), "normalize_citation": (fm.normalize_citation, "string"), "canlii_url": (canlii_citation_url, "string"), "supra_hint": (sf.supra_hint, "string"),
     "excerpt_kind": (lambda t: ex.classify(t, Options())["kind"], "string"), "clean_html": (lambda t: clean(t, ["html_structural"]).text, "string"), "reference_kind": (lambda t: sf.reference_info(t)["kind"], "string"),
+    "format_text": (lambda t: next((fm.full(c) for c in _full(t, Options())), None), "string"), "heading_of": (lambda t: next((fm.heading(c["authority"]) for c in _full(t, Options())), None), "string"),
+    "justice_laws_url": (lambda t: next((urls.justice_laws(c) for c in _full(t, Options())), None), "string"), "collapse_locators": (lambda t: fm.collapse([(x.strip(), None) for x in t.split(",")]), "string"),
+    "section_anchor": (lambda t: urls.source_anchor("", "section", t), "string"), "supra_label": (lambda t: next((fm.supra(fm.short_label(c), 4, fm.pinpoints(c["pinpoints"])) for c in _full(t, Options())), None), "string"),
+    "short_label": (lambda t: next((fm.short_label(c) for c in _full(t, Options())), None), "string"), "citation_signal": (ex.has_signal, "boolean"), "normal_short_form": (sf.normalize, "string"),
     "clause_count": (lambda t: len(nt.pure_reference_clauses(t) or []), "int"), "part_count": (lambda t: len(nt.split(t, Options())["parts"]), "int"), "citation_cue": (ex.has_cue, "boolean"),
 }
 

@@ -52,6 +52,8 @@ def reporter_of(g: Registry, written: str, year: str | None, bracketed: bool, o)
         return priority(r["jurisdiction"], o.jurisdiction_priority), bool(year) and bracketed != r["year_volume"], outside, written not in r["editions"]
 
     scored = [(r, score(r)) for r in rows]
+    if o.year_runs:  # years rule out, even where nothing else is left
+        scored = [(r, s) for r, s in scored if not s[2]]
     if any(not s[2] for _, s in scored):  # evidence of the year goes before the setting
         scored = [(r, s) for r, s in scored if not s[2]]
     return select("reporter", scored)
@@ -120,7 +122,7 @@ def classify(c: dict, family: str, m: re.Match, g: Registry, o) -> bool:
         if family == "reporter" and not (bracketed or v.get("volume")):
             return False
         chosen, readings = reporter_of(g, written, year, bracketed, o)
-        if family != "unknown_reporter" and not readings:
+        if not readings and (family != "unknown_reporter" or fold(written) in g.by_reporter):
             return False
         c |= {"authority": "case", "format": "reporter"}
         f |= {"volume": v.get("volume"), "reporter": written, "page": v["page"], "bracketed": bracketed}

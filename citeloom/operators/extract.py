@@ -45,6 +45,8 @@ def read(text: str, o: Options, g: Registry = SEED, notes: list[dict] | None = N
     by = {c["index"]: c for c in citations}
     for c in citations:
         c["url"] = url(c if c["form"] == "full" or c["antecedent"] is None else by[c["antecedent"]], o.language, g) if c["form"] == "full" or c["antecedent"] is not None else None
+    if o.source_only:
+        citations = [c for c in citations if c["form"] != "full" or (c["jurisdiction"] or "").startswith("us") and c["style"]]
     # filters come last: what they drop may still be an antecedent
     return [c for c in citations if (not o.remove_ambiguous or not is_ambiguous(c)) and (o.authorities is None or c["authority"] in o.authorities or c["form"] != "full") and (o.forms is None or c["form"] in o.forms)]
 

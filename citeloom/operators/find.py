@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from ..functions.text import plain
+from ..schema import GUIDES
 from ..sources.registry import SEED, Registry
 from . import grammar as gr
 from . import metadata as md
@@ -19,6 +20,11 @@ FAMILIES_OF = {
 }
 
 
+ANY = frozenset(GUIDES)
+#: Guides whose forms a family is; other families are of all guides.
+FAMILY_GUIDES = {"short": {"bluebook"}, "code": {"bluebook", "mcgill"}, "paper": {"oscola", "aglc", "nzlsg"}, "regulation_qc": {"mcgill", "coal"}, "bill": {"mcgill", "coal", "bluebook"}}
+
+
 def blank(form: str, start: int, end: int, text: str) -> dict:
     s = md.span(text, start, end)
     return {
@@ -66,6 +72,9 @@ def anchors(text: str, g: Registry, o) -> list[dict]:
     """Cores of full and short citations, in order, without overlaps."""
     read = repair(text) if o.ocr_repairs else text
     families = gr.families(g)
+    families = [x for x in families if FAMILY_GUIDES.get(x[0], ANY) & set(o.styles)]
+    if not o.reporter_names:
+        families = [x for x in families if x[0] not in ("unknown_reporter", "law_reports", "journal")]
     if o.authorities is not None:
         wanted = set().union(*(FAMILIES_OF.get(a, set()) for a in o.authorities))
         families = [x for x in families if x[0] in wanted]

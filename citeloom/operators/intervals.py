@@ -21,6 +21,12 @@ def greedy(rows: DataFrame, by: list[str], start: str, end: str, tie: str) -> Da
     return g.select(*by, F.explode(F.aggregate("a", empty, step, lambda acc: acc["kept"])).alias("k")).select(*by, F.col("k.s").alias(start), (-F.col("k.e")).alias(end), F.col("k.t").alias(tie))
 
 
+def clamped(rows: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
+    """Intervals in order, each begun at the end of those before it; one of which nothing is left goes."""
+    before = F.max(end).over(Window.partitionBy(*by).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn(start, F.greatest(F.col(start), F.coalesce(before, F.lit(0)))).where(F.col(start) < F.col(end))
+
+
 def islands(rows: DataFrame, by: list[str], start: str, end: str, gap: int) -> DataFrame:
     """Intervals with at most gap between them as one: by, start, end, n."""
     w = Window.partitionBy(*by).orderBy(start, end)

@@ -17,6 +17,7 @@ from ..functions.keys import regulation_key, statute_key
 from ..functions.text import fold_column, offset_columns
 from ..functions.urls import neutral_url
 from ..operators import intervals as iv
+from ..operators.aliases import apply_aliases, titled_chapters
 from ..operators.clean import clean, clean_column
 from ..operators.extents import volumes
 from ..operators.extract import citation_counts, clusters, extract, resolve, top_cited
@@ -260,6 +261,13 @@ text_query("excerpt_class", "excerpt_kind", f"case o_orderkey % 3 when 0 then 't
 text_query("note_split_semicolons", "part_count", f"concat('See R v A, ', {Y}, ' SCC 1', repeat(concat('; R v B, ', {Y}, ' ONCA ', o_custkey), cast(o_orderkey % 4 as int)), '.')", "parts", "SELECT o_orderkey AS doc_id, CAST(o_orderkey % 4 + 1 AS INTEGER) AS parts FROM orders")
 text_query("pure_reference_clauses", "clause_count", "concat('Ibid at ', o_custkey, repeat('; Doe, supra note 4', cast(o_orderkey % 6 as int)))", "clauses", "SELECT o_orderkey AS doc_id, CAST(CASE WHEN o_orderkey % 6 > 3 THEN 0 ELSE o_orderkey % 6 + 1 END AS INTEGER) AS clauses FROM orders")
 text_query("reference_kind", "reference_kind", "case o_orderkey % 3 when 0 then 'Ibid at 5' when 1 then 'Doe, supra note 3' else 'Doe' end", "kind", "SELECT o_orderkey AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN 'ibid' WHEN 1 THEN 'supra' ELSE '' END AS kind FROM orders")
+text_query("format_pinpoints", "format_text", f"concat('R. v. P', o_custkey, ', ', {Y}, ' SCC ', o_orderkey, ' at paras ', o_custkey % 40 + 1, ', ', o_custkey % 40 + 2, ', ', o_custkey % 40 + 3, ', ', o_custkey % 40 + 60, '.')", "formatted", f"SELECT o_orderkey AS doc_id, 'R v P' || o_custkey || ', ' || {Y} || ' SCC ' || o_orderkey || ' at paras ' || (o_custkey % 40 + 1) || '-' || (o_custkey % 40 + 3) || ', ' || (o_custkey % 40 + 60) AS formatted FROM orders")
+text_query("format_supra", "supra_label", f"concat('R. v. P', o_custkey, ', ', {Y}, ' SCC ', o_orderkey, ' at para ', o_custkey % 40 + 1, '.')", "formatted", "SELECT o_orderkey AS doc_id, 'P' || o_custkey || ', supra note 4 at para ' || (o_custkey % 40 + 1) AS formatted FROM orders")
+text_query("collapse_locators", "collapse_locators", "concat(o_custkey % 90 + 1, ', ', o_custkey % 90 + 2, ', ', o_custkey % 90 + 3, ', ', o_custkey % 90 + 50, ', ', o_custkey % 90 + 50)", "locators", "SELECT o_orderkey AS doc_id, (o_custkey % 90 + 1) || '-' || (o_custkey % 90 + 3) || ', ' || (o_custkey % 90 + 50) AS locators FROM orders")
+text_query("toa_heading", "heading_of", f"case o_orderkey % 3 when 0 then concat('R v P, ', {Y}, ' SCC ', o_orderkey) when 1 then concat('Some Act, SC ', {Y}, ', c ', o_custkey % 60 + 1) else concat('X Regulations, SOR/', {Y}, '-', o_custkey) end", "heading", "SELECT o_orderkey AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN 'Jurisprudence' WHEN 1 THEN 'Legislation' ELSE 'Regulations' END AS heading FROM orders")
+text_query("url_justice_laws", "justice_laws_url", f"case when o_orderkey % 2 = 0 then concat('Criminal Code, RSC 1985, c C-', o_custkey % 60 + 1) else concat('X Regulations, SOR/', {Y}, '-', o_custkey) end", "url", f"SELECT o_orderkey AS doc_id, 'https://laws-lois.justice.gc.ca/eng/' || CASE WHEN o_orderkey % 2 = 0 THEN 'acts/C-' || (o_custkey % 60 + 1) ELSE 'regulations/SOR-' || {Y} || '-' || o_custkey END || '/' AS url FROM orders")
+text_query("source_anchor", "section_anchor", "concat(o_custkey % 300 + 1, case when o_orderkey % 2 = 0 then concat('(', o_orderkey % 9 + 1, ')') else '' end)", "anchor", "SELECT o_orderkey AS doc_id, 'sec' || (o_custkey % 300 + 1) || CASE WHEN o_orderkey % 2 = 0 THEN 'subsec' || (o_orderkey % 9 + 1) ELSE '' END AS anchor FROM orders")
+text_query("short_label", "short_label", f"concat(case when o_orderkey % 2 = 0 then 'R. v. ' else 'The Queen v. ' end, 'P', o_custkey, ', ', {Y}, ' SCC ', o_orderkey)", "label", "SELECT o_orderkey AS doc_id, 'P' || o_custkey AS label FROM orders")
 text_query("clean_html", "clean_html", "html", "plain", "", "pages", "page_id")
 SQL.pop("clean_html", None)
 
@@ -360,6 +368,38 @@ def _registry(s, d):
     return out
 
 
+@query("annotate_overlap_clamp", """
+WITH r AS (SELECT l_orderkey AS g, l_partkey % 50 AS s, l_partkey % 50 + CAST(l_quantity AS BIGINT) AS e FROM lineitem),
+c AS (SELECT g, greatest(s, coalesce(max(e) OVER (PARTITION BY g ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS s, e FROM r)
+SELECT g, s, e FROM c WHERE s < e""")
+def _clamp(s, d):
+    rows = read(s, d, "lineitem").selectExpr("l_orderkey as g", "cast(l_partkey % 50 as bigint) as s", "cast(l_partkey % 50 + cast(l_quantity as bigint) as bigint) as e")
+    return iv.clamped(rows, ["g"], "s", "e")
+
+
+@query("alias_key", f"SELECT o_orderkey AS doc_id, CASE WHEN o_custkey % 2 = 0 THEN 'shared:' || (o_custkey % 25) ELSE '4:neutral:' || (1990 + o_custkey % 25) || ':scc:' || (o_custkey % 60 + 1) END AS alias_key FROM orders")
+def _alias(s, d):
+    text = "concat('R v Doe, ', 1990 + o_custkey % 25, ' SCC ', o_custkey % 60 + 1)"
+    n = nv.neutral_citations(docs(s, d, text))
+    table = read(s, d, "orders").where("o_custkey % 2 = 0").selectExpr("concat('4:neutral:', 1990 + o_custkey % 25, ':scc:', o_custkey % 60 + 1) as written", "concat('shared:', o_custkey % 25) as key", "cast(null as string) as court").distinct()
+    odd = n.join(docs(s, d, "o_custkey % 2").withColumnRenamed("text", "odd"), "doc_id")
+    return apply_aliases(odd.where("odd = '0'"), table).select("doc_id", "alias_key").unionByName(apply_aliases(odd.where("odd = '1'"), table, use=False).select("doc_id", "alias_key"))
+
+
+@query("titled_chapters", "WITH r AS (SELECT l_orderkey AS doc_id, 'T' || (l_suppkey % 3) AS title, CASE WHEN l_returnflag = 'R' THEN NULL ELSE 'C-' || (l_suppkey % 3 + CASE WHEN l_orderkey % 5 = 0 THEN l_linenumber ELSE 0 END) END AS chapter, l_linenumber AS i FROM lineitem), k AS (SELECT doc_id, title, min(chapter) AS lo, max(chapter) AS hi FROM r WHERE chapter IS NOT NULL GROUP BY 1, 2) SELECT r.doc_id, r.title, r.i, coalesce(chapter, CASE WHEN lo = hi THEN lo END) AS borrowed FROM r LEFT JOIN k ON r.doc_id = k.doc_id AND r.title = k.title")
+def _titled(s, d):
+    rows = read(s, d, "lineitem").selectExpr("l_orderkey as doc_id", "concat('T', l_suppkey % 3) as title", "'SC' as series", "'2001' as year", "case when l_returnflag = 'R' then null else concat('C-', l_suppkey % 3 + case when l_orderkey % 5 = 0 then l_linenumber else 0 end) end as chapter", "l_linenumber as i")
+    return titled_chapters(rows).select("doc_id", "title", "i", "borrowed")
+
+
+@query("note_references", "SELECT o_orderkey AS doc_id, CAST(o_custkey AS BIGINT) AS note, CASE o_orderkey % 3 WHEN 0 THEN 'back' WHEN 1 THEN 'forward' ELSE 'unspecified' END AS direction FROM orders WHERE o_custkey < 10000")
+def _note_refs(s, d):
+    t = docs(s, d, "case o_orderkey % 3 when 0 then concat('Doe, supra note ', o_custkey) when 1 then concat('see infra note ', o_custkey) else concat('See footnote ', o_custkey) end").where("text not rlike '[0-9]{5}'")
+    back, forward = F.regexp_extract("text", r"(?i)\bsupra,?\s+(?:foot)?note\s+(\d{1,4})\b", 1), F.regexp_extract("text", r"(?i)\binfra,?\s+(?:foot)?note\s+(\d{1,4})\b", 1)
+    other = F.regexp_extract("text", r"(?i)\bsee\s+(?:also\s+)?footnotes?\s+(\d{1,4})\b", 1)
+    return t.select("doc_id", F.coalesce(F.nullif(back, F.lit("")), F.nullif(forward, F.lit("")), other).cast("long").alias("note"), F.when(back != "", "back").when(forward != "", "forward").otherwise("unspecified").alias("direction"))
+
+
 @query("stream_extract")
 def _stream(s, d):
     import tempfile

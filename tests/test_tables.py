@@ -87,3 +87,15 @@ def test_plans_stay_native(spark):
     for name in ("find_neutral", "key_neutral", "key_statute", "find_reporter_year_volume", "annotate_core", "anchor_overlap_greedy"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan, name
+
+
+def test_aliases(spark):
+    from citeloom.operators.aliases import apply_aliases, chapter_twins, closed_groups
+
+    c = spark.createDataFrame([("a", "2016 SCC 27", "scc"), ("b", "[2016] 1 SCR 631", "scc"), ("c", "[2016] 1 SCR 631", "onca"), (None, "x", None)], "key string, core string, court string")
+    a = spark.createDataFrame([("a", "K1", None), ("[2016] 1 S.C.R. 631", "K2", "scc")], "written string, key string, court string")
+    assert [r["alias_key"] for r in apply_aliases(c, a).orderBy("core", "court").collect()] == ["K1", "c", "K2", None]
+    g = spark.createDataFrame([(0, ["x", "y"]), (1, ["y", "x"]), (2, ["y", "z"]), (3, ["w"])], "index int, keys array<string>")
+    assert sorted(map(tuple, closed_groups(g).collect())) == [(0, 0, True), (1, 0, True), (2, 2, True), (3, 3, False)]
+    t = spark.createDataFrame([(1, "RSC", "1985", "C-10"), (1, "RSC", "1985", "C-10"), (1, "RSC", "1985", "C-1O"), (1, "RSC", "1985", "D-1"), (1, "RSC", "1985", "D-l")], "doc_id long, series string, year string, chapter string")
+    assert sorted(r["read"] for r in chapter_twins(t).collect()) == ["C-10", "C-10", "C-10", "D-1", "D-l"]

@@ -72,7 +72,7 @@ def _resolve(r: dict) -> dict:
     notes = sorted(r.get("notes") or [], key=lambda n: n["start"])
     if any(a["end"] > b["start"] for a, b in zip(notes, notes[1:], strict=False)):
         raise ValueError("invalid_request: notes overlap")
-    got = resolve_rows(citations, notes or None, SEED, EXTENTS)
+    got = resolve_rows(citations, notes or None, SEED, EXTENTS, r.get("locators", bool(EXTENTS)))
     by = {c["index"]: c for c in citations}
     for x in got:
         by[x["index"]]["antecedent"] = x["antecedent"]

@@ -36,7 +36,7 @@ def read(text: str, o: Options, g: Registry = SEED, notes: list[dict] | None = N
     for c in citations:
         c["key"] = key(c, g) if not is_ambiguous(c) else None
     if o.resolve:
-        for r in resolve_rows(citations, notes, g):
+        for r in resolve_rows(citations, notes, g, check_locators=o.locators):
             c = next(c for c in citations if c["index"] == r["index"])
             c["antecedent"], c["antecedent_reason"] = r["antecedent"], r["reason"]
         for k, members in enumerate(authorities(citations, g)):

@@ -261,6 +261,8 @@ def find(text: str, g: Registry = SEED, o=None, notes: list[dict] | None = None)
             seen.add((c["span"]["start"], c["span"]["end"]))
             out.append(c)
             last = c["full_span"]["end"]
+    absorb_subjects(text, out)
+    join_legislation(text, out)
     join_links(text, out)
     for i, c in enumerate(out):
         c["index"] = i
@@ -268,6 +270,47 @@ def find(text: str, g: Registry = SEED, o=None, notes: list[dict] | None = None)
     return out
 
 
+def absorb_subjects(text: str, citations: list[dict]) -> None:
+    """A comment on a decision takes in the decision that its title names: one citation, of the comment."""
+    for a, b in list(zip(citations, citations[1:], strict=False)):
+        quoted = re.search(r"[“\"]([^“”\"]{3,300})[”\"]\s*$", text[: b["span"]["start"]])
+        if b["authority"] in ("journal", "book_chapter") and a["authority"] == "case" and quoted and quoted.start() < a["span"]["start"]:
+            floor = max([0, *(c["full_span"]["end"] for c in citations if c["full_span"]["end"] <= quoted.start())])
+            s = md.work_style(text, floor, b["span"]["start"])
+            citations.remove(a)
+            b["style"] = md.span(text, *(s or (quoted.start(), md.trimmed(text, quoted.start(), b["span"]["start"])[1])))
+            b["full_span"] = md.span(text, b["style"]["start"], b["full_span"]["end"])
+            b["short_name"] = b["style"]["text"]
+            b["reasons"].append("commented_work")
+
+
+def join_legislation(text: str, citations: list[dict]) -> None:
+    """A reprint or schedule stated right after an enactment belongs to it: being Schedule B to ..., as am ..., reprinted in ..."""
+    for a, b in list(zip(citations, citations[1:], strict=False)):
+        if a["authority"] in ("statute", "constitution") and b["authority"] == "statute" and a["form"] == b["form"] == "full":
+            gap = text[a["full_span"]["end"] : b["full_span"]["start"]]
+            if re.fullmatch(r",?\s*(?:being Schedule \w+ to(?: the)?|constituant l['’]annexe \w+ de(?: la)?|reprinted in|reproduite? dans)\s*", gap):
+                a["full_span"] = md.span(text, a["full_span"]["start"], b["full_span"]["end"])
+                a["pinpoints"] += b["pinpoints"]
+                citations.remove(b)
+
+
+def anchor_titles(text: str, notes: list[dict], citations: list[dict]) -> dict[int, str]:
+    """For notes with an anchor in the body: the title of an enactment, or the one style of cause, in the sentence before it."""
+    out = {}
+    for n in notes:
+        if n.get("anchor") is None:
+            continue
+        floor = md.sentence_floor(text, max(0, n["anchor"] - 300), n["anchor"])
+        sentence = text[floor : n["anchor"]]
+        titles = re.findall(r"(?:[A-ZÀ-Þ][\w'’-]*\s(?:(?:of|and|the|for|on|to)\s)*)+(?:Act|Code|Charter|Regulations?|Rules)\b", sentence)
+        names = re.findall(r"[A-ZÀ-Þ][\w'’.-]*(?:\s[A-ZÀ-Þ(][\w'’.)-]*)*\s(?:v|c)\.?\s[A-ZÀ-Þ][\w'’-]*(?:\s[A-ZÀ-Þ][\w'’-]*)*", sentence)
+        found = titles or names
+        if len(set(found)) == 1:
+            out[n["number"]] = re.sub(r"^(?:In|The|Under)\s+", "", found[0])
+    return out
+
+
 def join_links(text: str, citations: list[dict]) -> None:
     """An address right after a citation becomes the citation's."""
     for a, b in list(zip(citations, citations[1:], strict=False)):

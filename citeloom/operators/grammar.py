@@ -68,7 +68,7 @@ def _families(key: int) -> list[tuple[str, re.Pattern]]:
     journals = spelled([x for r in g.journals for x in (r["abbreviation"], *r["variations"])])
     words = r"[A-Z][\w.'’&]*(?:\s(?:of|and|de|et|the|&|[A-Z][\w.'’&]*))*"
     source = {
-        "neutral": rf"{LEFT}(?:\[(?P<bracketed>{YEAR})\]|(?P<year>{YEAR}))\s+(?P<series>{codes}|[A-Z]{{3,9}})\s+(?P<number>\d{{1,6}}[a-z]?)(?![\w(])",
+        "neutral": rf"{LEFT}(?:\[(?P<bracketed>{YEAR})\]|(?P<year>{YEAR}))\s+(?P<series>{codes}|[A-Z]{{3,9}})\s+(?P<number>\d{{1,9}}[a-z]?)(?![\w(])",
         "numberless": rf"{LEFT}(?P<year>{YEAR})\s+(?P<series>{codes})(?=\s+at\s+para|\s+\(unreported\))",
         "canlii": rf"{LEFT}(?P<year>{YEAR})\s+CanLII\s+(?P<number>\d+)(?:\s+\(CanLII\))?",
         "database": rf"{LEFT}\[?(?P<year>{YEAR})\]?\s+(?P<reporter>Carswell[A-Z]\w*|[A-Z]{{1,3}}\.?J\.?\s+No\.?|WLR?\b|U\.?S\.?\s+LEXIS|LEXIS|J\.?Q\.?\s+no\.?)\s+(?P<number>\d+)\b",

@@ -10,7 +10,7 @@ from ..functions.text import fold_column, spans_column
 from ..sources.registry import SEED, Registry, surface_rows
 
 # Fixed patterns of the native lane, with numbered groups.
-NEUTRAL = r"(?<![\w.\-/])(\[)?((?:1[6-9]|20|21)\d{2})\]?\s+([A-Z]{2,9}(?:\s(?:Civ|Crim))?)\s+(\d{1,6})(?![\w(])"
+NEUTRAL = r"(?<![\w.\-/])(\[)?((?:1[6-9]|20|21)\d{2})\]?\s+([A-Z]{2,9}(?:\s(?:Civ|Crim))?)\s+(\d{1,9})(?![\w(])"
 REPORT = r"(?<![\w.\-/])(?:\[((?:1[6-9]|20|21)\d{2})\]\s*)?(?:(\d{1,4})\s+)?((?:S\.?C\.?R|D\.?L\.?R|C\.?C\.?C|O\.?R|A\.?C|U\.S|F|F\. Supp)\.?(?:\s?\(?[2-6](?:d|th)\)?)?)\s+(\d{1,5})(?![\w(])"
 CANLII = r"(?<![\w.\-/])((?:1[6-9]|20|21)\d{2})\s+CanLII\s+(\d+)"
 DATABASE = r"(?<![\w.\-/])\[?((?:1[6-9]|20|21)\d{2})\]?\s+(Carswell[A-Z]\w*|[A-Z]{1,3}J No|WL)\s+(\d+)"

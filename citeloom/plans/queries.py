@@ -85,7 +85,7 @@ def _key_neutral(s, d):
     return nv.neutral_citations(docs(s, d, f"concat('Smith v Jones, ', {Y}, ' ', {COURT}, ' 0', o_orderkey, '.')")).select("doc_id", "key")
 
 
-@query("court_lookup_priority", f"SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 'fca' ELSE 'fca-au' END AS court, CASE WHEN o_orderkey % 2 = 0 THEN 'ca' ELSE 'au' END AS jurisdiction FROM orders WHERE {Y} >= 1990")
+@query("court_lookup_priority", f"SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 'fca' ELSE 'fca-au' END AS court, CASE WHEN o_orderkey % 2 = 0 THEN 'ca' ELSE 'au' END AS jurisdiction FROM orders")
 def _court_lookup(s, d):
     text = f"case when o_orderkey % 2 = 0 then concat('Canada v Wu, ', {Y}, ' FCA ', o_custkey) else concat('Wu v Minister [', {Y}, '] FCA ', o_custkey) end"
     return nv.neutral_citations(docs(s, d, text)).select("doc_id", "court", "jurisdiction")
@@ -184,6 +184,7 @@ pipeline("ibid_barrier", f"concat('R v P, ', {Y}, ' SCC ', o_orderkey, '. Under
 pipeline("reference_by_name", f"concat('R v Person', o_custkey, ', ', {Y}, ' SCC ', o_orderkey, '. Later, Person', o_custkey, ' at para 12 held.')", ["doc_id", "span.text as name", "antecedent", "antecedent_reason"], "SELECT o_orderkey AS doc_id, 'Person' || o_custkey AS name, 0 AS antecedent, 'name_only' AS antecedent_reason FROM orders", where="form = 'reference'")
 pipeline("short_form_reporter", f"concat('Roe v. Wade, ', {VOL}, ' F.3d ', {PAGE}, '. Later, ', {VOL}, ' F.3d at ', {PAGE} + case when o_orderkey % 2 = 0 then 7 else -5000 + 5000 end, '.')", ["doc_id", "antecedent", "antecedent_reason"], "SELECT o_orderkey AS doc_id, 0 AS antecedent, 'short_reporter' AS antecedent_reason FROM orders", where="form = 'short'")
 pipeline("supra_by_name", f"concat('R v Alpha, ', {Y}, ' SCC ', o_orderkey, '; R v Beta, ', {Y}, ' ONCA ', o_orderkey, '. ', case when o_orderkey % 2 = 0 then 'Alpha' else 'Beta' end, ', supra note 4.')", ["doc_id", "antecedent"], "SELECT o_orderkey AS doc_id, CAST(o_orderkey % 2 AS INTEGER) AS antecedent FROM orders", where="form = 'supra'")
+pipeline("locator_veto", f"concat('R v P, [', {Y}, '] 1 SCR ', {PAGE} + 5, '. Ibid at ', {PAGE} + case o_orderkey % 3 when 0 then 12 when 1 then 356 else 4 end, '.')", ["doc_id", "antecedent", "antecedent_reason"], f"SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN 0 END AS antecedent, CASE WHEN o_orderkey % 3 = 0 THEN 'ibid_previous' ELSE 'locator_conflict' END AS antecedent_reason FROM orders", where="form = 'ibid'", locators=True)
 for _n, _t, _k in (
     ("key_reporter", f"concat('Roe v Wade, ', {VOL}, ' U.S. ', {PAGE}, ' (1973).')", f"'4:reporter:us:us:' || {VOL} || ':' || {PAGE}"), ("key_canlii", f"concat('X v Y, ', {Y}, ' CanLII ', o_orderkey, ' (ON CA)')", f"'4:canlii:' || {Y} || ':' || o_orderkey"),
     ("key_database", f"concat('X v Y, [', {Y}, '] OJ No ', o_orderkey)", f"'4:database:oj:' || {Y} || ':' || o_orderkey"), ("key_code", "concat('See ', o_orderkey % 50 + 1, ' U.S.C. § ', o_custkey)", "'4:code:usc:' || (o_orderkey % 50 + 1) || ':' || o_custkey"),
@@ -392,9 +393,9 @@ def _titled(s, d):
     return titled_chapters(rows).select("doc_id", "title", "i", "borrowed")
 
 
-@query("note_references", "SELECT o_orderkey AS doc_id, CAST(o_custkey AS BIGINT) AS note, CASE o_orderkey % 3 WHEN 0 THEN 'back' WHEN 1 THEN 'forward' ELSE 'unspecified' END AS direction FROM orders WHERE o_custkey < 10000")
+@query("note_references", "SELECT o_orderkey AS doc_id, CAST(o_custkey % 1000 AS BIGINT) AS note, CASE o_orderkey % 3 WHEN 0 THEN 'back' WHEN 1 THEN 'forward' ELSE 'unspecified' END AS direction FROM orders")
 def _note_refs(s, d):
-    t = docs(s, d, "case o_orderkey % 3 when 0 then concat('Doe, supra note ', o_custkey) when 1 then concat('see infra note ', o_custkey) else concat('See footnote ', o_custkey) end").where("text not rlike '[0-9]{5}'")
+    t = docs(s, d, "case o_orderkey % 3 when 0 then concat('Doe, supra note ', o_custkey % 1000) when 1 then concat('see infra note ', o_custkey % 1000) else concat('See footnote ', o_custkey % 1000) end")
     back, forward = F.regexp_extract("text", r"(?i)\bsupra,?\s+(?:foot)?note\s+(\d{1,4})\b", 1), F.regexp_extract("text", r"(?i)\binfra,?\s+(?:foot)?note\s+(\d{1,4})\b", 1)
     other = F.regexp_extract("text", r"(?i)\bsee\s+(?:also\s+)?footnotes?\s+(\d{1,4})\b", 1)
     return t.select("doc_id", F.coalesce(F.nullif(back, F.lit("")), F.nullif(forward, F.lit("")), other).cast("long").alias("note"), F.when(back != "", "back").when(forward != "", "forward").otherwise("unspecified").alias("direction"))

@@ -73,6 +73,7 @@ class Options:
     alias_keys: bool = True
     reporter_names: bool = True
     split_tier: str = "safe"
+    locators: bool = False
     latest_year: int = 2026
     language: str = "en"
 

@@ -15,14 +15,14 @@ def components(links: DataFrame) -> DataFrame:
     halve; it ends when nothing changed. Self links, repeated links and an empty table are fine.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null").distinct()
-    both = materialize(both, "links")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")), "labels")
+    both = materialize(both, "links", "fewer")
+    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")), "labels", "fewer")
     while True:
         there = labels.select(F.col("node").alias("b"), F.col("label").alias("there"))
         best = both.join(there, "b").groupBy(F.col("a").alias("node")).agg(F.min("there").alias("best"))
         near = labels.join(best, "node").select("node", F.col("label").alias("old"), F.least("label", "best").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = materialize(near.join(up, "label").select("node", "old", F.least("label", "up").alias("label")), "labels")
+        new = materialize(near.join(up, "label").select("node", "old", F.least("label", "up").alias("label")), "labels", "fewer")
         changed = new.where("old <> label").limit(1).count()
         drop(labels)
         path, labels = new._citeloom_path, new.select("node", "label")

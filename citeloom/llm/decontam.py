@@ -64,11 +64,11 @@ def with_prefix(windows: DataFrame, counts: DataFrame) -> DataFrame:
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """A row for each row of docs and one for each occurrence of a window in it: _id, _h, n, start (from 1; null in the former), len, items."""
-    windows = materialize(item_windows(benchmark, item_col, item_text_col, window), "windows")
+    windows = materialize(item_windows(benchmark, item_col, item_text_col, window), "windows", "fewer")
     text = F.col(f"`{text_col}`")
     tokens = docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_h"), words(text).alias("_w"))
     vocabulary = windows.select(F.explode("win").alias("word")).distinct()
-    ready = materialize(with_prefix(windows, word_counts(tokens, vocabulary)), "prefixes")
+    ready = materialize(with_prefix(windows, word_counts(tokens, vocabulary)), "prefixes", "gathered")
     each = tokens.select("_id", "_h", "_w", F.size("_w").alias("n"), F.posexplode(F.concat(F.array(F.lit("")), "_w")).alias("pos", "word"))
     out = None
     for i, part in enumerate(_blocks(ready, "win", block)):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .langid import fold
-from .scratch import materialize
+from .scratch import bound_batches, materialize
 
 STATES, CLASSES, ROUNDS, SEED = 6, 2048, 3, 7
 #: UTF-8 bytes of text in a block, beside its last text.
@@ -54,6 +54,7 @@ def _unpack(x: bytes, kind) -> np.ndarray:
 
 def read_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_col: str = "_held") -> DataFrame:
     """Rows of two kinds: a block's words (block, place, word, cls, tf: times in its training texts) and a block (block, ids, held, lengths, numbers, classes)."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{held_col}`").alias("_held"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("_t"))
     id_kind = rows.schema["_id"].dataType.simpleString()
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .quality import mix
+from .scratch import bound_batches
 
 PROFILE, LONGEST = 300, 4
 UNKNOWN = "und"
@@ -72,6 +73,7 @@ def top(values: np.ndarray, counts: np.ndarray, k: int = PROFILE) -> np.ndarray:
 
 def learn(train: DataFrame, text_col: str = "text", lang_col: str = "lang", profile: int = PROFILE) -> list[tuple[str, int, int]]:
     """lang, gram, rank of every language's profile: profile rows for each language at most."""
+    bound_batches(train.sparkSession)
     rows = train.where(F.col(f"`{text_col}`").isNotNull() & F.col(f"`{lang_col}`").isNotNull()).select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,6 +137,7 @@ def annotate(docs: DataFrame, profiles: list[tuple[str, int, int]], text_col: st
         best = int(np.argmin(sums))
         return langs[best], 1 - min(sums[best], worst) / worst
 
+    bound_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in (pred, score)]
     at = keep.index(text_col)
     rows = docs.select(*[F.col(f"`{c}`") for c in keep])

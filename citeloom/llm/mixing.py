@@ -77,9 +77,9 @@ def plan_repetitions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         narrow = sized
     else:
         narrow = materialize(sized.select("source", "size", "_step"), "sizes")
-    steps = materialize(narrow.groupBy("source", "_step").agg(F.sum("size").alias("step_size"), F.count(F.lit(1)).alias("n")), "steps")
+    steps = materialize(narrow.groupBy("source", "_step").agg(F.sum("size").alias("step_size"), F.count(F.lit(1)).alias("n")), "steps", "fewer")
     sources = steps.groupBy("source").agg(F.sum("step_size").cast("long").alias("source_size"))
-    targets = materialize(water_fill(materialize(ranked_weights(sources, weights), "sources"), max_epochs), "targets")
+    targets = materialize(water_fill(materialize(ranked_weights(sources, weights), "sources", "fewer"), max_epochs), "targets", "fewer")
     targets = targets.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
     targets = targets.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     # the words before each step of a source, from sums over coarse steps and then within one
@@ -95,7 +95,7 @@ def plan_repetitions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     fine = fine.join(t, F.col("source").eqNullSafe(F.col("s3"))).drop("s3")
     # the last step is taken if that comes nearer to the target than leaving it
     fine = fine.withColumn("more", ((F.col("c_before") + F.col("f_before") + F.col("step_size") / 2) <= F.col("rest")).cast("int"))
-    fine = materialize(fine.select(F.col("source").alias("s4"), F.col("_step").alias("st4"), "source_size", "target", "whole", "more"), "plan")
+    fine = materialize(fine.select(F.col("source").alias("s4"), F.col("_step").alias("st4"), "source_size", "target", "whole", "more"), "plan", "fewer")
     out = sized.join(fine, F.col("source").eqNullSafe(F.col("s4")) & (F.col("_step") == F.col("st4")), "left").drop("s4", "st4", "_step")
     return out.withColumn("times", F.least(F.col("whole") + F.col("more"), F.lit(max_epochs)))
 

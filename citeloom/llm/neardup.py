@@ -30,14 +30,14 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .quality import mix
-from .scratch import materialize
+from .scratch import bound_batches, materialize, sized
 
 SHINGLE, SIMILAR = 5, 0.8
 SKETCHES, ORDER, TINY = 24, 4, 8
 SMALL = 16
 #: Nodes in a block of the left and of the right side of a comparison.
 LEFT, RIGHT = 256, 1024
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 FACTORS = mix(np.arange(1, SHINGLE + 1)) | np.uint64(1)
 SEEDS = mix(np.arange(101, 101 + SKETCHES)) | np.uint64(1)
 PLACES = mix(np.arange(301, 301 + ORDER)) | np.uint64(1)
@@ -135,6 +135,7 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> bool:
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_id, node (md5 of the text, 16 bytes), keys; node is null where the text has no word."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.unhex(F.md5(f"`{text_col}`")).alias("node"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("_t"))
     kind = rows.schema["_id"].dataType.simpleString()
 
@@ -203,34 +204,34 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     nodes = made.where("node is not null").groupBy("node").agg(F.min("_id").alias("rep"))
     each = made.where("node is not null").dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
     sizes = each.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = materialize(each.join(sizes, "key"), "members")
+    members = materialize(each.join(sizes, "key"), "members", "fewer")
     candidates = members.select("node").distinct()
     # the text of a candidate comes from its representative alone, not from each copy
     wanted = nodes.join(candidates, "node").select(F.col("node").alias("n2"), "rep")
     source = docs.select(F.col(f"`{id_col}`").alias("_id"), F.unhex(F.md5(f"`{text_col}`")).alias("node"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     texts = source.join(wanted, (F.col("node") == F.col("n2")) & F.col("_id").eqNullSafe(F.col("rep"))).select("node", "text")
-    texts = materialize(texts.dropDuplicates(["node"]), "texts")
+    texts = materialize(sized(texts.dropDuplicates(["node"]), docs), "texts")
     # small buckets: all pairs; large ones: the node whose buckets hold most is the hub
     small, large = members.where(F.col("size") <= SMALL), members.where(F.col("size") > SMALL)
     other = small.select("key", F.col("node").alias("b"))
     pairs = small.select("key", F.col("node").alias("a")).join(other, "key").where("a < b").select("a", "b")
     weight = large.groupBy("node").agg(F.sum("size").alias("weight"))
     hubs = large.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("h")).select("key", F.col("h.node").alias("hub"))
-    hubs = materialize(hubs, "hubs")
+    hubs = materialize(hubs, "hubs", "fewer")
     spokes = large.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    pairs = materialize(pairs.unionByName(spokes).distinct(), "pairs")
+    pairs = materialize(pairs.unionByName(spokes).distinct(), "pairs", "fewer")
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / RIGHT).cast("int").alias("blocks"))
     dealt = pairs.join(many, "a").withColumn("task", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("blocks"))))
     none = F.lit(None).cast("binary").alias("group")
     tasks = dealt.select("task", F.lit(0).alias("side"), F.col("a").alias("node"), none).distinct().unionByName(dealt.select("task", F.lit(1).alias("side"), F.col("b").alias("node"), none))
-    links = materialize(compare(tasks, texts), "links")
+    links = materialize(compare(tasks, texts), "links", "gathered")
     groups = components(links)
     if large.limit(1).count():
         group = groups.select("node", F.col("label").alias("group"))
         of_hub = group.select(F.col("node").alias("hub"), F.col("group").alias("hub_group"))
         rest = large.join(hubs, "key").join(group, "node", "left").join(of_hub, "hub", "left")
         apart = ~F.coalesce(F.col("group") == F.col("hub_group"), F.col("node") == F.col("hub"))
-        rest = materialize(rest.withColumn("apart", apart).select("key", "node", "group", "apart"), "rest")
+        rest = materialize(rest.withColumn("apart", apart).select("key", "node", "group", "apart"), "rest", "fewer")
         sizes = rest.groupBy("key").agg(F.sum(F.col("apart").cast("int")).alias("u"), F.count(F.lit(1)).alias("g")).where("u > 0")
         sizes = sizes.select("key", F.ceil(F.col("u") / LEFT).cast("int").alias("lefts"), F.ceil(F.col("g") / RIGHT).cast("int").alias("rights"))
         rest = rest.join(sizes, "key")
@@ -238,7 +239,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         left = rest.where("apart").withColumn("l", F.pmod(block, F.col("lefts"))).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rights") - 1)))
         right = rest.withColumn("r", F.pmod(block, F.col("rights"))).withColumn("l", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)))
         deal = lambda x, side: x.select(F.xxhash64("key", F.col("l").cast("long"), F.col("r").cast("long")).alias("task"), F.lit(side).alias("side"), "node", "group")
-        more = materialize(compare(deal(left, 0).unionByName(deal(right, 1)), texts), "links")
+        more = materialize(compare(deal(left, 0).unionByName(deal(right, 1)), texts), "links", "gathered")
         groups = components(links.unionByName(more))
     of = nodes.join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = of.groupBy("label").agg(F.min("rep").alias("class_id"))
@@ -257,9 +258,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Rows that repeat that id and belong to the class too are copies: one of them stays.
     """
-    c = materialize(classes(docs, id_col, text_col).where("node is not null"), "classes")
+    c = materialize(classes(docs, id_col, text_col).where("node is not null"), "classes", "fewer")
     least = c.where(F.col("_id").eqNullSafe(F.col("class_id"))).groupBy("label", "class_id").agg(F.min(F.struct("node")).alias("m"), F.count(F.lit(1)).alias("n"))
-    least = materialize(least.select(F.col("class_id").alias("__id"), F.col("m.node").alias("__node"), "n"), "stay")
+    least = materialize(least.select(F.col("class_id").alias("__id"), F.col("m.node").alias("__node"), "n"), "stay", "fewer")
     stay, again = least.drop("n"), least.where("n > 1").limit(1).count()
     node = F.unhex(F.md5(f"`{text_col}`"))
     lone = docs.where(~F.coalesce(F.col(f"`{text_col}`"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))

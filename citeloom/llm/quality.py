@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import bound_batches
+
 #: Greatest share of the word characters in repeated n-grams, by n; published thresholds for web text.
 MOST_REPEATED = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 MOST_LINE_CHARS = 0.20
@@ -120,6 +122,7 @@ ARROW = {c: pa.int64() for c in (*LONGS, "dup_line_chars")} | {"base_failed": pa
 
 def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: the id and the figures of measure()."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias(id_col), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("_t"))
     kind = rows.schema[0].dataType.simpleString()
 

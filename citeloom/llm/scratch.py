@@ -34,8 +34,18 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def few(spark: SparkSession) -> int:
-    """Files of a table that is narrow and small beside its input: an eighth of the shuffle's partitions."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+    """Files of a table that is narrow and small beside its input: two for each core of the cluster, at most one for each of the shuffle's partitions."""
+    return max(1, min(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+#: Bytes of a source's files for one task of what is made of it.
+FILE_BYTES = 128 << 20
+
+
+def sized(df: DataFrame, source: DataFrame) -> DataFrame:
+    """df in as many tasks as its source, a table of files, has spans of FILE_BYTES, and at least two for each core; fewer stay as they are."""
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(min(1 << 30, max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_BYTES))))
 
 
 def materialize(df: DataFrame, name: str, files: str = "as is") -> DataFrame:

@@ -88,7 +88,7 @@ def placed(meta: DataFrame, shards: int, law: str = "rows", bits: int = BITS) ->
     cells = cells.select("h", F.coalesce(F.sum("n").over(up), F.lit(0)).alias("cn"), F.coalesce(F.sum("b").over(up), F.lit(0)).alias("cb"))
     within = Window.partitionBy("h").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("h", "part", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("pn"), F.coalesce(F.sum("b").over(within), F.lit(0)).alias("pb"))
-    before = materialize(parts.join(cells, "h").select("h", "part", (F.col("pn") + F.col("cn")).alias("n0"), (F.col("pb") + F.col("cb")).alias("b0")), "offsets")
+    before = materialize(parts.join(cells, "h").select("h", "part", (F.col("pn") + F.col("cn")).alias("n0"), (F.col("pb") + F.col("cb")).alias("b0")), "offsets", "fewer")
     order = Window.partitionBy("h", "part").orderBy("_id", "crc", "size")
     q = q.join(before, ["h", "part"]).withColumn("rank", F.col("n0") + F.row_number().over(order) - 1)
     n, b = meta.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()

@@ -203,7 +203,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [file], "n_docs": [packer.docs], "n_tokens": [packer.total]})
 
     assert isinstance(id_type, T.DataType)
-    manifest = materialize(rows.mapInArrow(run, "part int, file string, n_docs long, n_tokens long"), "manifest")
+    manifest = materialize(rows.mapInArrow(run, "part int, file string, n_docs long, n_tokens long"), "manifest", "gathered")
     # a row for each file, not for each document
     before = F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     return manifest.withColumn("base", F.coalesce(before, F.lit(0)))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import make_dir, materialize, new_path
+from .scratch import bound_batches, make_dir, materialize, new_path
 from .tokens import filesystem
 
 LEAST = 100
@@ -173,6 +173,7 @@ def decide(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", ur
 
 def write_archives(decided: DataFrame, path: str) -> DataFrame:
     """Write an archive for each task under path; return the manifest: file, n_records."""
+    bound_batches(decided.sparkSession)
     make_dir(decided.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

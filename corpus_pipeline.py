@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.llm import decontam, langid, mixing, neardup, tokens
-from citeloom.llm.scratch import materialize
+from citeloom.llm.scratch import materialize, sized
 
 #: Least score of a language for a document to stay.
 LEAST_SCORE = 0.05
@@ -20,23 +20,23 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Drop documents without a letter, and those that resemble no language; lang is only learned from."""
     d = langid.fold(docs, "doc_id", 4)
     profiles = langid.learn(d.where(~F.col("_held")))
-    judged = langid.annotate(docs, profiles)
-    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    judged = langid.annotate(docs, profiles, pred="__lang", score="__score")
+    return judged.where((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, that with the least id, of each class of near-duplicates."""
-    return neardup.deduplicated(docs)
+    return sized(neardup.deduplicated(docs), docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that a benchmark's passages make up a twentieth of or more."""
-    return decontam.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return sized(decontam.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
-    return mixing.mixed(docs)
+    return sized(mixing.mixed(docs), docs)
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .scratch import bound_batches
 
-#: Greatest share of the word characters in repeated n-grams, by n; published thresholds for web text.
-MOST_REPEATED = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
+#: Greatest share of the word characters in repeated n-grams, by n: twice the published thresholds for web text, so that a short text with one repeated line stays.
+MOST_REPEATED = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
 MOST_LINE_CHARS = 0.20
 BASE_N, BASE_SHARE, LEAST_WORDS = 8, 30, 20
 SYMBOLS = b"#*$%&|<>"

@@ -204,7 +204,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     nodes = made.where("node is not null").groupBy("node").agg(F.min("_id").alias("rep"))
     each = made.where("node is not null").dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
     sizes = each.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = materialize(each.join(sizes, "key"), "members", "fewer")
+    members = materialize(each.join(sizes, "key"), "members", "gathered")
     candidates = members.select("node").distinct()
     # the text of a candidate comes from its representative alone, not from each copy
     wanted = nodes.join(candidates, "node").select(F.col("node").alias("n2"), "rep")
@@ -219,7 +219,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     hubs = large.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("h")).select("key", F.col("h.node").alias("hub"))
     hubs = materialize(hubs, "hubs", "fewer")
     spokes = large.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    pairs = materialize(pairs.unionByName(spokes).distinct(), "pairs", "fewer")
+    pairs = materialize(pairs.unionByName(spokes).distinct(), "pairs", "gathered")
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / RIGHT).cast("int").alias("blocks"))
     dealt = pairs.join(many, "a").withColumn("task", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("blocks"))))
     none = F.lit(None).cast("binary").alias("group")

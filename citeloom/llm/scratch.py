@@ -34,8 +34,9 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def few(spark: SparkSession) -> int:
-    """Files of a table that is narrow and small beside its input: two for each core of the cluster, at most one for each of the shuffle's partitions."""
-    return max(1, min(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    """Files of a table that is narrow and small beside its input: a sixteenth of the shuffle's partitions, and two for each core of the cluster at least."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(parts, max(2 * spark.sparkContext.defaultParallelism, parts // 16)))
 
 
 #: Bytes of a source's files for one task of what is made of it.

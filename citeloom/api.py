@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from . import schema
+from . import schema, ship
 from .functions import formatting as fm
 from .functions import short_forms as sf
 from .functions import urls
@@ -205,6 +205,7 @@ def text_function(name: str):
 
 def register(spark: SparkSession, prefix: str = "cite_") -> None:
     """All functions of a text for SQL, and ``cite_call(method, request)`` with JSON."""
+    ship(spark)
     for name in TEXT_FUNCTIONS:
         spark.udf.register(prefix + name, text_function(name))
     import pandas as pd

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .. import ship
 from ..functions.keys import key
 from ..functions.urls import url
 from ..schema import CITATION, Options, table
@@ -57,6 +58,7 @@ def extract(docs: DataFrame, notes: DataFrame | None = None, options: Options |
     notes: doc_id, number, start, end, sequence. A text that can't be read has no citations. The map has no
     shuffle but for the join with notes; each text is read by itself.
     """
+    ship(docs.sparkSession)
     o = options or Options()
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     if notes is None:
@@ -83,16 +85,30 @@ def extract(docs: DataFrame, notes: DataFrame | None = None, options: Options |
 
 
 def resolve(citations: DataFrame, notes: DataFrame | None = None, registry: Registry = SEED) -> DataFrame:
-    """doc_id, index, antecedent, reason of every citation that is not full; by document."""
-    schema = "doc_id long, index int, antecedent int, reason string"
-    notes = notes if notes is not None else citations.sparkSession.createDataFrame([], "doc_id long, number int, start int, end int, sequence int")
+    """doc_id, index, antecedent, reason of every citation that is not full.
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = left.to_pylist()
-        got = resolve_rows(rows, right.to_pylist(), registry) if rows else []
-        return pa.Table.from_pylist([{"doc_id": rows[0]["doc_id"], "index": r["index"], "antecedent": r["antecedent"], "reason": r["reason"]} for r in got], schema=to_arrow_schema(table(schema)))
+    A document's citations and notes meet in one row, so that batches of documents go to Python and not one
+    group at a time.
+    """
+    ship(citations.sparkSession)
+    needed = [c for c in citations.columns if c not in ("doc_id", "url", "reasons", "interpretations")]
+    rows = citations.groupBy("doc_id").agg(F.collect_list(F.struct(*needed)).alias("c"))
+    if notes is None:
+        rows = rows.withColumn("n", F.lit(None).cast(NOTES))
+    else:
+        n = notes.groupBy("doc_id").agg(F.collect_list(F.struct("number", "start", "end", F.coalesce("sequence", F.lit(0)).alias("sequence"))).cast(NOTES).alias("n"))
+        rows = rows.join(n, "doc_id", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for doc, found, note in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                out += [(doc, r["index"], r["antecedent"], r["reason"]) for r in resolve_rows(found, note, registry)]
+            if out:
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "index", "antecedent", "reason"])
 
-    return citations.groupBy("doc_id").cogroup(notes.groupBy("doc_id")).applyInArrow(run, schema)
+    return rows.mapInArrow(run, "doc_id long, index int, antecedent int, reason string")
 
 
 def clusters(citations: DataFrame) -> DataFrame:

@@ -36,14 +36,13 @@ def read(text: str, o: Options, g: Registry = SEED, notes: list[dict] | None = N
         group(text, citations, g)
     for c in citations:
         c["key"] = key(c, g) if not is_ambiguous(c) else None
+    by = {c["index"]: c for c in citations}
     if o.resolve:
         for r in resolve_rows(citations, notes, g, check_locators=o.locators):
-            c = next(c for c in citations if c["index"] == r["index"])
-            c["antecedent"], c["antecedent_reason"] = r["antecedent"], r["reason"]
+            by[r["index"]] |= {"antecedent": r["antecedent"], "antecedent_reason": r["reason"]}
         for k, members in enumerate(authorities(citations, g)):
             for i in members:
-                next(c for c in citations if c["index"] == i)["authority_cluster"] = k
-    by = {c["index"]: c for c in citations}
+                by[i]["authority_cluster"] = k
     for c in citations:
         c["url"] = url(c if c["form"] == "full" or c["antecedent"] is None else by[c["antecedent"]], o.language, g) if c["form"] == "full" or c["antecedent"] is not None else None
     if o.source_only:

@@ -25,6 +25,15 @@ ANY = frozenset(GUIDES)
 FAMILY_GUIDES = {"short": {"bluebook"}, "code": {"bluebook", "mcgill"}, "paper": {"oscola", "aglc", "nzlsg"}, "regulation_qc": {"mcgill", "coal"}, "bill": {"mcgill", "coal", "bluebook"}}
 
 
+#: Literals of which a text must hold one for a family to occur in it; looked for before the family's pattern runs.
+NEEDS = {
+    "canlii": ("CanLII",), "law_reports": ("LR",), "charter": ("Constitution Act", "constitutionnelle"), "constitution": ("Constitution Act", "constitutionnelle"), "uk_act": ("Act",), "regnal": ("Vict", "Geo", "Will", "Eliz", "Edw"),
+    "treaty": ("UNTS", "ETS", "ILM", "TS"), "bill": ("Bill",), "debate": ("Deb", "Débats"), "paper": ("Cm",), "book": ("(",), "url": ("http", "online"), "code": ("§", "s.", "sec."), "regulation_rro": ("RRO", "R.R.O"), "regulation_crc": ("CRC", "C.R.C"),
+    "regulation_qc": ("RLRQ", "CQLR", "LRQ"),
+}
+DIGIT = re.compile(r"\d")
+
+
 def blank(form: str, start: int, end: int, text: str) -> dict:
     s = md.span(text, start, end)
     return {
@@ -79,7 +88,11 @@ def anchors(text: str, g: Registry, o) -> list[dict]:
         wanted = set().union(*(FAMILIES_OF.get(a, set()) for a in o.authorities))
         families = [x for x in families if x[0] in wanted]
     found = []
+    if not DIGIT.search(read):
+        families = [x for x in families if x[0] in ("charter", "constitution", "url")]
     for order, (family, pattern) in enumerate(families):
+        if family in NEEDS and not any(n in read for n in NEEDS[family]):
+            continue
         for m in pattern.finditer(read):
             a, b = md.trimmed(text, m.start(), m.end())
             c = blank("full", a, b, text)

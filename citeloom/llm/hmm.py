@@ -9,6 +9,8 @@ probability of a text is exact: P(classes), by the scaled forward recursion, tim
    numbers of these words. Both go to the shared folder.
 2. Baum-Welch: each task adds up expected counts of its blocks; they are summed, as whole numbers of
    2**-20 so that the order of sums changes nothing, and a table of STATES * CLASSES numbers goes to the driver.
+   Rounds over all training texts go on until one gains less than ``TOLERANCE`` a token. Where there is much
+   text, the model they begin with has been trained in the same way on a sample of texts, which saves rounds.
 3. Words are joined with their counts over the corpus, and each block meets its own words again for scoring.
 
 Null and empty texts are one end token. Null ids are in the training part. Repeated rows count as often
@@ -29,7 +31,11 @@ from pyspark.sql import functions as F
 from .langid import fold
 from .scratch import bound_batches, materialize
 
-STATES, CLASSES, ROUNDS, SEED = 6, 2048, 3, 7
+STATES, CLASSES, SEED = 6, 2048, 7
+#: Training ends when a round raises the log10 likelihood of a training token by less.
+TOLERANCE = 0.0002
+#: Tokens of the sample that the first model is trained on, and the rows it is dealt to.
+SAMPLE, PARTS = 1 << 21, 8
 #: UTF-8 bytes of text in a block, beside its last text.
 BLOCK_BYTES = 32 << 20
 #: Tokens whose recursions are held at once, beside the last text's.
@@ -53,7 +59,7 @@ def _unpack(x: bytes, kind) -> np.ndarray:
 
 
 def read_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_col: str = "_held") -> DataFrame:
-    """Rows of two kinds: a block's words (block, place, word, cls, tf: times in its training texts) and a block (block, ids, held, lengths, numbers, classes)."""
+    """Rows of two kinds: a block's words (block, place, word, cls, tf: times in its training texts) and a block (block, ids, held, lengths, numbers, classes, tokens: those of its training texts, with ends)."""
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{held_col}`").alias("_held"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("_t"))
     id_kind = rows.schema["_id"].dataType.simpleString()
@@ -73,9 +79,10 @@ def read_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             tf = np.bincount(flat[train], minlength=n) if n else np.empty(0, np.int64)
             words = list(index)
             cls = np.fromiter(map(word_class, words), np.uint16, n)
-            names = ["block", "place", "word", "cls", "tf", "ids", "held", "lengths", "numbers", "classes"]
-            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.list_(id_type), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([block, None, None, None, None, ids, held, _pack(lengths), _pack(flat), _pack(cls)], kinds, strict=True)], names=names)
+            names = ["block", "place", "word", "cls", "tf", "ids", "held", "lengths", "numbers", "classes", "tokens"]
+            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.list_(id_type), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+            tokens = int(train.sum()) + held.count(False)
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([block, None, None, None, None, ids, held, _pack(lengths), _pack(flat), _pack(cls), tokens], kinds, strict=True)], names=names)
             for i in range(0, n, 50_000):
                 m = min(50_000, n - i)
                 cols = [[block] * m, np.arange(i, i + m, dtype=np.int32), words[i : i + m], cls[i : i + m].astype(np.int32), tf[i : i + m]]
@@ -95,15 +102,15 @@ def read_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if ids:
             yield from out()
 
-    schema = f"block long, place int, word binary, cls int, tf long, ids array<{id_kind}>, held array<boolean>, lengths binary, numbers binary, classes binary"
+    schema = f"block long, place int, word binary, cls int, tf long, ids array<{id_kind}>, held array<boolean>, lengths binary, numbers binary, classes binary, tokens long"
     return rows.mapInArrow(run, schema)
 
 
 def start(states: int = STATES, classes: int = CLASSES, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First, transition and emission (class by state) probabilities to begin with: even but for seeded noise."""
+    """First, transition and emission (class by state) probabilities to begin with: seeded, and so uneven that the states differ from the first round on."""
     r = np.random.default_rng(seed)
-    a = r.dirichlet(np.full(states, 20.0), states)
-    b = 1 + 0.5 * r.random((classes, states))
+    a = r.dirichlet(np.ones(states), states)
+    b = 0.05 + r.gamma(0.3, size=(classes, states))
     return np.full(states, 1 / states), a, b / b.sum(0)
 
 
@@ -169,12 +176,47 @@ def _sequences(numbers: np.ndarray, classes: np.ndarray, lengths: np.ndarray, pi
     return [np.append(classes[numbers[ends[i] - lengths[i] : ends[i]]], np.uint16(END)) for i in pick]
 
 
-def train(blocks: DataFrame, rounds: int = ROUNDS, states: int = STATES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch over the training texts of all blocks."""
+def sampled(blocks: DataFrame, share: float) -> DataFrame:
+    """About a share of the training texts, picked and dealt by hashes of ids and classes: PARTS rows like blocks (held, lengths, numbers, classes)."""
+    least = int(share * 2**64)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts, texts = [], []
+            for ids, held, lengths, numbers, classes in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                lengths, flat = _unpack(lengths, np.int32), _unpack(classes, np.uint16)[_unpack(numbers, np.uint32)]
+                ends = np.cumsum(lengths)
+                for i in np.flatnonzero(~np.array(held, bool)):
+                    text = flat[ends[i] - lengths[i] : ends[i]].tobytes()
+                    h = xxhash.xxh64_intdigest(str(ids[i]).encode() + text)
+                    if h < least:
+                        parts.append(h % PARTS)
+                        texts.append(text)
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(texts, pa.binary())], names=["part", "text"])
+
+    def gather(t: pa.Table) -> pa.Table:
+        texts = [np.frombuffer(x, np.uint16) for x in sorted(t.column("text").to_pylist())]
+        lengths, flat = np.array([len(x) for x in texts], np.int32), np.concatenate(texts).astype(np.uint32)
+        return pa.table({"held": pa.array([[False] * len(texts)], pa.list_(pa.bool_())), "lengths": [_pack(lengths)], "numbers": [_pack(flat)], "classes": [_pack(np.arange(CLASSES, dtype=np.uint16))]})
+
+    rows = blocks.where("ids is not null").select("ids", "held", "lengths", "numbers", "classes").mapInArrow(pick, "part int, text binary")
+    return rows.groupBy("part").applyInArrow(gather, "held array<boolean>, lengths binary, numbers binary, classes binary")
+
+
+def train(blocks: DataFrame, tolerance: float = TOLERANCE, states: int = STATES, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Baum-Welch over the training texts of all blocks, to the tolerance; from a model of a sample where they have over twice its tokens."""
     model = start(states)
-    rows = blocks.where("ids is not null").select("held", "lengths", "numbers", "classes")
-    size = states + states * states + CLASSES * states
-    for _ in range(rounds):
+    n = blocks.agg(F.sum("tokens")).first()[0] or 0
+    if n > 2 * sample:
+        model = climb(materialize(sampled(blocks, sample / n), "sample", "gathered"), model, tolerance)
+    return climb(blocks.where("ids is not null").select("held", "lengths", "numbers", "classes"), model, tolerance)
+
+
+def climb(rows: DataFrame, model: tuple, tolerance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rounds of Baum-Welch from a model until one gains less than the tolerance; the likelihood has a bound, so they end."""
+    states, last = len(model[0]), -np.inf
+    size = states + states * states + CLASSES * states + 1
+    while True:
 
         def expect(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
             total, any_ = np.zeros(size, np.int64), False
@@ -183,8 +225,9 @@ def train(blocks: DataFrame, rounds: int = ROUNDS, states: int = STATES) -> tupl
                     lengths, numbers, classes = _unpack(lengths, np.int32), _unpack(numbers, np.uint32), _unpack(classes, np.uint16)
                     mine = np.flatnonzero(~np.array(held, bool))
                     for g in _groups(lengths[mine]):
-                        first, moves, emit = Recursion(model, _sequences(numbers, classes, lengths, mine[g])).expect()
-                        total += np.rint(np.concatenate((first, moves.ravel(), emit.ravel())) * UNIT).astype(np.int64)
+                        r = Recursion(model, _sequences(numbers, classes, lengths, mine[g]))
+                        first, moves, emit = r.expect()
+                        total += np.rint(np.concatenate((first, moves.ravel(), emit.ravel(), [np.log10(r.scale).sum()])) * UNIT).astype(np.int64)
                         any_ = True
             if any_:
                 at = np.flatnonzero(total)
@@ -196,9 +239,13 @@ def train(blocks: DataFrame, rounds: int = ROUNDS, states: int = STATES) -> tupl
         sums = np.zeros(size)
         for r in got:
             sums[r["i"]] = float(r["n"]) / UNIT
-        first, moves, emit = sums[:states] + 1, sums[states : states + states**2].reshape(states, states) + 1, sums[states + states**2 :].reshape(CLASSES, states) + 0.01
+        counts = sums[states + states**2 : -1].reshape(CLASSES, states)
+        like = sums[-1] / counts.sum()
+        first, moves, emit = sums[:states] + 1, sums[states : states + states**2].reshape(states, states) + 1, counts + 0.01
         model = first / first.sum(), moves / moves.sum(1, keepdims=True), emit / emit.sum(0)
-    return model
+        if like - last < tolerance:
+            return model
+        last = like
 
 
 def score_blocks(blocks: DataFrame, words: DataFrame, model: tuple, known_classes: np.ndarray, n_tokens: int, n_ends: int, id_type, state_kind: str) -> DataFrame:
@@ -238,13 +285,13 @@ def score_blocks(blocks: DataFrame, words: DataFrame, model: tuple, known_classe
     return b.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(run, schema)
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_col: str = "_held", rounds: int = ROUNDS) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_col: str = "_held", tolerance: float = TOLERANCE) -> DataFrame:
     """Train on the rows of docs that are not held out and score all: _id, held, n_tokens, n_known, train_tokens, base, score."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = docs.schema[id_col].dataType
     blocks = materialize(read_blocks(docs, id_col, text_col, held_col), "blocks")
-    model = train(blocks, rounds)
+    model = train(blocks, tolerance)
     # a word has at most a row in each block
     same = Window.partitionBy("word")
     words = blocks.where("ids is null").select("block", "place", "word", "cls", "tf")

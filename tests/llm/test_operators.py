@@ -296,6 +296,18 @@ def test_hmm(data, empty):
     assert hmm.digest(empty).count() == 0
 
 
+def test_hmm_beats_its_base_on_held_out_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id % 3 = 0")
+    r = hmm.digest(docs).where("held_out").agg(F.sum("n_tokens").alias("n"), F.sum("base_score").alias("base"), F.sum("score").alias("score")).first()
+    assert (r["score"] - r["base"]) / r["n"] > 0.1
+
+
+def test_hmm_sample_does_not_depend_on_partitions(data):
+    blocks = hmm.materialize(hmm.read_blocks(langid.fold(data[2].select("doc_id", "text"), "doc_id", 7)), "blocks")
+    one, two = (hmm.train(b, 0.02, sample=2000) for b in (blocks, blocks.repartition(3)))
+    assert all((x == y).all() for x, y in zip(one, two, strict=True))
+
+
 def test_baum_welch_raises_likelihood():
     r = np.random.default_rng(1)
     seqs = sorted(([*r.integers(1, 50, n), 0] for n in r.integers(1, 60, 40)), key=len, reverse=True)

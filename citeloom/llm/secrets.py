@@ -18,10 +18,11 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 #: Maximal runs with the least length: the same spans as all runs less those that are too short.
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-IDENT = r"""(?i)\b(?:access_?key(?:_?id)?|client_?id|account|user(?:_?name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}"""
-WEAK = r"""(?i)\b(?:pwd|pass|private_?key|secret_?(?:access_?)?key|credential|auth)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=!@%^-]{6,}"""
+#: Keys may have a prefix that ends in _ or -; the access key after "secret" is no identifier.
+IDENT = r"""(?i)(?<![A-Za-z0-9])(?:(?<!secret[_-])access_?key(?:_?id)?|client_?id|account|user(?:_?name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}"""
+WEAK = r"""(?i)(?<![A-Za-z0-9])(?:pwd|pass|private_?key|secret_?(?:access_?)?key|credential|auth)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=!@%^-]{6,}"""
 KEY40 = r"(?<![A-Za-z0-9+/])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])(?=[A-Za-z+/]*[0-9])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/])"
-ENDPOINT = r"""(?i)\b(?:https?|ftp|s3|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\x20\x09-\x0D"'<>]+|\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,}"""
+ENDPOINT = r"""(?i)\b(?:https?|ftp|s3|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\x20\x09-\x0D"'<>]+|(?<![A-Za-z0-9])(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,}"""
 BREAK = r"\n[\x20\t\r]*\n"
 #: In the order of ties.
 KINDS = ("assign", "access", "hex", "ident", "weak_secret", "key40", "endpoint", "break")

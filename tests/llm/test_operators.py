@@ -94,6 +94,12 @@ def test_secrets_in_env_form(spark):
     assert "key40:61:101" in got[1] and "weak_secret:13:64" in got[2] and "key40:15:55" in got[3]
 
 
+def test_secrets_under_prefixed_keys(spark):
+    rows = [(1, "DB_HOST=db.example.org\nDB_USER=admin\nDB_PWD=hunter2hunter2"), (2, "SMTP_USER=bobby SMTP_PASS=abcdefgh"), (3, "AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"), (4, "superuser=bobby compass=abcdefgh")]
+    got = {r["doc_id"]: r["n_linked"] for r in secrets.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 3, 2: 2, 3: 0, 4: 0}
+
+
 def test_quality(data, empty):
     rows, _, docs, _ = data
     want = []

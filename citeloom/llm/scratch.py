@@ -6,7 +6,10 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .. import ship
 
 _written: list[tuple[SparkSession, str]] = []
 _own: dict[str, str] = {}
@@ -93,12 +96,61 @@ def _clean() -> None:
             return
 
 
+#: Keys of which each has over a HEAVY-th of the rows: there are fewer than HEAVY of them, whatever the data.
+HEAVY = 1000
+
+
+def counted(right: DataFrame, n: str = "n") -> tuple[int, int]:
+    """Rows of a table and the sum of its column n."""
+    rows, total = right.agg(F.count(F.lit(1)), F.coalesce(F.sum(n), F.lit(0))).first()
+    return rows, total
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, n: str = "n", how: str = "inner", size: tuple[int, int] | None = None) -> DataFrame:
+    """left joined with right, which has a row for each key and in column n how many rows of left have it.
+
+    Keys with over a HEAVY-th of all rows are fewer than HEAVY, so they are broadcast and their rows of left
+    are dealt out by their content; the others are shuffled by key. So no key makes a task of its own, and
+    what is broadcast has a bound. right is read more than once: a written table. Column n goes. size: what
+    counted() gives for right, where it is known.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError(f"how is inner or left, not {how!r}")
+    rows, total = size or counted(right, n)
+    values = [c for c in right.columns if c not in (key, n)]
+    if rows <= HEAVY:
+        return left.join(F.broadcast(right.drop(n)), key, how)
+    told = right.select(F.col(key).alias("_k"), F.struct(F.lit(True).alias("_"), *values).alias("_v"), (F.col(n) * HEAVY > F.lit(total)).alias("_heavy"))
+    heavy = told.where("_heavy").select(F.col("_k").alias("_hk"), F.col("_v").alias("_hv"))
+    light = told.where("not _heavy").select(F.col("_k").alias("_lk"), F.lit(0).alias("_ls"), F.col("_v").alias("_lv"))
+    x = left.join(F.broadcast(heavy), F.col(key) == F.col("_hk"), "left")
+    deal = F.pmod(F.xxhash64(*left.columns) + F.spark_partition_id(), F.lit(1 << 20)).cast("int") + 1
+    x = x.withColumn("_s", F.when(F.col("_hk").isNotNull() | F.col(key).isNull(), deal).otherwise(0))
+    x = x.join(light, (F.col(key) == F.col("_lk")) & (F.col("_s") == F.col("_ls")), "left")
+    got = F.coalesce("_hv", "_lv")
+    x = x.select(F.col(key), *[F.col(c) for c in left.columns if c != key], *[got[c].alias(c) for c in values], got.isNotNull().alias("_found"))
+    return (x.where("_found") if how == "inner" else x).drop("_found")
+
+
+def running(rows: DataFrame, value: str, *order, name: str) -> DataFrame:
+    """rows with the sum of a column over all rows before, in order, and none of it in one task: sorted by ranges, summed by range, then within."""
+    r = materialize(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges", "fewer")
+    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = r.groupBy("_range").agg(F.sum(value).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    own = F.sum(value).over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return r.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.coalesce(own, F.lit(0))).drop("_range", "_before")
+
+
 #: Most rows and bytes of a batch that goes to a Python worker.
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Hold what a Python worker has at once to a few MB, however long the texts are: lower the session's batch limits where they are higher."""
+    """Make a session ready for Python workers: they find the package, and they hold a few MB at once, however long the texts are.
+
+    The session's batch limits are lowered where they are higher, for good: plans read them when they run.
+    """
+    ship(spark)
     for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         now = spark.conf.get(name, None)
         if now is None or not now.isdecimal() or not 0 < int(now) <= most:

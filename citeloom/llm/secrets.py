@@ -2,8 +2,9 @@
 
 Strong spans are found by three patterns. Weak parts of a credential (an identifier, a secret, an
 endpoint) are reported only where complementary parts lie together: in one scope (a stretch of text
-without a blank line) and at most ``REACH`` code points apart. The link is an interval join of the
-parts, made as one ordered sweep per text, so that no pairs are emitted.
+without a blank line) and at most ``REACH`` code points apart (three lines of 80: configuration blocks name
+the parts of one credential on neighbouring lines). The link is an interval join of the parts, made as a
+sweep with running extremes in each scope, so that every link counts and no pairs are emitted.
 
 Null and empty texts have no spans. Rows are never merged: repeated rows give repeated results. A null
 id is an id like any other. Other columns of the input are ignored.
@@ -70,35 +71,37 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     each = found.select("_id", "_h", "_l", F.explode(F.concat(header, "_s", "_w", scopes)).alias("c")).select("_id", "_h", "_l", "c.*")
     key = ["_id", "_h", "_l"]
     # equal rows have equal spans: they are counted, and dealt out again at the end
-    once = each.repartition(*key).groupBy(*key, "kind", "n", "gap", "len", "ok").agg(F.count(F.lit(1)).alias("_n"))
+    once = each.groupBy(*key, "kind", "n", "gap", "len", "ok").agg(F.count(F.lit(1)).alias("_n"))
     run = Window.partitionBy(*key, "kind").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.col("len")).over(run)
     return once.withColumn("end", end).withColumn("start", F.col("end") - F.col("len")).where("ok").select(*key, "_n", "kind", "start", "end")
 
 
-def linked_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
-    """All spans to report, with a row without kind for each distinct document: _id, _h, _l, _n, kind, start, end."""
+def linked_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int | None = REACH) -> DataFrame:
+    """All spans to report, with a row without kind for each distinct document: _id, _h, _l, _n, kind, start, end.
+
+    Of all partners that begin before a part, in its scope, the greatest end tells whether one is near; of
+    those that begin after it, the least start does. Where reach is None the scope alone bounds a link.
+    """
     c = _candidates(docs, id_col, text_col)
     key = ["_id", "_h", "_l"]
-    order = Window.partitionBy(*key).orderBy("start", "end", "kind")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
-    c = c.withColumn("scope", F.sum((F.col("kind") == "break").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    order = ("start", "end", "kind")
+    upto = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    c = c.withColumn("scope", F.sum((F.col("kind") == "break").cast("int")).over(upto))
+    scope = Window.partitionBy(*key, "scope").orderBy(*order)
+    before, after = scope.rowsBetween(Window.unboundedPreceding, -1), scope.rowsBetween(1, Window.unboundedFollowing)
     near = F.lit(False)
-    mine = {"secret": F.col("kind").isin(*SECRET_SIDE), "partner": F.col("kind").isin(*PARTNER_SIDE)}
-    other = {"secret": "partner", "partner": "secret"}
-    for side in mine:
-        there = mine[other[side]]
-        last = F.last(F.when(there, F.struct("end", "scope")), ignorenulls=True).over(before)
-        nxt = F.first(F.when(there, F.struct("start", "scope")), ignorenulls=True).over(after)
-        c = c.withColumn(f"_b_{side}", last).withColumn(f"_a_{side}", nxt)
-        b, a = F.col(f"_b_{side}"), F.col(f"_a_{side}")
-        close = F.coalesce((b["scope"] == F.col("scope")) & (F.col("start") - b["end"] <= reach), F.lit(False)) | F.coalesce((a["scope"] == F.col("scope")) & (a["start"] - F.col("end") <= reach), F.lit(False))
-        near = near | (mine[side] & close)
+    for mine, theirs in ((SECRET_SIDE, PARTNER_SIDE), (PARTNER_SIDE, SECRET_SIDE)):
+        there = F.col("kind").isin(*theirs)
+        gaps = F.col("start") - F.max(F.when(there, F.col("end"))).over(before), F.min(F.when(there, F.col("start"))).over(after) - F.col("end")
+        close = [g.isNotNull() if reach is None else F.coalesce(g <= reach, F.lit(False)) for g in gaps]
+        c = c.withColumn(f"_near_{mine[0]}", F.col("kind").isin(*mine) & (close[0] | close[1]))
+        near = near | F.col(f"_near_{mine[0]}")
     keep = F.col("kind").isNull() | F.col("kind").isin(*BASE) | ((F.col("kind") != "break") & near)
     return c.where(keep).select(*key, "_n", "kind", "start", "end")
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int | None = REACH) -> DataFrame:
     """A row for each row of docs: its id and its spans, ordered by start and kind.
 
     Columns: the id, spans (array of start, rank, end, kind), base (those of the strong patterns).

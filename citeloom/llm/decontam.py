@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import join_counted, materialize
 
 #: Fixed values of the contract.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -46,51 +46,66 @@ def _blocks(table: DataFrame, by: str, block: int) -> list[DataFrame]:
     return [table] if k == 1 else [table.where(F.pmod(F.xxhash64(by), F.lit(k)) == i) for i in range(k)]
 
 
-def word_counts(tokens: DataFrame, vocabulary: DataFrame, block: int = 20 * BLOCK) -> DataFrame:
-    """word, freq: how often all documents (tokens: _w) have each word of the vocabulary (word)."""
+def word_counts(tokens: DataFrame, vocabulary: DataFrame, block: int = 5 * BLOCK) -> DataFrame:
+    """vocabulary (word and more) with freq: how often all documents (tokens: _w) have each word."""
     out = None
     for part in _blocks(vocabulary, "word", block):
-        c = tokens.select(F.explode("_w").alias("word")).join(F.broadcast(part), "word").groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
+        c = tokens.select(F.explode("_w").alias("word")).join(F.broadcast(part.select("word")), "word").groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
         out = c if out is None else out.unionByName(c)
-    return out
+    return vocabulary.join(out, "word", "left").withColumn("freq", F.coalesce("freq", F.lit(0)))
 
 
 def with_prefix(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """windows with prefix (its rarest word; of equals the first by code point), offset (its first place, from 0) and len."""
-    each = windows.select("win", F.explode(F.array_distinct("win")).alias("word")).join(counts, "word", "left")
-    rare = each.groupBy("win").agg(F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "word")).alias("r"))
+    """windows with prefix (its rarest word; of equals the first by code point), offset (its first place, from 0) and len.
+
+    counts: word, freq and n, the number of windows that have the word.
+    """
+    each = join_counted(windows.select("win", F.explode(F.array_distinct("win")).alias("word")), counts, "word")
+    rare = each.groupBy("win").agg(F.min(F.struct("freq", "word")).alias("r"))
     return windows.join(rare, "win").select(F.col("r.word").alias("prefix"), (F.array_position("win", F.col("r.word")) - 1).cast("int").alias("offset"), F.size("win").alias("len"), "win", "items")
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """A row for each row of docs and one for each occurrence of a window in it: _id, _h, n, start (from 1; null in the former), len, items."""
-    windows = materialize(item_windows(benchmark, item_col, item_text_col, window), "windows", "fewer")
+def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """A row for each row of docs and one for each occurrence of a window in it: _id, _h, n, start (from 1; null in the former), len, set; and the sets of items: set, items.
+
+    A hit names its window's set of items, so that a window that many items share costs no more than another.
+    """
+    windows = materialize(item_windows(benchmark, item_col, item_text_col, window), "windows", "fewer").withColumn("set", F.unhex(F.md5(F.to_json("items"))))
+    sets = windows.select("set", "items").dropDuplicates(["set"])
+    windows = windows.drop("items").withColumnRenamed("set", "items")
     text = F.col(f"`{text_col}`")
     tokens = docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_h"), words(text).alias("_w"))
-    vocabulary = windows.select(F.explode("win").alias("word")).distinct()
-    ready = materialize(with_prefix(windows, word_counts(tokens, vocabulary)), "prefixes", "gathered")
+    vocabulary = materialize(windows.select(F.explode(F.array_distinct("win")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "vocabulary", "fewer")
+    counts = materialize(word_counts(tokens, vocabulary), "counts", "fewer")
+    ready = materialize(with_prefix(windows, counts), "prefixes", "gathered").withColumnRenamed("items", "set")
     each = tokens.select("_id", "_h", "_w", F.size("_w").alias("n"), F.posexplode(F.concat(F.array(F.lit("")), "_w")).alias("pos", "word"))
     out = None
     for i, part in enumerate(_blocks(ready, "win", block)):
         if i == 0:  # the empty word, first in each document, gives the row that every document has
-            one = part.sparkSession.range(1).select(F.lit("").alias("prefix"), F.lit(0).alias("offset"), F.lit(0).alias("len"), F.array().cast("array<string>").alias("win"), F.array().cast("array<string>").alias("items"))
+            one = part.sparkSession.range(1).select(F.lit("").alias("prefix"), F.lit(0).alias("offset"), F.lit(0).alias("len"), F.array().cast("array<string>").alias("win"), F.lit(None).cast("binary").alias("set"))
             part = part.unionByName(one)
         start = F.col("pos") - F.col("offset")
         fits = (start >= 1) & (start + F.col("len") - 1 <= F.col("n"))
         same = F.slice("_w", F.greatest(start, F.lit(1)), F.col("len")) == F.col("win")
         found = each.join(F.broadcast(part), (F.col("word") == F.col("prefix")) & ((F.col("len") == 0) | (fits & same)))
-        found = found.select("_id", "_h", "n", F.when(F.col("len") > 0, start).alias("start"), "len", "items")
+        found = found.select("_id", "_h", "n", F.when(F.col("len") > 0, start).alias("start"), "len", "set")
         out = found if out is None else out.unionByName(found)
-    return out
+    return out, sets
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """A row for each row of docs: _id, _h, n_words, n_hit, items (sorted ids), contaminated."""
-    o = occurrences(docs, benchmark, **how)
+    o, sets = occurrences(docs, benchmark, **how)
     hit = F.when(F.col("start").isNotNull(), F.struct("start", "len"))
-    g = o.groupBy("_id", "_h").agg(F.max("n").alias("n"), F.sum(F.col("start").isNull().cast("int")).alias("rows"), F.collect_set(hit).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    g = o.groupBy("_id", "_h").agg(F.max("n").alias("n"), F.sum(F.col("start").isNull().cast("int")).alias("rows"), F.collect_set(hit).alias("hits"), F.collect_set("set").alias("sets"))
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["len"] - 1))))
-    g = g.select("_id", "_h", F.col("n").cast("long").alias("n_words"), F.size(covered).cast("long").alias("n_hit"), F.array_sort("items").alias("items"), F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))).alias("_i")).drop("_i")
+    g = g.select("_id", "_h", F.col("n").cast("long").alias("n_words"), F.size(covered).cast("long").alias("n_hit"), "rows", "sets")
+    g = materialize(g, "hits", "fewer")
+    told = g.select(F.explode("sets").alias("set")).groupBy("set").agg(F.count(F.lit(1)).alias("n")).join(sets, "set")
+    each = g.select("_id", "_h", "n_words", "n_hit", "rows", F.explode_outer("sets").alias("set"))
+    each = join_counted(each, materialize(told, "sets", "fewer"), "set", how="left")
+    g = each.groupBy("_id", "_h", "n_words", "n_hit", "rows").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    g = g.select("_id", "_h", "n_words", "n_hit", "items", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))).alias("_i")).drop("_i")
     return g.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import materialize, running
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -36,13 +36,10 @@ def seeded_step(id_col: Column, text: Column, seed: int) -> Column:
 
 
 def ranked_weights(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """sources (source, source_size) with weight: in code-point order, null last, the weights in turn.
-
-    The window has no partitions: it orders a row for each source, not the documents.
-    """
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    """sources (source, source_size) with weight: in code-point order, null last, the weights in turn."""
+    placed = running(sources.withColumn("_one", F.lit(1)), "_one", F.col("source").asc_nulls_last(), name="_place")
     turn = F.array(*[F.lit(float(w)) for w in weights])
-    return sources.withColumn("weight", turn[(place % len(weights)).cast("int")])
+    return placed.withColumn("weight", turn[(F.col("_place") % len(weights)).cast("int")]).drop("_one", "_place")
 
 
 def water_fill(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -101,7 +98,7 @@ def plan_repetitions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken, epochs."""
+    """doc_id, size, source_size, target, taken."""
     p = plan_repetitions(docs)
     return p.select(F.col("_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"))
 

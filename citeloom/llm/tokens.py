@@ -12,11 +12,13 @@ names of their own for each attempt of a task; only those in the manifest of fin
 lost executor leaves nothing that counts.
 
 Null texts are empty: their only id is the end. Null ids come first. Documents with equal ids are ordered
-by their text; repeated rows stand one after the other. An empty table gives no files and no rows.
+by a hash of their text and then by the text, so that many rows of one id can be dealt to many tasks; only
+repeated rows can't, and they stand one after the other. An empty table gives no files and no rows.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import unicodedata
 import uuid
@@ -59,13 +61,21 @@ def byte_letters() -> dict[int, str]:
 
 
 LETTERS = byte_letters()
+#: The steps before the model in vocabularies whose words stand for themselves.
+BY_WORDS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+)
 
 
 class Encoder:
-    """Encodes texts word by word with a memory.
+    """Encodes texts, word by word with a memory where the vocabulary allows it, else whole.
 
-    The tokenizer drops ASCII white space and makes no token across it, so a text's ids are its words' ids
-    one after the other (tests hold this against encoding whole texts). Words are kept as UTF-8. A word of
+    A tokenizer with the steps BY_WORDS drops ASCII white space and makes no token across it, so a text's ids
+    are its words' ids one after the other (tests hold this against encoding whole texts). Words are kept as UTF-8. A word of
     composed letters is normalised by lower case alone and is one piece, so it goes to the tokenizer's model
     directly; so does such a word before a run of marks. Every other word takes the whole way.
     """
@@ -74,6 +84,8 @@ class Encoder:
         self.tokenizer, self.known = tokenizer(path), {}
         self.model = self.tokenizer.model
         self.packers = [struct.Struct(f"<{n}I").pack for n in range(256)]
+        steps = json.loads(self.tokenizer.to_str())
+        self.by_words = (steps["normalizer"], steps["pre_tokenizer"]) == BY_WORDS
 
     def whole(self, words: list[bytes]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
@@ -112,6 +124,8 @@ class Encoder:
             known.update(zip(part, self.whole(part), strict=True))
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.by_words:
+            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         known, words = self.known, [t.encode().split() for t in texts]
         new = {w for ws in words for w in ws if w not in known}
         if new:
@@ -149,7 +163,8 @@ class Packer:
 
     def flush(self, last: bool) -> None:
         flat = np.concatenate(self.held) if self.held else np.empty(0, np.uint32)
-        full = -(-len(flat) // self.length) if last else len(flat) // self.length
+        # all batches but the last of a file hold BATCH sequences
+        full = -(-len(flat) // self.length) if last else len(flat) // self.length // BATCH * BATCH
         if not full:
             return
         cut = full * self.length
@@ -178,8 +193,9 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
     spark = docs.sparkSession
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_t"))
-    # bounds come from the ids alone; a span of equal ids is the only thing that can't be cut
-    rows = rows.repartitionByRange("_id").sortWithinPartitions("_id", "_t")
+    # bounds come from ids and hashes, so that a span of equal ids can be cut too
+    rows = rows.withColumn("_h", F.xxhash64("_t"))
+    rows = rows.repartitionByRange("_id", "_h").sortWithinPartitions("_id", "_h", "_t").select("_id", "_t")
     id_type = rows.schema["_id"].dataType
     make_dir(spark, path)
 
@@ -209,6 +225,11 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
     return manifest.withColumn("base", F.coalesce(before, F.lit(0)))
 
 
+def each_file(files: DataFrame) -> DataFrame:
+    """A table with a row for each file (file and more), dealt out so that each file has a task of its own: a number of partitions is kept by adaptive execution, which would join those of so small a table."""
+    return files.repartitionByRange(max(1, files.count()), "file")
+
+
 def open_file(path: str) -> pa.ipc.RecordBatchFileReader:
     """A reader of one file: memory-mapped, and so without copies, where the file system is local."""
     fs, name = filesystem(path)
@@ -216,11 +237,8 @@ def open_file(path: str) -> pa.ipc.RecordBatchFileReader:
 
 
 def sequence(reader: pa.ipc.RecordBatchFileReader, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence i of a file, as a view of its bytes, and its mask. All batches but a file's last runs hold BATCH sequences or the same as the first."""
-    b = 0
-    while i >= (n := reader.get_batch(b).num_rows):
-        i, b = i - n, b + 1
-    batch = reader.get_batch(b)
+    """Sequence i of a file, as a view of its bytes, and its mask. Its batch follows from its number: all but the last hold BATCH."""
+    batch, i = reader.get_batch(i // BATCH), i % BATCH
     length = batch.schema.field("tokens").type.list_size
     tokens = batch.column("tokens").values.to_numpy(zero_copy_only=True)
     mask = batch.column("mask").values.to_numpy(zero_copy_only=True)
@@ -256,8 +274,7 @@ def read_documents(manifest: DataFrame, id_type: T.DataType) -> DataFrame:
                     if done:
                         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], batch.schema.field("docs").type.value_type.field("doc").type), *(pa.array([d[i] for d in done], pa.int64()) for i in (1, 2, 3))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    dealt = manifest.select("file", "base").repartition("file")
-    return dealt.mapInArrow(run, f"doc_id {id_type.simpleString()}, start long, n_tokens long, ids_crc32 long")
+    return each_file(manifest.select("file", "base")).mapInArrow(run, f"doc_id {id_type.simpleString()}, start long, n_tokens long, ids_crc32 long")
 
 
 def digest(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

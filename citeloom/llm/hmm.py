@@ -1,17 +1,20 @@
 """A hidden Markov language model over words, trained and scored across partitions.
 
-A word is emitted in two steps: a state emits the word's class (its ending and length, hashed to
-``CLASSES``), and the class emits the word, by counts over all training documents with one unseen word
-added. So latent states carry a bounded table, counts of all words stay distributed, and the
-probability of a text is exact: P(classes), by the scaled forward recursion, times P(words | classes).
-
-1. Texts are read once into blocks: the words of each block once, with their counts, and each text as
-   numbers of these words. Both go to the shared folder.
-2. Baum-Welch: each task adds up expected counts of its blocks; they are summed, as whole numbers of
-   2**-20 so that the order of sums changes nothing, and a table of STATES * CLASSES numbers goes to the driver.
+A word is emitted in two steps: a state emits the word's class, and the class emits the word, by counts over
+all training documents with one unseen word added. The ``FREQUENT`` commonest words of the training texts are
+classes of their own, so that states emit them directly; every other word backs off to a class of its ending
+and length, hashed to ``ENDINGS``. So latent states carry a bounded table, counts of all words stay
+distributed, and the probability of a text is exact: P(classes), by the scaled forward recursion, times
+P(words | classes).
+
+1. Texts are read once into two tables in the shared folder: the words of each block of texts once, with their
+   counts, and the blocks, each text as numbers of these words.
+2. Words are counted over the corpus; the commonest become classes.
+3. Baum-Welch: each task adds up expected counts of its blocks; they are summed, as whole numbers of
+   1 / UNIT so that the order of sums changes nothing, and a table of STATES * CLASSES numbers goes to the driver.
    Rounds over all training texts go on until one gains less than ``TOLERANCE`` a token. Where there is much
    text, the model they begin with has been trained in the same way on a sample of texts, which saves rounds.
-3. Words are joined with their counts over the corpus, and each block meets its own words again for scoring.
+4. Each block meets the counts of its own words again for scoring.
 
 Null and empty texts are one end token. Null ids are in the training part. Repeated rows count as often
 as they occur. With no training document every token is unknown. Other columns are ignored.
@@ -25,29 +28,53 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .langid import fold
-from .scratch import bound_batches, materialize
+from .scratch import bound_batches, drop, join_counted, make_dir, materialize, new_path
 
-STATES, CLASSES, SEED = 6, 2048, 7
+STATES, SEED = 32, 7
+#: Classes: the end of a text, the commonest words, and the endings of all others.
+FREQUENT, ENDINGS = 2048, 2048
+CLASSES = 1 + FREQUENT + ENDINGS
 #: Training ends when a round raises the log10 likelihood of a training token by less.
-TOLERANCE = 0.0002
+TOLERANCE = 0.002
 #: Tokens of the sample that the first model is trained on, and the rows it is dealt to.
-SAMPLE, PARTS = 1 << 21, 8
+SAMPLE, PARTS = 1 << 20, 8
 #: UTF-8 bytes of text in a block, beside its last text.
 BLOCK_BYTES = 32 << 20
-#: Tokens whose recursions are held at once, beside the last text's.
-LOAD = 400_000
-UNIT = float(1 << 20)
+#: Tokens of texts whose recursions go on at once, and half of those that are held.
+LOAD = 200_000
+UNIT = float(1 << 14)
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 END = 0
 
 
-def word_class(word: bytes) -> int:
-    """The class of a word, from 1: by its last three bytes and its length up to eight."""
-    return 1 + xxhash.xxh32_intdigest(word[-3:] + bytes([min(len(word), 8)])) % (CLASSES - 1)
+def ending(word: bytes) -> int:
+    """The class of a word that is none of the commonest, from 0 on: by its last three bytes and its length up to eight."""
+    return xxhash.xxh32_intdigest(word[-3:] + bytes([min(len(word), 8)])) % ENDINGS
+
+
+def word_hash(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word)
+
+
+class Classes:
+    """Classes of a block's words by their hashes and endings: 1 to FREQUENT by place among the commonest words, above by ending."""
+
+    def __init__(self, common: list[bytes]):
+        hashes = np.array([word_hash(w) for w in common], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.ids = hashes[order], (1 + order).astype(np.uint16)
+
+    def __call__(self, hashes: np.ndarray, endings: np.ndarray) -> np.ndarray:
+        out = (endings + np.uint16(1 + FREQUENT)).astype(np.uint16)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            same = self.hashes[at] == hashes
+            out[same] = self.ids[at[same]]
+        return out
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -58,9 +85,10 @@ def _unpack(x: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
 
 
-def read_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_col: str = "_held") -> DataFrame:
-    """Rows of two kinds: a block's words (block, place, word, cls, tf: times in its training texts) and a block (block, ids, held, lengths, numbers, classes, tokens: those of its training texts, with ends)."""
-    bound_batches(docs.sparkSession)
+def read_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_col: str = "_held") -> tuple[DataFrame, DataFrame]:
+    """Two written tables: blocks (block, ids, held, lengths, numbers, hashes, endings, tokens: those of its training texts, with ends) and their words (block, place, word, ending, tf: times in its training texts)."""
+    spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{held_col}`").alias("_held"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("_t"))
     id_kind = rows.schema["_id"].dataType.simpleString()
 
@@ -78,15 +106,16 @@ def read_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             train = np.repeat(~np.array(held, bool), lengths)
             tf = np.bincount(flat[train], minlength=n) if n else np.empty(0, np.int64)
             words = list(index)
-            cls = np.fromiter(map(word_class, words), np.uint16, n)
-            names = ["block", "place", "word", "cls", "tf", "ids", "held", "lengths", "numbers", "classes", "tokens"]
-            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.list_(id_type), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+            hashes, ends = np.fromiter(map(word_hash, words), np.uint64, n), np.fromiter(map(ending, words), np.uint16, n)
+            names = ["kind", "block", "place", "word", "ending", "tf", "ids", "held", "lengths", "numbers", "hashes", "endings", "tokens"]
+            kinds = [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.list_(id_type), pa.list_(pa.bool_()), *[pa.binary()] * 4, pa.int64()]
             tokens = int(train.sum()) + held.count(False)
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([block, None, None, None, None, ids, held, _pack(lengths), _pack(flat), _pack(cls), tokens], kinds, strict=True)], names=names)
+            values = ["blocks", block, None, None, None, None, ids, held, _pack(lengths), _pack(flat), _pack(hashes), _pack(ends), tokens]
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
             for i in range(0, n, 50_000):
                 m = min(50_000, n - i)
-                cols = [[block] * m, np.arange(i, i + m, dtype=np.int32), words[i : i + m], cls[i : i + m].astype(np.int32), tf[i : i + m]]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=False)), *(pa.nulls(m, k) for k in kinds[5:])], names=names)
+                cols = [["words"] * m, [block] * m, np.arange(i, i + m, dtype=np.int32), words[i : i + m], ends[i : i + m].astype(np.int32), tf[i : i + m]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=False)), *(pa.nulls(m, k) for k in kinds[6:])], names=names)
 
         for b in batches:
             id_type = b.schema.field(0).type
@@ -102,8 +131,20 @@ def read_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if ids:
             yield from out()
 
-    schema = f"block long, place int, word binary, cls int, tf long, ids array<{id_kind}>, held array<boolean>, lengths binary, numbers binary, classes binary, tokens long"
-    return rows.mapInArrow(run, schema)
+    word = "block long, place int, word binary, ending int, tf long"
+    block = f"ids array<{id_kind}>, held array<boolean>, lengths binary, numbers binary, hashes binary, endings binary, tokens long"
+    path = new_path(spark, "texts")
+    # one pass writes both tables; a writer for each, so that rows need not be sorted by kind
+    writers = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(writers, None)
+    spark.conf.set(writers, "2")
+    try:
+        rows.mapInArrow(run, f"kind string, {word}, {block}").write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(writers, before) if before is not None else spark.conf.unset(writers)
+    for kind in ("blocks", "words"):
+        make_dir(spark, f"{path}/kind={kind}")  # no texts, no folders
+    return spark.read.schema(f"block long, {block}").parquet(f"{path}/kind=blocks"), spark.read.schema(word).parquet(f"{path}/kind=words")
 
 
 def start(states: int = STATES, classes: int = CLASSES, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,9 +164,13 @@ def _groups(lengths: np.ndarray) -> Iterator[np.ndarray]:
 
 
 class Recursion:
-    """Scaled forward (and backward) recursions over a group of class sequences at once, longest first; each ends with the end class."""
+    """Scaled forward (and backward) recursions over a group of class sequences at once, longest first; each ends with the end class.
+
+    Steps are taken in spans of about 2 * LOAD tokens. The forward recursion holds one span; the backward one
+    holds one too and makes it again from the state at its start, so that a text of any length has room.
+    """
 
-    def __init__(self, model: tuple, sequences: list[np.ndarray]):
+    def __init__(self, model: tuple, sequences: list[np.ndarray], load: int | None = None):
         self.pi, self.a, self.b = model
         self.n = np.array([len(s) for s in sequences])
         longest = int(self.n[0])
@@ -135,40 +180,68 @@ class Recursion:
         flat = np.concatenate(sequences)
         begin = np.concatenate(([0], np.cumsum(self.n)[:-1]))
         step = np.repeat(np.arange(longest), self.live)
-        which = np.arange(len(flat)) - np.repeat(self.at[:-1], self.live)
-        self.which, self.obs = which, flat[begin[which] + step]
+        self.which = np.arange(len(flat)) - np.repeat(self.at[:-1], self.live)
+        self.obs = flat[begin[self.which] + step]
+        cut = self.at[:-1] // (load or 2 * LOAD)
+        edges = np.flatnonzero(np.concatenate(([True], cut[1:] != cut[:-1])))
+        self.spans = list(zip(edges.tolist(), [*edges[1:].tolist(), longest], strict=True))
+
+    def span(self, first: int, last: int, prev: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """alpha and scales of the steps from first to last, after prev, and the last alpha."""
+        base = self.at[first]
+        alpha = self.b[self.obs[base : self.at[last]]]
+        scale = np.empty(len(alpha), alpha.dtype)
+        for t in range(first, last):
+            lo, hi = self.at[t] - base, self.at[t + 1] - base
+            x = alpha[lo:hi]
+            x *= self.pi if prev is None else prev[: hi - lo] @ self.a
+            s = x.sum(1)
+            x /= s[:, None]
+            prev, scale[lo:hi] = x, s
+        return alpha, scale, prev
 
     def forward(self) -> np.ndarray:
-        """Natural log likelihoods; keeps alpha and the scales."""
-        e = self.b[self.obs]
-        self.alpha, self.scale = np.empty_like(e), np.empty(len(e))
-        prev = None
-        for t in range(len(self.live)):
-            lo, hi = self.at[t], self.at[t + 1]
-            x = (self.pi if prev is None else prev[: hi - lo] @ self.a) * e[lo:hi]
-            s = x.sum(1)
-            prev = x / s[:, None]
-            self.alpha[lo:hi], self.scale[lo:hi] = prev, s
-        return np.bincount(self.which, np.log(self.scale), len(self.n))
-
-    def expect(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of first states, transitions, and emissions (class by state)."""
-        self.forward()
-        k = len(self.pi)
-        moves, gamma, beta = np.zeros((k, k)), self.alpha, np.ones((0, k))
-        for t in range(len(self.live) - 1, -1, -1):
-            lo, hi = self.at[t], self.at[t + 1]
-            now = np.ones((hi - lo, k))
-            if len(beta):
-                nlo, nhi = self.at[t + 1], self.at[t + 2]
-                w = self.b[self.obs[nlo:nhi]] * beta / self.scale[nlo:nhi, None]
-                moves += self.alpha[lo : lo + nhi - nlo].T @ w
-                now[: nhi - nlo] = w @ self.a.T
-            beta = now
-            gamma[lo:hi] *= beta
-        gamma /= gamma.sum(1, keepdims=True)
-        emit = np.stack([np.bincount(self.obs, gamma[:, i], len(self.b)) for i in range(k)], 1)
-        return gamma[: self.live[0]].sum(0), moves * self.a, emit
+        """Natural log likelihoods."""
+        total, prev = np.zeros(len(self.n)), None
+        for first, last in self.spans:
+            _, scale, prev = self.span(first, last, prev)
+            total += np.bincount(self.which[self.at[first] : self.at[last]], np.log(scale, dtype=np.float64), len(total))
+            prev = prev.copy()
+        return total
+
+    def expect(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Expected counts of first states, transitions, and emissions (class by state), and the natural log likelihood of all."""
+        k, like, prev, starts = len(self.pi), 0.0, None, []
+        for first, last in self.spans:
+            starts.append(prev)
+            made = self.span(first, last, prev)
+            like += float(np.log(made[1], dtype=np.float64).sum())
+            prev = made[2].copy()
+        moves, emit, w = np.zeros((k, k)), np.zeros((len(self.b), k)), None
+        for i in range(len(self.spans) - 1, -1, -1):
+            first, last = self.spans[i]
+            alpha, scale = (made if i == len(self.spans) - 1 else self.span(first, last, starts[i]))[:2]
+            base, made = self.at[first], None
+            obs = self.obs[base : self.at[last]]
+            e = self.b[obs]
+            e /= scale[:, None]
+            for t in range(last - 1, first - 1, -1):
+                lo, hi = self.at[t] - base, self.at[t + 1] - base
+                now = e[lo:hi]
+                if w is not None:
+                    n = len(w)
+                    moves += alpha[lo : lo + n].T @ w
+                    beta = w @ self.a.T
+                    alpha[lo : lo + n] *= beta
+                    now[:n] *= beta
+                w = now
+            w = w.copy()
+            alpha /= alpha.sum(1)[:, None]
+            order = np.argsort(obs, kind="stable")
+            seen = obs[order]
+            edge = np.flatnonzero(np.concatenate(([True], seen[1:] != seen[:-1])))
+            emit[seen[edge]] += np.add.reduceat(alpha[order], edge, axis=0)
+        return alpha[: self.live[0]].sum(0, dtype=np.float64), moves * self.a, emit, like
 
 
 def _sequences(numbers: np.ndarray, classes: np.ndarray, lengths: np.ndarray, pick: np.ndarray) -> list[np.ndarray]:
@@ -176,15 +249,15 @@ def _sequences(numbers: np.ndarray, classes: np.ndarray, lengths: np.ndarray, pi
     return [np.append(classes[numbers[ends[i] - lengths[i] : ends[i]]], np.uint16(END)) for i in pick]
 
 
-def sampled(blocks: DataFrame, share: float) -> DataFrame:
-    """About a share of the training texts, picked and dealt by hashes of ids and classes: PARTS rows like blocks (held, lengths, numbers, classes)."""
+def sampled(blocks: DataFrame, share: float, classes: Classes) -> DataFrame:
+    """About a share of the training texts, picked and dealt by hashes of ids and words: PARTS rows (held, lengths, numbers, classes)."""
     least = int(share * 2**64)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts, texts = [], []
-            for ids, held, lengths, numbers, classes in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                lengths, flat = _unpack(lengths, np.int32), _unpack(classes, np.uint16)[_unpack(numbers, np.uint32)]
+            for ids, held, lengths, numbers, hashes, endings in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                lengths, flat = _unpack(lengths, np.int32), classes(_unpack(hashes, np.uint64), _unpack(endings, np.uint16))[_unpack(numbers, np.uint32)]
                 ends = np.cumsum(lengths)
                 for i in np.flatnonzero(~np.array(held, bool)):
                     text = flat[ends[i] - lengths[i] : ends[i]].tobytes()
@@ -199,46 +272,47 @@ def sampled(blocks: DataFrame, share: float) -> DataFrame:
         lengths, flat = np.array([len(x) for x in texts], np.int32), np.concatenate(texts).astype(np.uint32)
         return pa.table({"held": pa.array([[False] * len(texts)], pa.list_(pa.bool_())), "lengths": [_pack(lengths)], "numbers": [_pack(flat)], "classes": [_pack(np.arange(CLASSES, dtype=np.uint16))]})
 
-    rows = blocks.where("ids is not null").select("ids", "held", "lengths", "numbers", "classes").mapInArrow(pick, "part int, text binary")
+    rows = blocks.select("ids", "held", "lengths", "numbers", "hashes", "endings").mapInArrow(pick, "part int, text binary")
     return rows.groupBy("part").applyInArrow(gather, "held array<boolean>, lengths binary, numbers binary, classes binary")
 
 
-def train(blocks: DataFrame, tolerance: float = TOLERANCE, states: int = STATES, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def train(blocks: DataFrame, classes: Classes, tolerance: float = TOLERANCE, states: int = STATES, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Baum-Welch over the training texts of all blocks, to the tolerance; from a model of a sample where they have over twice its tokens."""
     model = start(states)
     n = blocks.agg(F.sum("tokens")).first()[0] or 0
     if n > 2 * sample:
-        model = climb(materialize(sampled(blocks, sample / n), "sample", "gathered"), model, tolerance)
-    return climb(blocks.where("ids is not null").select("held", "lengths", "numbers", "classes"), model, tolerance)
+        some = materialize(sampled(blocks, sample / n, classes), "sample", "gathered")
+        model = climb(some, None, model, tolerance)
+        drop(some)
+    return climb(blocks.select("held", "lengths", "numbers", "hashes", "endings"), classes, model, tolerance)
 
 
-def climb(rows: DataFrame, model: tuple, tolerance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def climb(rows: DataFrame, classes: Classes | None, model: tuple, tolerance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rounds of Baum-Welch from a model until one gains less than the tolerance; the likelihood has a bound, so they end."""
     states, last = len(model[0]), -np.inf
     size = states + states * states + CLASSES * states + 1
     while True:
 
-        def expect(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
+        def expect(batches: Iterator[pa.RecordBatch], model=tuple(x.astype(np.float32) for x in model)) -> Iterator[pa.RecordBatch]:
             total, any_ = np.zeros(size, np.int64), False
             for b in batches:
-                for held, lengths, numbers, classes in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    lengths, numbers, classes = _unpack(lengths, np.int32), _unpack(numbers, np.uint32), _unpack(classes, np.uint16)
+                for held, lengths, numbers, *told in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    lengths, numbers = _unpack(lengths, np.int32), _unpack(numbers, np.uint32)
+                    cls = classes(_unpack(told[0], np.uint64), _unpack(told[1], np.uint16)) if classes else _unpack(told[0], np.uint16)
                     mine = np.flatnonzero(~np.array(held, bool))
                     for g in _groups(lengths[mine]):
-                        r = Recursion(model, _sequences(numbers, classes, lengths, mine[g]))
-                        first, moves, emit = r.expect()
-                        total += np.rint(np.concatenate((first, moves.ravel(), emit.ravel(), [np.log10(r.scale).sum()])) * UNIT).astype(np.int64)
+                        first, moves, emit, like = Recursion(model, _sequences(numbers, cls, lengths, mine[g])).expect()
+                        total += np.rint(np.concatenate((first, moves.ravel(), emit.ravel(), [like / np.log(10)])) * UNIT).astype(np.int64)
                         any_ = True
             if any_:
                 at = np.flatnonzero(total)
                 yield pa.RecordBatch.from_pydict({"i": at.astype(np.int32), "n": total[at]})
 
-        got = rows.mapInArrow(expect, "i int, n long").groupBy("i").agg(F.sum("n").cast("decimal(38,0)").alias("n")).collect()
-        if not got:
+        got = rows.mapInArrow(expect, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()  # a row for each number of the model at most
+        if not got.num_rows:
             return model
         sums = np.zeros(size)
-        for r in got:
-            sums[r["i"]] = float(r["n"]) / UNIT
+        sums[got.column("i").to_numpy()] = got.column("n").to_numpy() / UNIT
         counts = sums[states + states**2 : -1].reshape(CLASSES, states)
         like = sums[-1] / counts.sum()
         first, moves, emit = sums[:states] + 1, sums[states : states + states**2].reshape(states, states) + 1, counts + 0.01
@@ -248,7 +322,7 @@ def climb(rows: DataFrame, model: tuple, tolerance: float) -> tuple[np.ndarray,
         last = like
 
 
-def score_blocks(blocks: DataFrame, words: DataFrame, model: tuple, known_classes: np.ndarray, n_tokens: int, n_ends: int, id_type, state_kind: str) -> DataFrame:
+def score_blocks(blocks: DataFrame, words: DataFrame, model: tuple, classes: Classes, known_classes: tuple, n_tokens: int, n_ends: int, id_type, state_kind: str) -> DataFrame:
     """_id, held, n_tokens, n_known, base, score: base and score as log10.
 
     words: block, place, c (times in all training texts). known_classes: by class, training tokens and different words.
@@ -263,9 +337,10 @@ def score_blocks(blocks: DataFrame, words: DataFrame, model: tuple, known_classe
         count[place] = c
         ids, held, at = [], [], []
         for row in left.to_pylist():
-            lengths, numbers, classes = _unpack(row["lengths"], np.int32), _unpack(row["numbers"], np.uint32), _unpack(row["classes"], np.uint16)
+            lengths, numbers = _unpack(row["lengths"], np.int32), _unpack(row["numbers"], np.uint32)
+            cls = classes(_unpack(row["hashes"], np.uint64), _unpack(row["endings"], np.uint16))
             own = np.log10(count + 1) - floor
-            given = np.log10((count + 1) / (per[classes] + kinds[classes] + 1))
+            given = np.log10((count + 1) / (per[cls] + kinds[cls] + 1))
             known = (count > 0).astype(np.int64)
             doc = np.repeat(np.arange(len(lengths)), lengths)
             base = np.bincount(doc, own[numbers], len(lengths)) + np.log10(n_ends + 1) - floor
@@ -273,36 +348,46 @@ def score_blocks(blocks: DataFrame, words: DataFrame, model: tuple, known_classe
             n_known = np.bincount(doc, known[numbers], len(lengths)).astype(np.int64) + (1 if n_ends else 0)
             states = np.empty(len(lengths))
             for g in _groups(lengths):
-                states[g] = Recursion(model, _sequences(numbers, classes, lengths, g)).forward() / np.log(10)
+                states[g] = Recursion(model, _sequences(numbers, cls, lengths, g)).forward() / np.log(10)
             ids += row["ids"]
             held += row["held"]
             at.append((lengths.astype(np.int64) + 1, n_known, base, words_ + states))
         cols = [np.concatenate(x) for x in zip(*at, strict=True)] if at else [np.empty(0)] * 4
         return pa.table({"_id": pa.array(ids, id_type), "held": pa.array(held, pa.bool_()), "n_tokens": cols[0], "n_known": cols[1], "base": cols[2], "score": cols[3]})
 
-    b = blocks.where("ids is not null").select("block", "ids", "held", "lengths", "numbers", "classes")
+    b = blocks.select("block", "ids", "held", "lengths", "numbers", "hashes", "endings")
     schema = f"_id {state_kind}, held boolean, n_tokens long, n_known long, base double, score double"
     return b.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(run, schema)
 
 
+def count_words(words: DataFrame) -> tuple[DataFrame, Classes, tuple[np.ndarray, np.ndarray]]:
+    """Counts of all words (word, c: times in all training texts, n: blocks), the classes, and by class the training tokens and different words."""
+    counts = words.groupBy("word").agg(F.sum("tf").alias("c"), F.count(F.lit(1)).alias("n"), F.first("ending").alias("ending"))
+    counts = materialize(counts, "counts", "fewer")
+    known = counts.where("c > 0")
+    common = known.orderBy(F.col("c").desc(), "word").limit(FREQUENT).select("word", "c", "ending").collect()
+    per, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
+    for r in known.groupBy("ending").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():  # at most ENDINGS rows
+        per[1 + FREQUENT + r["ending"]], kinds[1 + FREQUENT + r["ending"]] = r["c"], r["v"]
+    for i, r in enumerate(common, 1):
+        per[1 + FREQUENT + r["ending"]] -= r["c"]
+        kinds[1 + FREQUENT + r["ending"]] -= 1
+        per[i], kinds[i] = r["c"], 1
+    return counts.drop("ending"), Classes([bytes(r["word"]) for r in common]), (per, kinds)
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_col: str = "_held", tolerance: float = TOLERANCE) -> DataFrame:
     """Train on the rows of docs that are not held out and score all: _id, held, n_tokens, n_known, train_tokens, base, score."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = docs.schema[id_col].dataType
-    blocks = materialize(read_blocks(docs, id_col, text_col, held_col), "blocks")
-    model = train(blocks, tolerance)
-    # a word has at most a row in each block
-    same = Window.partitionBy("word")
-    words = blocks.where("ids is null").select("block", "place", "word", "cls", "tf")
-    words = words.withColumn("c", F.sum("tf").over(same)).withColumn("n", F.row_number().over(same.orderBy("block")))
-    words = materialize(words.select("block", "place", "cls", "c", (F.col("n") == 1).alias("first")), "words")
-    per, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in words.where("first and c > 0").groupBy("cls").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():  # at most CLASSES rows
-        per[r["cls"]], kinds[r["cls"]] = r["c"], r["v"]
-    n_ends = blocks.where("ids is not null").agg(F.sum(F.size(F.filter("held", lambda h: ~h)))).first()[0] or 0
+    blocks, words = read_blocks(docs, id_col, text_col, held_col)
+    counts, classes, (per, kinds) = count_words(words)
+    model = train(blocks, classes, tolerance)
+    n_ends = blocks.agg(F.sum(F.size(F.filter("held", lambda h: ~h)))).first()[0] or 0
     n = int(per.sum()) + n_ends
-    out = score_blocks(blocks, words.select("block", "place", "c"), model, (per, kinds), n, n_ends, to_arrow_type(kind), kind.simpleString())
+    own = join_counted(words.select("block", "place", "word"), counts, "word").select("block", "place", "c")
+    out = score_blocks(blocks, own, model, classes, (per, kinds), n, n_ends, to_arrow_type(kind), kind.simpleString())
     return out.withColumn("train_tokens", F.lit(n).cast("long"))
 
 
@@ -310,5 +395,3 @@ def digest(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     s = score_texts(fold(docs.select("doc_id", "text"), "doc_id", 7))
     return s.select(F.col("_id").alias("doc_id"), F.col("held").alias("held_out"), "n_tokens", "n_known", "train_tokens", F.col("base").alias("base_score"), "score")
-
-

@@ -3,7 +3,8 @@
 Each record is a gzip member of its own. A record with a payload of at least ``LEAST`` bytes that another
 has too is a revisit of the one with the smallest id. The reader checks each member and each record's block
 digest and length; after a failed check it searches for the next member (or, in plain archives, the next
-version line) that can be read, goes on from there, and logs the gap in bytes with the reason.
+version line) that can be read, goes on from there, and logs the gap in bytes with the reason. Records that
+such a search found are marked.
 
 Null html is an empty payload; null ids come after all others, and where all of a group are null none is a
 revisit. Repeated rows with the smallest id are all responses. Other columns are ignored.
@@ -17,13 +18,14 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bound_batches, make_dir, materialize, new_path
-from .tokens import filesystem
+from .scratch import bound_batches, join_counted, make_dir, materialize, new_path
+from .tokens import each_file, filesystem
 
 LEAST = 100
 VERSION = b"WARC/1.1\r\n"
@@ -31,16 +33,28 @@ MAGIC = b"\x1f\x8b\x08"
 DATE = "1970-01-01T00:00:00Z"
 
 
-def record(page_id, url: str | None, payload: bytes, kind: str, refers_to, digest: str) -> bytes:
-    """A whole record in WARC/1.1, not compressed. A revisit has no payload but tells the length and digest of it."""
+def urn(page_id, place: str = "") -> str:
+    """The id of a record: its page, of any type or null, and its place in the archives, so that repeated pages differ."""
+    told = "" if page_id is None else "=" + quote(str(page_id), safe="")
+    return f"<urn:page:{told}{':' + place if place else ''}>"
+
+
+def page_of(name: str | None) -> str | None:
+    """The page that an id of a record names, as text."""
+    told = (name or "").removeprefix("<urn:page:").removesuffix(">").partition(":")[0]
+    return unquote(told[1:]) if told.startswith("=") else None
+
+
+def record(page_id, url: str | None, payload: bytes, kind: str, refers_to, digest: str, place: str = "0-0") -> bytes:
+    """A whole record in WARC/1.1, not compressed. A revisit has no payload but tells the length and digest of it, and the page it refers to."""
     block = payload if kind == "response" else b""
     head = [
-        ("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"), ("WARC-Date", DATE),
+        ("WARC-Type", kind), ("WARC-Record-ID", urn(page_id, place)), ("WARC-Date", DATE),
         ("WARC-Target-URI", re.sub(r"[\r\n]+", " ", url or "")), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", str(len(payload))),
         ("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}"), ("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(block))),
     ]
     if kind == "revisit":
-        head.insert(3, ("WARC-Refers-To", f"<urn:page:{refers_to}>"))
+        head.insert(3, ("WARC-Refers-To", urn(refers_to)))
         head.insert(4, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
     return VERSION + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
@@ -54,119 +68,186 @@ class Damaged(ValueError):
     pass
 
 
-def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
-    """The record at a place of plain bytes, and where it ends. Raises Damaged if a check fails."""
-    if not re.compile(rb"WARC/1\.[01]\r\n").match(data, at):
-        raise Damaged("no version line")
-    end = data.find(b"\r\n\r\n", at)
-    if end < 0:
-        raise Damaged("header without end")
+#: Bytes of a header and of a record at most; longer ones count as damaged, which bounds what a reader holds.
+MOST_HEADER, MOST_RECORD = 1 << 16, 1 << 28
+VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
+#: A blank line and the version line of the record after it.
+NEXT = re.compile(rb"\r\n\r\n(?=WARC/1\.[01]\r\n)")
+
+
+def header(data: bytes | bytearray, at: int, end: int) -> tuple[dict, int]:
+    """The fields of a record's header between two places, and the length that it states for its block."""
     try:
-        lines = data[at:end].decode().split("\r\n")[1:]
+        lines = bytes(data[at:end]).decode().split("\r\n")[1:]
         head = {k.lower(): v.strip() for k, v in (x.split(":", 1) for x in lines)}
         length = int(head["content-length"])
     except (ValueError, KeyError) as e:
         raise Damaged("bad header") from e
-    stop = end + 4 + length
-    if length < 0 or data[stop : stop + 4] != b"\r\n\r\n":
+    if not 0 <= length <= MOST_RECORD:
         raise Damaged("wrong length")
-    block = data[end + 4 : stop]
+    return head, length
+
+
+def agrees(head: dict, block: bytes) -> bool:
+    """Whether a block has the digest that its header states, if it states one."""
     want = head.get("warc-block-digest", "")
-    if want.startswith("sha256:") and hashlib.sha256(block).hexdigest() != want[7:]:
+    return not want.startswith("sha256:") or hashlib.sha256(block).hexdigest() == want[7:]
+
+
+def parse(data: bytes) -> dict:
+    """The one record of plain bytes. Raises Damaged if a check fails."""
+    if not VERSION_LINE.match(data):
+        raise Damaged("no version line")
+    end = data.find(b"\r\n\r\n", 0, MOST_HEADER)
+    if end < 0:
+        raise Damaged("header without end")
+    head, length = header(data, 0, end)
+    stop = end + 4 + length
+    if data[stop : stop + 4] != b"\r\n\r\n":
+        raise Damaged("wrong length")
+    if stop + 4 != len(data):
+        raise Damaged("more than a record in a member")
+    block = bytes(data[end + 4 : stop])
+    if not agrees(head, block):
         raise Damaged("wrong digest")
-    return head | {"block": block}, stop + 4
+    return head | {"block": block}
+
+
+class Window:
+    """The part of a stream that is held: from a place that moves on."""
+
+    def __init__(self, stream: io.BufferedIOBase, chunk: int):
+        self.stream, self.chunk, self.data, self.base, self.over = stream, chunk, bytearray(), 0, False
+
+    def more(self) -> bool:
+        got = self.stream.read(self.chunk)
+        self.data += got
+        self.over = not got
+        return not self.over
+
+    def has(self, n: int) -> bool:
+        """Whether n bytes are held, after reading as many as there are."""
+        while len(self.data) < n and not self.over:
+            self.more()
+        return len(self.data) >= n
+
+    def skip(self, n: int) -> None:
+        del self.data[:n]
+        self.base += n
+
+
+def from_member(w: Window) -> tuple[dict | None, str, int]:
+    """The record of the gzip member at the window's start, else the reason; and the bytes of the member that are known, 0 if its end is not."""
+    d, out, fed, size = zlib.decompressobj(31), [], 0, 0
+    try:
+        while not d.eof:
+            if fed == len(w.data) and not w.more():
+                return None, "member cut off", 0
+            out.append(d.decompress(bytes(w.data[fed : fed + w.chunk])))
+            size += len(out[-1])
+            fed = min(len(w.data), fed + w.chunk)
+            if size > MOST_RECORD + MOST_HEADER:
+                return None, "wrong length", 0
+    except zlib.error:
+        return None, "bad member", 0
+    n = fed - len(d.unused_data)
+    try:
+        return parse(b"".join(out)), "", n
+    except Damaged as e:  # the member is whole: what is in it is no part of the archive's own chain
+        return None, str(e), n
+
+
+def from_plain(w: Window) -> tuple[dict | None, str, int]:
+    """The same of the record, not compressed, at the window's start.
+
+    Where its length holds, a damaged block is passed over whole, with all that looks like a record in it. A
+    length is given up as soon as the block up to a later version line has the header's digest.
+    """
+    end = w.data.find(b"\r\n\r\n", 0, MOST_HEADER)
+    while end < 0 and len(w.data) < MOST_HEADER and w.more():
+        end = w.data.find(b"\r\n\r\n", 0, MOST_HEADER)
+    if end < 0:
+        return None, "header without end", 0
+    try:
+        head, length = header(w.data, 0, end)
+    except Damaged as e:
+        return None, str(e), 0
+    start, stop, seen = end + 4, end + 4 + length, end + 4
+    told = "sha256:" in head.get("warc-block-digest", "")
+    while len(w.data) < stop + 4 and not w.over:
+        w.more()
+        for m in NEXT.finditer(w.data, seen, min(len(w.data), stop)) if told else ():
+            seen = m.end()
+            if agrees(head, bytes(w.data[start : m.start()])):
+                return None, "wrong length", m.end()
+    if w.data[stop : stop + 4] != b"\r\n\r\n":
+        return None, "wrong length", 0
+    block = bytes(w.data[start:stop])
+    if agrees(head, block):
+        return head | {"block": block}, "", stop + 4
+    # the block is broken; its end is sure where another record or nothing follows
+    sure = not w.has(stop + 5) or w.has(stop + 9) and w.data.startswith(b"WARC/", stop + 4)
+    return None, "wrong digest", stop + 4 if sure else 0
 
 
 def salvage(stream: io.BufferedIOBase, chunk: int = 1 << 20) -> Iterator[tuple[str, object]]:
     """("record", header and block) and ("gap", (start, end, reason)) of an archive, in order.
 
-    Holds one record and the bytes of a gap's search at a time, not the archive.
+    Holds a record of MOST_RECORD bytes at most and a chunk, not the archive. A broken record whose end is
+    known is a gap up to there; else the search goes on behind its first byte, and a record that the search
+    found, instead of the end of the one before it, has "resynced" set in its header: it may have lain in
+    the block of the broken one.
     """
-    data, base, over = stream.read(chunk), 0, False
-
-    def more() -> bool:
-        nonlocal data, over
-        got = stream.read(chunk)
-        data, over = data + got, not got
-        return bool(got)
-
-    at, gap, reason = 0, None, ""
-    while True:
-        while len(data) - at < 16 and not over and more():
-            pass
-        if at >= len(data):
-            break
-        found = why = None
-        if data.startswith(MAGIC, at):
-            d, out, fed = zlib.decompressobj(31), [], at
-            try:
-                while not d.eof:
-                    if fed == len(data) and not more():
-                        raise Damaged("member cut off")
-                    out.append(d.decompress(data[fed:]))
-                    fed = len(data)
-                whole = b"".join(out)
-                head, stop = parse(whole)
-                if stop != len(whole):
-                    raise Damaged("more than a record in a member")
-                found = (head, len(data) - len(d.unused_data))
-            except (zlib.error, Damaged) as e:
-                why = str(e) if isinstance(e, Damaged) else "bad member"
-        elif data.startswith(b"WARC/", at):
-            while True:
-                try:
-                    found = parse(data, at)
-                    break
-                except Damaged as e:
-                    why = str(e)
-                    if why not in ("header without end", "wrong length") or not _wants_more(data, at) or over or not more():
-                        break
+    w = Window(stream, chunk)
+    gap, reason, searched = None, "", False
+    while w.has(1):
+        w.has(16)
+        if w.data.startswith(MAGIC):
+            got, why, n = from_member(w)
+        elif VERSION_LINE.match(w.data):
+            got, why, n = from_plain(w)
         else:
-            why = "no record"
-        if found:
+            got, why, n = None, "no record", 0
+        if got is not None:
             if gap is not None:
-                yield "gap", (gap, base + at, reason)
+                yield "gap", (gap, w.base, reason)
                 gap = None
-            yield "record", found[0]
-            at = found[1]
-        else:
-            if gap is None:
-                gap, reason = base + at, why
-            # the next place where a member or a version line could begin
-            at += 1
-            while True:
-                spots = [x for x in (data.find(MAGIC, at), data.find(b"WARC/1.", at)) if x >= 0]
-                if spots:
-                    at = min(spots)
-                    break
-                at = max(at, len(data) - 8)
-                if over or not more():
-                    at = len(data)
-                    break
-        if at > chunk:
-            data, base, at = data[at:], base + at, 0
+            yield "record", (got | {"resynced": "1"}) if searched else got
+            searched = False
+        elif gap is None:
+            gap, reason = w.base, why
+        if n:
+            w.skip(n)
+            continue
+        searched = True
+        # the next place where a member or a version line could begin
+        at = 1
+        while True:
+            spots = [x for x in (w.data.find(MAGIC, at), w.data.find(b"WARC/1.", at)) if x >= 0]
+            if spots:
+                w.skip(min(spots))
+                break
+            w.skip(max(at, len(w.data) - 8))
+            at = 0
+            if not w.more():
+                w.skip(len(w.data))
+                break
     if gap is not None:
-        yield "gap", (gap, base + len(data), reason)
-
-
-def _wants_more(data: bytes, at: int) -> bool:
-    """Whether a plain record at a place may only be unfinished as far as it was read."""
-    end = data.find(b"\r\n\r\n", at)
-    if end < 0:
-        return True
-    m = re.search(rb"content-length:\s*(\d+)", data[at:end], re.I)
-    return bool(m) and end + 8 + int(m[1]) > len(data)
+        yield "gap", (gap, w.base, reason)
 
 
 def decide(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str | None = "url", least: int = LEAST) -> DataFrame:
-    """A row for each row of pages: _id, _url, _html, _digest, _kind, _refers."""
+    """A row for each row of pages: _id, _url, _html, _digest, _kind, _refers.
+
+    First ids come from ids, digests and lengths alone. Only payloads that occur twice or more are looked up,
+    and copies of the commonest ones stay spread over all tasks.
+    """
     html = F.coalesce(F.col(f"`{html_col}`"), F.lit(""))
     url = F.col(f"`{url_col}`") if url_col else F.lit(None).cast("string")
     rows = pages.select(F.col(f"`{id_col}`").alias("_id"), url.alias("_url"), html.alias("_html"), F.sha2(html, 256).alias("_digest"))
     long = F.octet_length("_html") >= least
-    # only payloads that occur twice or more are looked up; the counts are made before anything is dealt out
-    firsts = rows.where(long).groupBy(F.col("_digest").alias("_d2")).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    j = rows.join(firsts, long & (F.col("_digest") == F.col("_d2")), "left")
+    firsts = rows.where(long).groupBy("_digest").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    j = join_counted(rows, materialize(firsts, "firsts", "fewer"), "_digest", how="left")
     again = F.col("_first").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_first"))
     return j.select("_id", "_url", "_html", "_digest", F.when(again, "revisit").otherwise("response").alias("_kind"), F.when(again, F.col("_first")).alias("_refers"))
 
@@ -179,13 +260,14 @@ def write_archives(decided: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        name, n, sink = f"{path}/part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz", 0, None
+        part = TaskContext.get().partitionId()
+        name, n, sink = f"{path}/part-{part:05d}-{uuid.uuid4().hex}.warc.gz", 0, None
         for b in batches:
             if sink is None:
                 fs, local = filesystem(name)
                 sink = fs.open_output_stream(local, compression=None)
             for page, url, html, digest, kind, refers in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                sink.write(member(record(page, url, html, kind, refers, digest)))
+                sink.write(member(record(page, url, html, kind, refers, digest, f"{part}-{n}")))
                 n += 1
         if sink is not None:
             sink.close()
@@ -195,7 +277,7 @@ def write_archives(decided: DataFrame, path: str) -> DataFrame:
     return materialize(rows.mapInArrow(run, "file string, n_records long"), "archives")
 
 
-READ_SCHEMA = "file string, record_id string, url string, record_type string, refers_to string, payload_digest string, payload_bytes long, payload binary, gap_start long, gap_end long, gap_reason string"
+READ_SCHEMA = "file string, record_id string, page string, url string, record_type string, refers_to string, payload_digest string, payload_bytes long, payload binary, resynced boolean, gap_start long, gap_end long, gap_reason string"
 
 
 def read_archives(files: DataFrame, payload: bool = True) -> DataFrame:
@@ -203,7 +285,7 @@ def read_archives(files: DataFrame, payload: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in READ_SCHEMA.split(", ")]
-        types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+        types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
         kinds = [types[x.split()[1]] for x in READ_SCHEMA.split(", ")]
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -216,10 +298,11 @@ def read_archives(files: DataFrame, payload: bool = True) -> DataFrame:
                 with fs.open_input_stream(local, compression=None) as stream:
                     for what, x in salvage(stream):
                         if what == "gap":
-                            rows.append((file, None, None, None, None, None, None, None, *x))
+                            rows.append((file, *[None] * 9, *x))
                         else:
                             body = x["block"]
-                            rows.append((file, _urn(x.get("warc-record-id")), x.get("warc-target-uri"), x.get("warc-type"), _urn(x.get("warc-refers-to")), (x.get("warc-payload-digest") or "").removeprefix("sha256:"), int(x.get("x-payload-length", len(body))), body if payload else None, None, None, None))
+                            rid, told = x.get("warc-record-id"), (x.get("warc-payload-digest") or "").removeprefix("sha256:")
+                            rows.append((file, rid, page_of(rid), x.get("warc-target-uri"), x.get("warc-type"), page_of(x.get("warc-refers-to")), told, int(x.get("x-payload-length", len(body))), body if payload else None, "resynced" in x, None, None, None))
                             load += len(body) if payload else 100
                         if load > 1 << 23 or len(rows) >= 5000:
                             yield batch(rows)
@@ -227,11 +310,7 @@ def read_archives(files: DataFrame, payload: bool = True) -> DataFrame:
                 if rows:
                     yield batch(rows)
 
-    return files.select("file").repartition("file").mapInArrow(run, READ_SCHEMA)
-
-
-def _urn(x: str | None) -> str | None:
-    return x.removeprefix("<urn:page:").removesuffix(">") or None if x else None
+    return each_file(files.select("file")).mapInArrow(run, READ_SCHEMA)
 
 
 def digest(pages: DataFrame) -> DataFrame:
@@ -240,4 +319,4 @@ def digest(pages: DataFrame) -> DataFrame:
     kind = pages.schema["page_id"].dataType.simpleString()
     files = write_archives(decide(pages, url_col="url" if "url" in pages.columns else None), new_path(spark, "warc"))
     got = read_archives(files, payload=False)
-    return got.where("gap_start is null").select(F.col("record_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+    return got.where("gap_start is null").select(F.col("page").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))

@@ -3,16 +3,20 @@
 A text is its sequence of five-word shingles (a shorter text is one shingle). Each of ``SKETCHES`` hash
 functions samples the ``ORDER`` least shingles, labelled by their occurrence, and keeps them in text order,
 so that equal sketches speak for a like order and not only for like sets. Texts that share a sketch are
-candidates; a text of up to ``TINY`` different shingles also has the hash of its whole set and of each set
-with one shingle less as keys, which finds every partner of similarity 0.8 for such texts.
+candidates. A text that repeats shingles has sketches of its different shingles too, since these are what is
+verified; one of few also has the hash of its whole set and of each set with one shingle less as keys (with
+two less where it has ``TINY`` + 2), so that texts of up to ``TINY`` find every partner of similarity 0.8.
 
 Candidates are verified on the sequences of different shingles: a banded alignment (longest common
 subsequence within the band that the threshold allows) of L shingles has similarity L / (a + b - L), the
 Jaccard similarity of the shingles that keep their order; it has to be 0.8 or more.
 
 Equal texts are one node. In a bucket of up to ``SMALL`` nodes all are compared. In a larger one all are
-compared with the node that shares most (its hub), and then those that are not connected with the hub are
-compared with all nodes of the bucket, in blocks, each of which gives a spanning forest of its links.
+compared with the node that shares most (its hub). Where some are then not connected with their hub, the
+nodes of such buckets are dealt to new buckets by the rarest of their shingles, of which two texts of
+similarity 0.8 have one in common: an exact way, in which texts that share common passages only do not meet.
+Large buckets of these are treated in the same way, and what is still apart in them (texts whose rarest
+shingles are common and that are unlike the hub) is compared with all of its bucket, in blocks.
 
 Null texts and texts without a word are in no group: a class of their own. Null ids form no class id where
 another id is there. Repeated rows fall into one class. Other columns are ignored.
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .quality import mix
-from .scratch import bound_batches, materialize, sized
+from .scratch import bound_batches, drop, join_counted, materialize, sized
 
 SHINGLE, SIMILAR = 5, 0.8
 SKETCHES, ORDER, TINY = 24, 4, 8
@@ -79,23 +83,35 @@ def label(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(nth > 0, mix(h + nth * np.uint64(0x9E3779B97F4A7C15)), h), np.sort(order[edge])
 
 
-def sketch(h: np.ndarray) -> list[int]:
-    """The keys of a text, as signed 64-bit values."""
-    labelled, first = label(h)
-    keys = []
-    k = min(ORDER, len(h))
+def samples(seq: np.ndarray) -> np.ndarray:
+    """SKETCHES keys of a sequence of different values: each of the ORDER that a hash function puts first, in the order of the text."""
+    k, keys = min(ORDER, len(seq)), []
     for i in range(SKETCHES):
-        x = labelled * SEEDS[i]
+        x = seq * SEEDS[i]
         x ^= x >> np.uint64(31)
         x *= SEEDS[-1 - i]
         at = np.sort(np.argpartition(x, k - 1)[:k]) if k < len(x) else np.arange(k)
-        keys.append((labelled[at] * PLACES[:k]).sum(dtype=np.uint64))
-    keys = [*mix(np.array(keys, np.uint64) * SEEDS + np.arange(SKETCHES, dtype=np.uint64))]
-    if len(first) <= TINY:
+        keys.append((seq[at] * PLACES[:k]).sum(dtype=np.uint64))
+    return mix(np.array(keys, np.uint64) * SEEDS + np.arange(SKETCHES, dtype=np.uint64))
+
+
+def sketch(h: np.ndarray) -> list[int]:
+    """The keys of a text, as signed 64-bit values: samples of its labelled shingles and, where some repeat, of the different ones too."""
+    labelled, first = label(h)
+    keys = [samples(labelled)]
+    if len(first) < len(h):
+        keys.append(samples(h[first]))
+    if len(first) <= TINY + 2:
+        # a partner of similarity 0.8 lacks one shingle of up to TINY + 1, or two of TINY + 2
         parts = mix(h[first])
-        whole = parts.sum(dtype=np.uint64)
-        keys += [mix(np.array([whole]))[0], *mix(whole - parts)] if len(first) > 1 else [mix(np.array([whole]))[0]]
-    return np.unique(np.array(keys, np.uint64)).view(np.int64).tolist()
+        whole, n = parts.sum(dtype=np.uint64), len(parts)
+        keys.append(mix(np.array([whole])))
+        if 1 < n <= TINY + 1:
+            keys.append(mix(whole - parts))
+        if n == TINY + 2:
+            i, j = np.triu_indices(n, 1)
+            keys += [mix(whole - parts), mix(whole - parts[i] - parts[j])]
+    return np.unique(np.concatenate(keys)).view(np.int64).tolist()
 
 
 def common(a: list[int], b: list[int], band: int) -> int:
@@ -198,53 +214,126 @@ def compare(tasks: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a binary, b binary")
 
 
+def star(members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of buckets (key, node, size): the pairs to compare first (a, b, size), the members of large buckets, and their hubs (key, hub).
+
+    Small buckets give all pairs; of a large one each node is paired with its hub, the node whose large buckets hold most.
+    """
+    small, large = members.where(F.col("size") <= SMALL), members.where(F.col("size") > SMALL)
+    other = small.select("key", F.col("node").alias("b"))
+    pairs = small.select("key", F.col("node").alias("a"), "size").join(other, "key").where("a < b").select("a", "b", "size")
+    weight = large.groupBy("node").agg(F.sum("size").alias("weight"))
+    hubs = materialize(large.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("h"), F.first("size").alias("n")).select("key", F.col("h.node").alias("hub"), "n"), "hubs", "fewer")
+    spokes = join_counted(large, hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), "size")
+    both = pairs.unionByName(spokes).groupBy("a", "b").agg(F.max("size").alias("size"))
+    return materialize(both, "pairs", "gathered"), large, hubs
+
+
+def verify(pairs: DataFrame, texts: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) among pairs (a, b, size). The right sides of one left side that come from a large bucket are dealt to many tasks."""
+    dealt = pairs.withColumn("task", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / RIGHT).cast("int"))))
+    none = F.lit(None).cast("binary").alias("group")
+    left = dealt.select("task", F.lit(0).alias("side"), F.col("a").alias("node")).distinct()
+    tasks = left.unionByName(dealt.select("task", F.lit(1).alias("side"), F.col("b").alias("node")).distinct())
+    if groups is None:
+        tasks = tasks.select("task", "side", "node", none)
+    else:
+        tasks = tasks.join(groups.select("node", F.col("label").alias("group")), "node", "left").select("task", "side", "node", "group")
+    return materialize(compare(tasks, texts), "links", "gathered")
+
+
+def left_apart(large: DataFrame, hubs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members (key, node, group, apart) of the large buckets in which some node is not in its hub's group (apart)."""
+    group = groups.select("node", F.col("label").alias("group"))
+    of_hub = hubs.join(group.select(F.col("node").alias("hub"), F.col("group").alias("hub_group")), "hub", "left")
+    rest = join_counted(large.drop("size").join(group, "node", "left"), materialize(of_hub, "hubs", "fewer"), "key")
+    apart = ~F.coalesce(F.col("group") == F.col("hub_group"), F.col("node") == F.col("hub"))
+    rest = rest.withColumn("apart", apart).select("key", "node", "group", "apart")
+    some = rest.where("apart").groupBy("key").agg(F.count(F.lit(1)).alias("u"))
+    return materialize(rest.join(some.select("key"), "key"), "apart", "fewer")
+
+
+def prefixes(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Buckets (key, node, size) of nodes (node, apart) by the rarest of their shingles: the exact way for large buckets.
+
+    Shingles are ordered by how many of the nodes have them. Of n different shingles a partner of similarity
+    0.8 lacks a fifth at most, so that the first n - ceil(0.8 n) + 1 of either have one in common. Buckets
+    without a node that is apart are left out.
+    """
+    rows = nodes.join(texts, "node").select("node", "apart", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for b in batches:
+            for node, apart, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                h = np.unique(shingler(text)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([node] * len(h), pa.binary()), pa.array([apart] * len(h), pa.bool_()), pa.array(h)], names=["node", "apart", "key"])
+
+    each = materialize(rows.mapInArrow(run, "node binary, apart boolean, key long"), "shingles")
+    counts = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("apart").cast("int")).alias("aparts"))
+    counts = materialize(counts.withColumn("df", F.col("n")), "counts", "fewer")
+    ranked = join_counted(each, counts, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "key", "aparts"))).alias("s"))
+    first = F.expr(f"slice(s, 1, cast(size(s) - ceil(round({SIMILAR} * size(s), 6)) + 1 as int))")
+    rare = ranked.select("node", F.explode(first).alias("x")).select(F.col("x.key").alias("key"), "node").where("x.df > 1 and x.aparts > 0")
+    rare = materialize(rare, "rare")
+    sizes = materialize(rare.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("size", F.col("n")), "sizes", "fewer")
+    out = materialize(join_counted(rare, sizes, "key").select("key", "node", "size"), "members", "gathered")
+    for x in (each, counts, rare, sizes):
+        drop(x)
+    return out
+
+
+def all_pairs(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links of each node that is apart with all nodes of its bucket (rest: key, node, group, apart), in blocks of bounded size."""
+    sizes = rest.groupBy("key").agg(F.sum(F.col("apart").cast("int")).alias("u"), F.count(F.lit(1)).alias("n"))
+    sizes = sizes.select("key", F.ceil(F.col("u") / LEFT).cast("int").alias("lefts"), F.ceil(F.col("n") / RIGHT).cast("int").alias("rights"), "n")
+    rest = join_counted(rest, materialize(sizes, "sizes", "fewer"), "key")
+    block = F.xxhash64("node")
+    left = rest.where("apart").withColumn("l", F.pmod(block, F.col("lefts"))).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rights") - 1)))
+    right = rest.withColumn("r", F.pmod(block, F.col("rights"))).withColumn("l", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)))
+    deal = lambda x, side: x.select(F.xxhash64("key", F.col("l").cast("long"), F.col("r").cast("long")).alias("task"), F.lit(side).alias("side"), "node", "group")
+    return materialize(compare(deal(left, 0).unionByName(deal(right, 1)), texts), "links", "gathered")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: _id, node, label (a node of its class; null without words), class_id (the least id of its class)."""
     made = materialize(sketches(docs, id_col, text_col), "sketches")
     nodes = made.where("node is not null").groupBy("node").agg(F.min("_id").alias("rep"))
     each = made.where("node is not null").dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
-    sizes = each.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = materialize(each.join(sizes, "key"), "members", "gathered")
+    sizes = materialize(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("size", F.col("n")), "sizes", "fewer")
+    members = materialize(join_counted(each, sizes, "key"), "members", "gathered")
     candidates = members.select("node").distinct()
     # the text of a candidate comes from its representative alone, not from each copy
     wanted = nodes.join(candidates, "node").select(F.col("node").alias("n2"), "rep")
     source = docs.select(F.col(f"`{id_col}`").alias("_id"), F.unhex(F.md5(f"`{text_col}`")).alias("node"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     texts = source.join(wanted, (F.col("node") == F.col("n2")) & F.col("_id").eqNullSafe(F.col("rep"))).select("node", "text")
     texts = materialize(sized(texts.dropDuplicates(["node"]), docs), "texts")
-    # small buckets: all pairs; large ones: the node whose buckets hold most is the hub
-    small, large = members.where(F.col("size") <= SMALL), members.where(F.col("size") > SMALL)
-    other = small.select("key", F.col("node").alias("b"))
-    pairs = small.select("key", F.col("node").alias("a")).join(other, "key").where("a < b").select("a", "b")
-    weight = large.groupBy("node").agg(F.sum("size").alias("weight"))
-    hubs = large.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("h")).select("key", F.col("h.node").alias("hub"))
-    hubs = materialize(hubs, "hubs", "fewer")
-    spokes = large.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    pairs = materialize(pairs.unionByName(spokes).distinct(), "pairs", "gathered")
-    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / RIGHT).cast("int").alias("blocks"))
-    dealt = pairs.join(many, "a").withColumn("task", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("blocks"))))
-    none = F.lit(None).cast("binary").alias("group")
-    tasks = dealt.select("task", F.lit(0).alias("side"), F.col("a").alias("node"), none).distinct().unionByName(dealt.select("task", F.lit(1).alias("side"), F.col("b").alias("node"), none))
-    links = materialize(compare(tasks, texts), "links", "gathered")
-    groups = components(links)
+    pairs, large, hubs = star(members)
+    links = verify(pairs, texts)
+    groups, used = components(links), [sizes, members, texts, pairs, hubs, links]
+    # large buckets whose nodes are not all linked with the hub are cut by their rarest shingles, and what is then left by blocks
     if large.limit(1).count():
-        group = groups.select("node", F.col("label").alias("group"))
-        of_hub = group.select(F.col("node").alias("hub"), F.col("group").alias("hub_group"))
-        rest = large.join(hubs, "key").join(group, "node", "left").join(of_hub, "hub", "left")
-        apart = ~F.coalesce(F.col("group") == F.col("hub_group"), F.col("node") == F.col("hub"))
-        rest = materialize(rest.withColumn("apart", apart).select("key", "node", "group", "apart"), "rest", "fewer")
-        sizes = rest.groupBy("key").agg(F.sum(F.col("apart").cast("int")).alias("u"), F.count(F.lit(1)).alias("g")).where("u > 0")
-        sizes = sizes.select("key", F.ceil(F.col("u") / LEFT).cast("int").alias("lefts"), F.ceil(F.col("g") / RIGHT).cast("int").alias("rights"))
-        rest = rest.join(sizes, "key")
-        block = F.xxhash64("node")
-        left = rest.where("apart").withColumn("l", F.pmod(block, F.col("lefts"))).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rights") - 1)))
-        right = rest.withColumn("r", F.pmod(block, F.col("rights"))).withColumn("l", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)))
-        deal = lambda x, side: x.select(F.xxhash64("key", F.col("l").cast("long"), F.col("r").cast("long")).alias("task"), F.lit(side).alias("side"), "node", "group")
-        more = materialize(compare(deal(left, 0).unionByName(deal(right, 1)), texts), "links", "gathered")
-        groups = components(links.unionByName(more))
+        rest = left_apart(large, hubs, groups)
+        used.append(rest)
+        if rest.limit(1).count():
+            members = prefixes(rest.groupBy("node").agg(F.max("apart").alias("apart")), texts)
+            pairs, large, hubs = star(members)
+            more = verify(pairs, texts, groups)
+            links = links.unionByName(more)
+            groups = components(links)
+            rest = left_apart(large, hubs, groups)
+            used += [members, pairs, hubs, more, rest]
+            if rest.limit(1).count():
+                groups = components(links.unionByName(all_pairs(rest, texts)))
+    for x in used:
+        drop(x)
     of = nodes.join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = of.groupBy("label").agg(F.min("rep").alias("class_id"))
-    of = of.join(least, "label").select(F.col("node").alias("n3"), "label", "class_id")
-    out = made.select("_id", "node").join(of, F.col("node") == F.col("n3"), "left")
+    least = of.groupBy("label").agg(F.min("rep").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    of = join_counted(of, materialize(least, "least", "fewer"), "label").select(F.col("node").alias("n3"), "label", "class_id")
+    # all copies of a text have one node: the rows of the commonest texts stay where they are
+    copies = made.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    of = materialize(of.join(copies, F.col("n3") == F.col("node")).select("node", "label", "class_id", "n"), "of", "fewer")
+    out = join_counted(made.select("_id", "node"), of, "node", how="left")
     return out.select("_id", "node", "label", F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 

@@ -26,6 +26,8 @@ from .scratch import bound_batches
 
 PROFILE, LONGEST = 300, 4
 UNKNOWN = "und"
+#: N-grams that a worker counts at once, and different ones of all languages that it remembers before it passes their counts on.
+WAITING, HELD = 2_000_000, 4_000_000
 
 
 @cache
@@ -56,6 +58,15 @@ def grams(text: str) -> np.ndarray:
     return np.concatenate(out)
 
 
+def grams_of(gram: str) -> np.uint64:
+    """The hash that stands for one n-gram, a space at either end included."""
+    cp = np.frombuffer(gram.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = cp[0]
+    for n in range(2, len(cp) + 1):
+        h = (h << np.uint64(21)) + cp[n - 1] if n < 4 else (mix(np.array([h]))[0] + cp[n - 1]) | np.uint64(1 << 63)
+    return h
+
+
 def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     v = np.sort(values)
     edge = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
@@ -92,20 +103,27 @@ def learn(train: DataFrame, text_col: str = "text", lang_col: str = "lang", prof
                 v, c = both[edge], np.add.reduceat(n, edge)
             held[lang] = (v, c)
 
+        def told() -> Iterator[pa.RecordBatch]:
+            for lang, (v, c) in held.items():
+                for i in range(0, len(v), 50_000):
+                    part = v[i : i + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part.view(np.int64)), pa.array(c[i : i + 50_000])], names=["lang", "gram", "n"])
+            held.clear()
+
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 g = grams(text)
                 if len(g):
                     waiting.setdefault(lang, []).append(g)
                     load[lang] = load.get(lang, 0) + len(g)
-                    if load[lang] > 2_000_000:
-                        settle(lang)
+                    if sum(load.values()) > WAITING:
+                        for x in list(waiting):
+                            settle(x)
+                        if sum(len(v) for v, _ in held.values()) > HELD:
+                            yield from told()
         for lang in list(waiting):
             settle(lang)
-        for lang, (v, c) in held.items():
-            for i in range(0, len(v), 50_000):
-                part = v[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part.view(np.int64)), pa.array(c[i : i + 50_000])], names=["lang", "gram", "n"])
+        yield from told()
 
     sums = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # the unsigned order of hashes, as in top()

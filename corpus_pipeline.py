@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from citeloom.llm import decontam, langid, mixing, neardup, tokens
 from citeloom.llm.scratch import materialize, sized
 
-#: Least score of a language for a document to stay.
-LEAST_SCORE = 0.05
+#: Least score of a language for a document of LEAST_WORDS words or more to stay, and for a shorter one, whose few n-grams tell little.
+LEAST_SCORE, LEAST_SHORT, LEAST_WORDS = 0.25, 0.05, 5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +21,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     d = langid.fold(docs, "doc_id", 4)
     profiles = langid.learn(d.where(~F.col("_held")))
     judged = langid.annotate(docs, profiles, pred="__lang", score="__score")
-    return judged.where((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
+    least = F.when(mixing.n_words(F.col("text")) >= LEAST_WORDS, LEAST_SCORE).otherwise(LEAST_SHORT)
+    return judged.where((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= least)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,7 +41,8 @@ SKETCHES, ORDER, TINY = 24, 4, 8
 SMALL = 16
 #: Nodes in a block of the left and of the right side of a comparison.
 LEFT, RIGHT = 256, 1024
-REMEMBERED = 100_000
+#: Words and texts whose hashes and keys a worker remembers.
+REMEMBERED, KEPT = 100_000, 5_000
 FACTORS = mix(np.arange(1, SHINGLE + 1)) | np.uint64(1)
 SEEDS = mix(np.arange(101, 101 + SKETCHES)) | np.uint64(1)
 PLACES = mix(np.arange(301, 301 + ORDER)) | np.uint64(1)
@@ -156,9 +157,18 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kind = rows.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
+        shingler, known = Shingler(), {}
+
+        def keys_of(node: bytes | None, text: bytes) -> list[int] | None:
+            if node not in known:
+                if len(known) >= KEPT:
+                    known.clear()
+                h = shingler(text)
+                known[node] = sketch(h) if len(h) else None
+            return known[node]
+
         for b in batches:
-            keys = [sketch(h) if len(h := shingler(t)) else None for t in b.column(2).to_pylist()]
+            keys = [keys_of(n, t) for n, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             node = [n if k else None for n, k in zip(b.column(1).to_pylist(), keys, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["_id", "node", "keys"])
 
@@ -215,30 +225,34 @@ def compare(tasks: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def star(members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of buckets (key, node, size): the pairs to compare first (a, b, size), the members of large buckets, and their hubs (key, hub).
+    """Of buckets (key, node, size, group, apart): the pairs to compare first (a, b, size), the members of large buckets, and their hubs (key, hub).
 
-    Small buckets give all pairs; of a large one each node is paired with its hub, the node whose large buckets hold most.
+    Small buckets give all pairs; of a large one each node is paired with its hub, the node whose large
+    buckets hold most. Pairs of one group and those of which neither node is apart are left out.
     """
+    if "group" not in members.columns:
+        members = members.withColumn("group", F.lit(None).cast("binary")).withColumn("apart", F.lit(True))
+    side = lambda i: [F.col(c).alias(f"{c}{i}") for c in ("node", "group", "apart")]
+    wanted = (F.col("apart1") | F.col("apart2")) & ~F.coalesce(F.col("group1") == F.col("group2"), F.lit(False))
+    ends = [F.col("node1").alias("a"), F.col("node2").alias("b"), "size"]
     small, large = members.where(F.col("size") <= SMALL), members.where(F.col("size") > SMALL)
-    other = small.select("key", F.col("node").alias("b"))
-    pairs = small.select("key", F.col("node").alias("a"), "size").join(other, "key").where("a < b").select("a", "b", "size")
+    pairs = small.select("key", "size", *side(1)).join(small.select("key", *side(2)), "key").where("node1 < node2").where(wanted).select(*ends)
     weight = large.groupBy("node").agg(F.sum("size").alias("weight"))
-    hubs = materialize(large.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("h"), F.first("size").alias("n")).select("key", F.col("h.node").alias("hub"), "n"), "hubs", "fewer")
-    spokes = join_counted(large, hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), "size")
-    both = pairs.unionByName(spokes).groupBy("a", "b").agg(F.max("size").alias("size"))
-    return materialize(both, "pairs", "gathered"), large, hubs
+    best = large.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node", "group", "apart")).alias("h"), F.first("size").alias("n"))
+    hubs = materialize(best.select("key", *[F.col(f"h.{c}").alias(f"{c}1") for c in ("node", "group", "apart")], "n"), "hubs", "fewer")
+    spokes = join_counted(large.select("key", "size", *side(2)), hubs, "key").where("node1 <> node2").where(wanted).select(*ends)
+    both = materialize(pairs.unionByName(spokes).groupBy("a", "b").agg(F.max("size").alias("size")), "pairs", "gathered")
+    out = hubs.select("key", F.col("node1").alias("hub"), "n")
+    out._citeloom_path = hubs._citeloom_path
+    return both, large.select("key", "node", "size"), out
 
 
-def verify(pairs: DataFrame, texts: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) among pairs (a, b, size). The right sides of one left side that come from a large bucket are dealt to many tasks."""
     dealt = pairs.withColumn("task", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / RIGHT).cast("int"))))
     none = F.lit(None).cast("binary").alias("group")
-    left = dealt.select("task", F.lit(0).alias("side"), F.col("a").alias("node")).distinct()
-    tasks = left.unionByName(dealt.select("task", F.lit(1).alias("side"), F.col("b").alias("node")).distinct())
-    if groups is None:
-        tasks = tasks.select("task", "side", "node", none)
-    else:
-        tasks = tasks.join(groups.select("node", F.col("label").alias("group")), "node", "left").select("task", "side", "node", "group")
+    left = dealt.select("task", F.lit(0).alias("side"), F.col("a").alias("node"), none).distinct()
+    tasks = left.unionByName(dealt.select("task", F.lit(1).alias("side"), F.col("b").alias("node"), none).distinct())
     return materialize(compare(tasks, texts), "links", "gathered")
 
 
@@ -254,30 +268,33 @@ def left_apart(large: DataFrame, hubs: DataFrame, groups: DataFrame) -> DataFram
 
 
 def prefixes(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Buckets (key, node, size) of nodes (node, apart) by the rarest of their shingles: the exact way for large buckets.
+    """Buckets (key, node, size, group, apart) of nodes (node, group, apart) by the rarest of their shingles: the exact way for large buckets.
 
     Shingles are ordered by how many of the nodes have them. Of n different shingles a partner of similarity
-    0.8 lacks a fifth at most, so that the first n - ceil(0.8 n) + 1 of either have one in common. Buckets
-    without a node that is apart are left out.
+    0.8 lacks a fifth at most, so that the first n - ceil(0.8 n) + 1 of either have one in common. Those that
+    one node alone has come first and are only counted. Buckets without a node that is apart are left out.
     """
-    rows = nodes.join(texts, "node").select("node", "apart", "text")
+    rows = nodes.join(texts, "node").select(F.xxhash64("node").alias("_n"), "apart", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for b in batches:
             for node, apart, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 h = np.unique(shingler(text)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([node] * len(h), pa.binary()), pa.array([apart] * len(h), pa.bool_()), pa.array(h)], names=["node", "apart", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node)), pa.array(np.full(len(h), len(h), np.int32)), pa.array([apart] * len(h), pa.bool_()), pa.array(h)], names=["_n", "of", "apart", "key"])
 
-    each = materialize(rows.mapInArrow(run, "node binary, apart boolean, key long"), "shingles")
-    counts = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("apart").cast("int")).alias("aparts"))
+    each = materialize(rows.mapInArrow(run, "_n long, of int, apart boolean, key long"), "shingles")
+    counts = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("apart").alias("any")).where("n > 1")
     counts = materialize(counts.withColumn("df", F.col("n")), "counts", "fewer")
-    ranked = join_counted(each, counts, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "key", "aparts"))).alias("s"))
-    first = F.expr(f"slice(s, 1, cast(size(s) - ceil(round({SIMILAR} * size(s), 6)) + 1 as int))")
-    rare = ranked.select("node", F.explode(first).alias("x")).select(F.col("x.key").alias("key"), "node").where("x.df > 1 and x.aparts > 0")
+    shared = join_counted(each.select("_n", "of", "key"), counts, "key")
+    ranked = shared.groupBy("_n").agg(F.first("of").alias("of"), F.array_sort(F.collect_list(F.struct("df", "key", "any"))).alias("s"))
+    first = F.expr(f"slice(s, 1, greatest(0, cast(of - ceil(round({SIMILAR} * of, 6)) + 1 - (of - size(s)) as int)))")
+    rare = ranked.select("_n", F.explode(first).alias("x")).where("x.any").select(F.col("x.key").alias("key"), "_n")
     rare = materialize(rare, "rare")
     sizes = materialize(rare.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("size", F.col("n")), "sizes", "fewer")
-    out = materialize(join_counted(rare, sizes, "key").select("key", "node", "size"), "members", "gathered")
+    names = nodes.select(F.xxhash64("node").alias("_n"), "node", "group", "apart")
+    out = join_counted(rare, sizes, "key").join(names, "_n").select("key", "node", "size", "group", "apart")
+    out = materialize(out, "members", "gathered")
     for x in (each, counts, rare, sizes):
         drop(x)
     return out
@@ -316,9 +333,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         rest = left_apart(large, hubs, groups)
         used.append(rest)
         if rest.limit(1).count():
-            members = prefixes(rest.groupBy("node").agg(F.max("apart").alias("apart")), texts)
+            members = prefixes(rest.groupBy("node").agg(F.first("group").alias("group"), F.max("apart").alias("apart")), texts)
             pairs, large, hubs = star(members)
-            more = verify(pairs, texts, groups)
+            more = verify(pairs, texts)
             links = links.unionByName(more)
             groups = components(links)
             rest = left_apart(large, hubs, groups)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize, running
+from .scratch import join_counted, materialize, running
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -35,6 +35,11 @@ def seeded_step(id_col: Column, text: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(told), 1, 4), 16, 10).cast("int")
 
 
+def source_key(source: Column) -> Column:
+    """A source, or null, as text that is never null."""
+    return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), source.cast("string")))
+
+
 def ranked_weights(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """sources (source, source_size) with weight: in code-point order, null last, the weights in turn."""
     placed = running(sources.withColumn("_one", F.lit(1)), "_one", F.col("source").asc_nulls_last(), name="_place")
@@ -90,11 +95,12 @@ def plan_repetitions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     fine = fine.join(by_coarse, F.col("source").eqNullSafe(F.col("s2")) & (F.col("_coarse") == F.col("c2"))).drop("s2", "c2")
     t = targets.select(F.col("source").alias("s3"), "source_size", "target", "whole", "rest")
     fine = fine.join(t, F.col("source").eqNullSafe(F.col("s3"))).drop("s3")
-    # the last step is taken if that comes nearer to the target than leaving it
-    fine = fine.withColumn("more", ((F.col("c_before") + F.col("f_before") + F.col("step_size") / 2) <= F.col("rest")).cast("int"))
-    fine = materialize(fine.select(F.col("source").alias("s4"), F.col("_step").alias("st4"), "source_size", "target", "whole", "more"), "plan", "fewer")
-    out = sized.join(fine, F.col("source").eqNullSafe(F.col("s4")) & (F.col("_step") == F.col("st4")), "left").drop("s4", "st4", "_step")
-    return out.withColumn("times", F.least(F.col("whole") + F.col("more"), F.lit(max_epochs)))
+    # the last step is taken if that comes nearer to the target than leaving it; what comes before only grows, so that a source has one last step
+    more = (F.col("c_before") + F.col("f_before") + F.col("step_size") / 2) <= F.col("rest")
+    last = fine.groupBy("source", "source_size", "target", "whole").agg(F.max(F.when(more, F.col("_step"))).alias("_last"), F.sum("n").alias("n"))
+    told = materialize(last.select(source_key(F.col("source")).alias("_key"), "source_size", "target", "whole", "_last", "n"), "plan", "fewer")
+    out = join_counted(sized.withColumn("_key", source_key(F.col("source"))), told, "_key").withColumn("more", F.coalesce(F.col("_step") <= F.col("_last"), F.lit(False)).cast("int"))
+    return out.drop("_key", "_step", "_last").withColumn("times", F.least(F.col("whole") + F.col("more"), F.lit(max_epochs)))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -97,7 +97,7 @@ def read_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         first, made = TaskContext.get().partitionId() << 32, 0
         id_type = None
-        ids, held, numbers, index, load = [], [], [], {}, 0
+        ids, held, numbers, index, load = [], [], [], Numbers(), 0
 
         def out() -> Iterator[pa.RecordBatch]:
             block, n = first + made, len(index)
@@ -121,13 +121,13 @@ def read_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             id_type = b.schema.field(0).type
             for doc, h, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 words = text.translate(LOWER).split()
-                numbers.append(np.fromiter((index.setdefault(w, len(index)) for w in words), np.uint32, len(words)))
+                numbers.append(np.fromiter(map(index.__getitem__, words), np.uint32, len(words)))
                 ids.append(doc)
                 held.append(h)
                 load += len(text) + 64
                 if load >= BLOCK_BYTES:
                     yield from out()
-                    ids, held, numbers, index, load, made = [], [], [], {}, 0, made + 1
+                    ids, held, numbers, index, load, made = [], [], [], Numbers(), 0, made + 1
         if ids:
             yield from out()
 
@@ -163,6 +163,14 @@ def _groups(lengths: np.ndarray) -> Iterator[np.ndarray]:
         yield order[cut == k]
 
 
+class Numbers(dict):
+    """Words to numbers, in the order in which they are asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Recursion:
     """Scaled forward (and backward) recursions over a group of class sequences at once, longest first; each ends with the end class.
 
@@ -236,7 +244,6 @@ class Recursion:
                     now[:n] *= beta
                 w = now
             w = w.copy()
-            alpha /= alpha.sum(1)[:, None]
             order = np.argsort(obs, kind="stable")
             seen = obs[order]
             edge = np.flatnonzero(np.concatenate(([True], seen[1:] != seen[:-1])))

@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from .. import ship
 from ..functions.keys import key
@@ -21,7 +22,6 @@ from .parallel import group
 from .resolve import authorities, resolve_rows
 
 SCHEMA = table(CITATION)
-ARROW = to_arrow_schema(SCHEMA)
 FIELD_NAMES = [f.name for f in SCHEMA["fields"].dataType.fields]
 NOTES = "array<struct<number:int,start:int,end:int,sequence:int>>"
 
@@ -51,15 +51,25 @@ def read(text: str, o: Options, g: Registry = SEED, notes: list[dict] | None = N
     return [c for c in citations if (not o.remove_ambiguous or not is_ambiguous(c)) and (o.authorities is None or c["authority"] in o.authorities or c["form"] != "full") and (o.forms is None or c["form"] in o.forms)]
 
 
-def extract(docs: DataFrame, notes: DataFrame | None = None, options: Options | None = None, registry: Registry = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each citation of each document, in the schema CITATION.
+def schema_for(id_type: T.DataType) -> T.StructType:
+    """The schema CITATION with ids of a type, and a column for what went wrong."""
+    return T.StructType([T.StructField("doc_id", id_type), *SCHEMA.fields[1:], T.StructField("error", T.StringType())])
 
-    notes: doc_id, number, start, end, sequence. A text that can't be read has no citations. The map has no
-    shuffle but for the join with notes; each text is read by itself.
+
+def extract(docs: DataFrame, notes: DataFrame | None = None, options: Options | None = None, registry: Registry = SEED, id_col: str = "doc_id", text_col: str = "text", on_error: str = "record") -> DataFrame:
+    """A row for each citation of each document, in the schema CITATION; ids keep their type.
+
+    notes: doc_id, number, start, end, sequence. on_error: "record" gives a text that can't be read one row
+    with its id and the error, and nothing else; "raise" ends the job. The map has no shuffle but for the
+    join with notes; each text is read by itself.
     """
+    if on_error not in ("record", "raise"):
+        raise ValueError(f"on_error is record or raise, not {on_error!r}")
     ship(docs.sparkSession)
     o = options or Options()
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    schema = schema_for(docs.schema[id_col].dataType)
+    arrow = to_arrow_schema(schema)
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     if notes is None:
         rows = rows.withColumn("notes", F.lit(None).cast(NOTES))
     else:
@@ -74,13 +84,16 @@ def extract(docs: DataFrame, notes: DataFrame | None = None, options: Options |
                     continue
                 try:
                     found = read(text, o, registry, note)
-                except Exception:  # one text must not end the job
+                except Exception as e:  # one text need not end the job, but it leaves a trace
+                    if on_error == "raise":
+                        raise
+                    out.append({"doc_id": doc, "error": f"{type(e).__name__}: {e}"})
                     continue
                 out += [{"doc_id": doc, **c, "fields": {k: c["fields"].get(k) for k in FIELD_NAMES}} for c in found]
             if out:
-                yield pa.RecordBatch.from_pylist(out, schema=ARROW)
+                yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(run, schema)
 
 
 def resolve(citations: DataFrame, notes: DataFrame | None = None, registry: Registry = SEED) -> DataFrame:
@@ -90,8 +103,9 @@ def resolve(citations: DataFrame, notes: DataFrame | None = None, registry: Regi
     group at a time.
     """
     ship(citations.sparkSession)
-    needed = [c for c in citations.columns if c not in ("doc_id", "url", "reasons", "interpretations")]
-    rows = citations.groupBy("doc_id").agg(F.collect_list(F.struct(*needed)).alias("c"))
+    needed = [c for c in citations.columns if c not in ("doc_id", "url", "reasons", "interpretations", "error")]
+    id_kind = citations.schema["doc_id"].dataType
+    rows = citations.where("index is not null").groupBy("doc_id").agg(F.collect_list(F.struct(*needed)).alias("c"))
     if notes is None:
         rows = rows.withColumn("n", F.lit(None).cast(NOTES))
     else:
@@ -104,10 +118,10 @@ def resolve(citations: DataFrame, notes: DataFrame | None = None, registry: Regi
             for doc, found, note in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 out += [(doc, r["index"], r["antecedent"], r["reason"]) for r in resolve_rows(found, note, registry)]
             if out:
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string())
+                kinds = (to_arrow_type(id_kind), pa.int32(), pa.int32(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "index", "antecedent", "reason"])
 
-    return rows.mapInArrow(run, "doc_id long, index int, antecedent int, reason string")
+    return rows.mapInArrow(run, f"doc_id {id_kind.simpleString()}, index int, antecedent int, reason string")
 
 
 def clusters(citations: DataFrame) -> DataFrame:

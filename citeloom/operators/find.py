@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 from ..functions.text import plain
 from ..schema import GUIDES
@@ -156,10 +158,38 @@ def style(text: str, c: dict, floor: int) -> None:
     c["short_name"] = (c["style"] or {}).get("text")
 
 
+#: Code points before a citation in which its style, the name of a reference or a title are looked for.
+BEFORE = 1500
+
+
+class Taken:
+    """Extents of citations, for questions about places that take a search and not a walk."""
+
+    def __init__(self, citations: list[dict]):
+        spans = sorted((c["full_span"]["start"], c["full_span"]["end"]) for c in citations)
+        self.starts, self.reach = [s for s, _ in spans], list(accumulate((e for _, e in spans), max))
+        self.ends = sorted(e for _, e in spans)
+
+    def overlaps(self, start: int, end: int) -> bool:
+        i = bisect_left(self.starts, end)
+        return i > 0 and self.reach[i - 1] > start
+
+    def end_before(self, at: int) -> int:
+        """The last end at or before a place, 0 if there is none."""
+        i = bisect_right(self.ends, at)
+        return self.ends[i - 1] if i else 0
+
+    def start_from(self, at: int, default: int) -> int:
+        """The first start at or after a place."""
+        i = bisect_left(self.starts, at)
+        return self.starts[i] if i < len(self.starts) else default
+
+
 def back_references(text: str, taken: list[dict]) -> list[dict]:
-    out = []
+    out, cores, last = [], Taken(taken), 0
     for m in gr.BACK.finditer(text):
-        if any(c["span"]["start"] < m.end() and m.start() < c["full_span"]["end"] for c in taken):
+        # a core's style begins before it, so what lies in a style is part of the core's extent
+        if cores.overlaps(m.start(), m.end()):
             continue
         form = "ibid" if m["ibid"] else "supra"
         c = blank(form, m.start(), m.end(), text)
@@ -170,7 +200,7 @@ def back_references(text: str, taken: list[dict]) -> list[dict]:
         if "précit" in m[0]:
             c["language"] = "fr"
         if form == "supra":
-            floor = max([0, *(x["full_span"]["end"] for x in [*taken, *out] if x["full_span"]["end"] <= m.start())])
+            floor = max(cores.end_before(m.start()), last, m.start() - 300)
             n = gr.NAME_BEFORE.search(text[floor : m.start()])
             if n:
                 s = n.start("name")
@@ -182,6 +212,7 @@ def back_references(text: str, taken: list[dict]) -> list[dict]:
                     c["style"] = md.span(text, floor + s, floor + n.end("name"))
             elif form == "supra" and m["n3"] and not n:
                 continue
+        last = m.end()
         out.append(c)
     return out
 
@@ -204,40 +235,61 @@ def names_of(c: dict) -> list[str]:
 
 
 def name_references(text: str, citations: list[dict], o) -> list[dict]:
-    """Names of earlier full citations with a pinpoint, or joined by and to another reference."""
-    out = []
+    """Names of earlier full citations with a pinpoint, or joined by and to another reference: one pass over the words of the text."""
+    since: dict[str, tuple[int, bool]] = {}
     for c in citations:
-        if c["form"] != "full":
-            continue
-        for n in names_of(c):
-            for m in re.finditer(rf"(?<![\w]){re.escape(n)}(?![\w'’])", text if o.early_references else text[c["full_span"]["end"] :]):
-                a = m.start() + (0 if o.early_references else c["full_span"]["end"])
-                b = a + len(n)
-                if any(x["full_span"]["start"] < b and a < x["full_span"]["end"] for x in [*citations, *out]):
-                    continue
-                pin = gr.PINPOINT.match(text, b) or gr.BARE_PAGE.match(text, b)
-                joined = re.search(r"\band\s+$", text[:a]) and any(x["form"] in ("supra", "ibid", "reference") and x["full_span"]["end"] == a - len(re.search(r"\s*\band\s+$", text[:a])[0]) for x in [*citations, *out])
-                if not joined and not (pin and pin["lead"].strip()):
-                    continue
-                r = blank("reference", a, b, text)
-                r |= {"short_name": n}
-                r["reasons"].append("short_form" if n == c.get("explicit_short_name") else "case_name")
-                out.append(r)
+        if c["form"] == "full":
+            for n in names_of(c):
+                at = 0 if o.early_references else c["full_span"]["end"]
+                if n not in since or at < since[n][0]:
+                    since[n] = at, n == c.get("explicit_short_name")
+    by_word: dict[str, list[str]] = {}
+    for n in sorted(since, key=len, reverse=True):
+        by_word.setdefault(re.match(r"\w+", n)[0], []).append(n)
+    if not by_word:
+        return []
+    taken, last, out = Taken(citations), 0, []
+    ends = {c["full_span"]["end"] for c in citations if c["form"] in ("supra", "ibid", "reference")}
+    for w in re.finditer(r"\w+", text):
+        for n in by_word.get(w[0], ()):
+            a, b = w.start(), w.start() + len(n)
+            at, short = since[n]
+            if a < max(at, last) or not text.startswith(n, a) or text[b : b + 1] in ("'", "’") or text[b : b + 1].isalnum() or text[b : b + 1] == "_" or taken.overlaps(a, b):
+                continue
+            pin = gr.PINPOINT.match(text, b) or gr.BARE_PAGE.match(text, b)
+            joining = re.search(r"\s*\band\s+$", text[max(0, a - 40) : a])
+            joined = joining and a - len(joining[0]) in ends
+            if not joined and not (pin and pin["lead"].strip()):
+                continue
+            r = blank("reference", a, b, text)
+            r |= {"short_name": n}
+            r["reasons"].append("short_form" if short else "case_name")
+            out.append(r)
+            ends.add(b)
+            last = b
+            break
     return out
 
 
 def find(text: str, g: Registry = SEED, o=None, notes: list[dict] | None = None) -> list[dict]:
-    """All citations of a text, by place, with index; notes: ranges that no citation crosses."""
+    """All citations of a text, by place, with index; notes: ranges that no citation crosses. Takes time in proportion to the text."""
     edges = sorted({e for n in notes or [] for e in (n["start"], n["end"])})
-    floor_of = lambda at: max([0, *(e for e in edges if e <= at)])
-    limit_of = lambda at: min([len(text), *(e for e in edges if e > at)])
-    cores = [c for c in anchors(text, g, o) if not any(c["span"]["start"] < e < c["span"]["end"] for e in edges)]
+
+    def floor_of(at: int) -> int:
+        i = bisect_right(edges, at)
+        return edges[i - 1] if i else 0
+
+    def limit_of(at: int) -> int:
+        i = bisect_right(edges, at)
+        return min(len(text), edges[i]) if i < len(edges) else len(text)
+
+    cores = [c for c in anchors(text, g, o) if limit_of(c["span"]["start"]) >= c["span"]["end"]]
     end = 0
     for i, c in enumerate(cores):
         floor = max(end, floor_of(c["span"]["start"]))
-        style(text, c, floor)
+        style(text, c, max(floor, c["span"]["start"] - BEFORE))
         nxt = cores[i + 1]["span"]["start"] if i + 1 < len(cores) else len(text)
-        back = gr.BACK.search(text, c["span"]["end"], nxt)
+        back = gr.BACK.search(text, c["span"]["end"], min(nxt, c["span"]["end"] + 4 * BEFORE))
         limit = min(nxt, back.start() if back and back["supra"] is None else nxt, limit_of(c["span"]["end"]))
         stop = md.tail(text, c, limit, g)
         begin = min(c["style"]["start"] if c["style"] else c["span"]["start"], c["span"]["start"])
@@ -248,22 +300,28 @@ def find(text: str, g: Registry = SEED, o=None, notes: list[dict] | None = None)
         end = stop
     cores = [c for c in cores if c["jurisdiction"] is None or listed(c["jurisdiction"], o.jurisdictions)]
     refs = back_references(text, cores)
+    full, own = Taken(cores), sorted(c["span"]["start"] for c in refs)
     for c in refs:
-        later = [x["full_span"]["start"] for x in [*cores, *refs] if x["span"]["start"] >= c["span"]["end"]]
-        stop = md.tail(text, c, min([limit_of(c["span"]["end"]), *later]), g)
+        i = bisect_left(own, c["span"]["end"])
+        later = min(full.start_from(c["span"]["end"], len(text)), own[i] if i < len(own) else len(text))
+        stop = md.tail(text, c, min(limit_of(c["span"]["end"]), later), g)
         begin = c["style"]["start"] if c["style"] else c["span"]["start"]
         c["full_span"] = md.span(text, begin, stop)
         c["style"] = None
-        floor = max([floor_of(begin), *(x["full_span"]["end"] for x in cores if x["full_span"]["end"] <= begin)])
-        c["signal"] = md.signal(text, floor, begin)
+        c["signal"] = md.signal(text, max(floor_of(begin), full.end_before(begin)), begin)
     found = sorted([*cores, *refs], key=lambda c: c["full_span"]["start"])
-    for c in name_references(text, found, o):
-        later = [x["full_span"]["start"] for x in found if x["full_span"]["start"] >= c["span"]["end"]]
-        stop = md.tail(text, c, min([limit_of(c["span"]["end"]), *later]), g)
+    named = name_references(text, found, o)
+    taken, own = Taken(found), [c["span"]["start"] for c in named]
+    for c in named:
+        i = bisect_left(own, c["span"]["end"])
+        later = min(taken.start_from(c["span"]["end"], len(text)), own[i] if i < len(own) else len(text))
+        stop = md.tail(text, c, min(limit_of(c["span"]["end"]), later), g)
         c["full_span"] = md.span(text, c["span"]["start"], stop)
-        found.append(c)
+    found += named
+    taken = Taken(found)
     for m in gr.SECTION_SIGN.finditer(text):
-        if any(c["full_span"]["start"] < m.end() and m.start() < c["full_span"]["end"] for c in found) or any(re.fullmatch(r"\s*(?:at)?\s*", text[c["full_span"]["end"] : m.start()]) for c in found if c["full_span"]["end"] <= m.start()):
+        before = taken.end_before(m.start())
+        if taken.overlaps(m.start(), m.end()) or before and m.start() - before < 40 and re.fullmatch(r"\s*(?:at)?\s*", text[before : m.start()]):
             continue
         c = blank("unknown", m.start(), m.end(), text)
         c["fields"]["section"] = m["section"]
@@ -283,29 +341,42 @@ def find(text: str, g: Registry = SEED, o=None, notes: list[dict] | None = None)
     return out
 
 
+def without(citations: list[dict], gone: list[dict]) -> None:
+    """Take citations, as the objects they are, out of a list."""
+    ids = set(map(id, gone))
+    citations[:] = [c for c in citations if id(c) not in ids]
+
+
 def absorb_subjects(text: str, citations: list[dict]) -> None:
     """A comment on a decision takes in the decision that its title names: one citation, of the comment."""
-    for a, b in list(zip(citations, citations[1:], strict=False)):
-        quoted = re.search(r"[“\"]([^“”\"]{3,300})[”\"]\s*$", text[: b["span"]["start"]])
-        if b["authority"] in ("journal", "book_chapter") and a["authority"] == "case" and quoted and quoted.start() < a["span"]["start"]:
-            floor = max([0, *(c["full_span"]["end"] for c in citations if c["full_span"]["end"] <= quoted.start())])
+    gone, ends = [], Taken(citations)
+    for a, b in zip(citations, citations[1:], strict=False):
+        if b["authority"] not in ("journal", "book_chapter") or a["authority"] != "case":
+            continue
+        low = max(0, b["span"]["start"] - 400)
+        quoted = re.search(r"[“\"]([^“”\"]{3,300})[”\"]\s*$", text[low : b["span"]["start"]])
+        if quoted and low + quoted.start() < a["span"]["start"]:
+            floor = max(ends.end_before(low + quoted.start()), b["span"]["start"] - BEFORE)
             s = md.work_style(text, floor, b["span"]["start"])
-            citations.remove(a)
-            b["style"] = md.span(text, *(s or (quoted.start(), md.trimmed(text, quoted.start(), b["span"]["start"])[1])))
+            gone.append(a)
+            b["style"] = md.span(text, *(s or (low + quoted.start(), md.trimmed(text, low + quoted.start(), b["span"]["start"])[1])))
             b["full_span"] = md.span(text, b["style"]["start"], b["full_span"]["end"])
             b["short_name"] = b["style"]["text"]
             b["reasons"].append("commented_work")
+    without(citations, gone)
 
 
 def join_legislation(text: str, citations: list[dict]) -> None:
     """A reprint or schedule stated right after an enactment belongs to it: being Schedule B to ..., as am ..., reprinted in ..."""
-    for a, b in list(zip(citations, citations[1:], strict=False)):
+    gone = []
+    for a, b in zip(citations, citations[1:], strict=False):
         if a["authority"] in ("statute", "constitution") and b["authority"] == "statute" and a["form"] == b["form"] == "full":
             gap = text[a["full_span"]["end"] : b["full_span"]["start"]]
-            if re.fullmatch(r",?\s*(?:being Schedule \w+ to(?: the)?|constituant l['’]annexe \w+ de(?: la)?|reprinted in|reproduite? dans)\s*", gap):
+            if len(gap) < 100 and re.fullmatch(r",?\s*(?:being Schedule \w+ to(?: the)?|constituant l['’]annexe \w+ de(?: la)?|reprinted in|reproduite? dans)\s*", gap):
                 a["full_span"] = md.span(text, a["full_span"]["start"], b["full_span"]["end"])
                 a["pinpoints"] += b["pinpoints"]
-                citations.remove(b)
+                gone.append(b)
+    without(citations, gone)
 
 
 def anchor_titles(text: str, notes: list[dict], citations: list[dict]) -> dict[int, str]:
@@ -326,11 +397,13 @@ def anchor_titles(text: str, notes: list[dict], citations: list[dict]) -> dict[i
 
 def join_links(text: str, citations: list[dict]) -> None:
     """An address right after a citation becomes the citation's."""
-    for a, b in list(zip(citations, citations[1:], strict=False)):
-        if b["authority"] == "webpage" and a["form"] == "full" and a["format"] != "url" and re.fullmatch(r"[\s,]*(?:online:?)?\s*<?", text[a["full_span"]["end"] : b["span"]["start"]]):
+    gone = []
+    for a, b in zip(citations, citations[1:], strict=False):
+        if b["authority"] == "webpage" and a["form"] == "full" and a["format"] != "url" and b["span"]["start"] - a["full_span"]["end"] < 100 and re.fullmatch(r"[\s,]*(?:online:?)?\s*<?", text[a["full_span"]["end"] : b["span"]["start"]]):
             a["fields"]["url"] = b["fields"]["url"]
             a["full_span"] = md.span(text, a["full_span"]["start"], b["full_span"]["end"])
-            citations.remove(b)
+            gone.append(b)
+    without(citations, gone)
 
 
 HEADING = re.compile(r"(?im)^\s*(?:table|list) of authorities\s*$|^\s*authorities(?: cited)?\s*$")

@@ -117,6 +117,7 @@ def work_style(text: str, floor: int, start: int) -> tuple[int, int] | None:
 
 def signal(text: str, floor: int, start: int) -> dict | None:
     """The signal that stands right before a citation, in lower case and without points."""
+    floor = max(floor, start - 200)
     m = re.search(rf"(?:^|[.;:!?)\]\n]\s*)(?P<s>{gr.SIGNALS}),?\s*(?:the\s+)?$", text[floor:start], re.I)
     if not m or (floor and not m.start("s") and text[floor - 1 : floor].isalnum()):
         return None
@@ -171,8 +172,7 @@ def tail(text: str, c: dict, limit: int, g: Registry) -> int:
     at = c["span"]["end"]
     reported = c["format"] == "reporter" and "." in (c["fields"].get("reporter") or "") or (c["authority"] == "journal" and "." in (c["fields"].get("reporter") or ""))
     while True:
-        rest = text[:limit]
-        m = gr.PINPOINT.match(rest, at)
+        m = gr.PINPOINT.match(text, at, limit)
         if m and not (m["page"] and not m["lead"].strip() and not m["lead"]):
             kind = next(k for k, _ in gr.PIN_WORDS if m[k])
             if kind == "schedule" and c["authority"] in ("statute", "regulation") and not c["fields"].get("schedule"):
@@ -181,25 +181,25 @@ def tail(text: str, c: dict, limit: int, g: Registry) -> int:
                 c["pinpoints"] += values(kind, m["values"], m.start("values"))
             at = m.end()
             continue
-        m = gr.BARE_PAGE.match(rest, at)
+        m = gr.BARE_PAGE.match(text, at, limit)
         if m:
             c["pinpoints"] += values("page", m["values"], m.start("values"))
             at = m.end()
             continue
-        m = gr.BRACKETED.match(rest, at)
+        m = gr.BRACKETED.match(text, at, limit)
         if m and (c["form"] != "full" or c["format"] in ("neutral", "reporter")) and not (m["lead"] == "" and at == c["span"]["end"] and c["form"] == "full"):
             c["pinpoints"].append({"kind": "paragraph", "span": span(text, m.start() + len(m["lead"]), m.end()), "first": m["first"], "last": m["last"]})
             at = m.end()
             continue
         if reported or c["form"] == "supra":
-            m = gr.REPORT_PAGE.match(rest, at) if reported or at == c["span"]["end"] else None
+            m = gr.REPORT_PAGE.match(text, at, limit) if reported or at == c["span"]["end"] else None
             if not m and c["form"] == "supra" and at == c["span"]["end"]:
-                m = re.compile(r"(?P<lead>\s+)(?P<values>\d+)(?=\s*(?:[.;,]|$))").match(rest, at)
+                m = re.compile(r"(?P<lead>\s+)(?P<values>\d+)(?=\s*(?:[.;,]|$))").match(text, at, limit)
             if m:
                 c["pinpoints"] += values("page", m["values"], m.start("values"))
                 at = m.end()
                 continue
-        m = gr.SHORT_FORM.match(rest, at)
+        m = gr.SHORT_FORM.match(text, at, limit)
         if m and not gr.NOT_SHORT.search(name := (m["name"] or m["quoted"])) and not re.fullmatch(r"\d{4}", name):
             if c["explicit_short_name"] is None:
                 c["explicit_short_name"] = name.strip()

@@ -8,9 +8,13 @@ stays unresolved.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from functools import lru_cache
+from itertools import accumulate
 
 from ..functions.keys import key
-from ..functions.text import fold, plain
+from ..functions.text import fold
+from ..functions.text import plain as _plain
 from ..sources.registry import SEED, Registry
 from .find import is_crown
 
@@ -32,6 +36,11 @@ def reference_name(c: dict) -> str | None:
     return m["n"].strip() or None if m and m["n"].strip() else None
 
 
+@lru_cache(maxsize=100_000)
+def plain(text: str | None) -> str:
+    return _plain(text)
+
+
 def contains_words(whole: str, part: str) -> bool:
     return bool(part) and f" {part} " in f" {whole} "
 
@@ -42,17 +51,52 @@ def names(c: dict) -> list[str]:
     return [plain(n) for n in (style, p.get("plaintiff"), p.get("defendant")) if n]
 
 
-def by_name(name: str | None, pool: list[dict]) -> tuple[int | None, str]:
-    """The one authority of a pool that a name means: by its stated short form, else by words of its style."""
+class Pool:
+    """Citations that a reference may mean, found by the names they have."""
+
+    def __init__(self, citations: list[dict] = ()):
+        self.all: list[dict] = []
+        self.stated: dict[str, list[dict]] = {}
+        self.whole: dict[str, list[dict]] = {}
+        self.words: dict[str, list[dict]] = {}
+        self.volumes: dict[str | None, list[dict]] = {}
+        self.of: dict[int, list[dict]] = {}
+        for c in citations:
+            self.add(c)
+
+    def add(self, c: dict) -> None:
+        self.all.append(c)
+        self.of.setdefault(representative(c), []).append(c)
+        if c.get("explicit_short_name"):
+            self.stated.setdefault(plain(c["explicit_short_name"]), []).append(c)
+        style = plain((c.get("style") or {}).get("text"))
+        for n in {style, *(plain(x) for x in (c.get("parties") or {}).values() if x)}:
+            self.whole.setdefault(n, []).append(c)
+        for w in {w for n in names(c) for w in n.split()}:
+            self.words.setdefault(w, []).append(c)
+        if c["format"] == "reporter":
+            self.volumes.setdefault(c["fields"].get("volume"), []).append(c)
+
+    def containing(self, name: str) -> list[dict]:
+        """Those one of whose names has the words of a name, in order: looked for at the rarest of its words."""
+        rarest = min((self.words.get(w, []) for w in name.split()), key=len, default=[])
+        return [c for c in rarest if any(contains_words(x, name) for x in names(c))]
+
+
+def by_name(name: str | None, pool: Pool | list[dict]) -> tuple[int | None, str]:
+    """The one authority of a pool that a name means: by its stated short form, else by a whole name, else by words of its style."""
     if not name:
         return None, "no_hint"
     n = plain(name)
     if not n or is_crown(name):
         return None, "no_match"
-    for test in (lambda c: plain(c.get("explicit_short_name")) == n, lambda c: n in [plain(x) for x in ((c.get("parties") or {}).values()) if x] or plain((c.get("style") or {}).get("text")) == n, lambda c: any(contains_words(x, n) for x in names(c))):
-        found = {representative(c) for c in pool if test(c)}
-        if test.__code__.co_freevars and len(found) > 1 and not any(plain(c.get("explicit_short_name")) == n for c in pool):
-            keys = {key(c) for c in pool if representative(c) in found}
+    pool = pool if isinstance(pool, Pool) else Pool(pool)
+    stated = pool.stated.get(n, [])
+    for tier, hits in (("stated", stated), ("whole", pool.whole.get(n, [])), ("words", pool.containing(n))):
+        found = {representative(c) for c in hits}
+        if tier != "stated" and len(found) > 1 and not stated:
+            # several citations of one decision are no ambiguity
+            keys = {key(c) for r in found for c in pool.of[r]}
             if len(keys) == 1 and None not in keys:
                 return min(found), "name_only"
         if len(found) == 1:
@@ -81,14 +125,14 @@ def locator_fits(reference: dict, target: dict, extents: dict | None = None) ->
     return True
 
 
-def short(c: dict, pool: list[dict], g: Registry) -> tuple[int | None, str]:
+def short(c: dict, pool: Pool, g: Registry) -> tuple[int | None, str]:
     """A short form: the earlier report of its reporter and volume whose page is not beyond its own; else by name."""
     f = c["fields"]
     ids = {r["id"] for r in g.by_reporter.get(fold(f.get("reporter")), [])} or {fold(f.get("reporter"))}
     found = []
-    for t in pool:
+    for t in pool.volumes.get(f.get("volume"), []):
         tf = t["fields"]
-        if t["format"] == "reporter" and tf.get("volume") == f.get("volume") and ({r["id"] for r in g.by_reporter.get(fold(tf.get("reporter")), [])} or {fold(tf.get("reporter"))}) & ids:
+        if ({r["id"] for r in g.by_reporter.get(fold(tf.get("reporter")), [])} or {fold(tf.get("reporter"))}) & ids:
             if (tf.get("page") or "").isdecimal() and (f.get("page") or "").isdecimal() and int(tf["page"]) <= int(f["page"]):
                 found.append(t)
     got = {representative(t) for t in found}
@@ -103,31 +147,43 @@ def short(c: dict, pool: list[dict], g: Registry) -> tuple[int | None, str]:
 def resolve_rows(citations: list[dict], notes: list[dict] | None = None, g: Registry = SEED, extents: dict | None = None, check_locators: bool = False) -> list[dict]:
     """index, antecedent and reason of every citation that is not full, in order of index."""
     notes = sorted(notes or [], key=lambda n: (n.get("sequence") or 0, n["number"], n["start"]))
-    place = {}
-    for c in citations:
-        at = c["span"]["start"]
-        place[c["index"]] = next((i for i, n in enumerate(notes) if n["start"] <= at < n["end"]), None)
+    # notes in order of their place in the text; of overlapping ones the first in reading order holds a citation
+    ranges = sorted((n["start"], n["end"], i) for i, n in enumerate(notes))
+    starts, widest = [r[0] for r in ranges], max((e - s for s, e, _ in ranges), default=0)
+    ends = sorted((n["end"], i) for i, n in enumerate(notes))
+    upto, most = [e for e, _ in ends], list(accumulate((i for _, i in ends), max))
+
+    def note_of(at: int) -> int | None:
+        found, k = [], bisect_right(starts, at) - 1
+        while k >= 0 and ranges[k][0] > at - widest - 1:
+            if ranges[k][0] <= at < ranges[k][1]:
+                found.append(ranges[k][2])
+            k -= 1
+        return min(found, default=None)
+
+    place = {c["index"]: note_of(c["span"]["start"]) for c in citations}
 
     def order(c: dict) -> tuple:
         i = place[c["index"]]
         if i is not None:
             return i, 0, c["span"]["start"]
-        before = [k for k, n in enumerate(notes) if n["end"] <= c["span"]["start"]]
-        return (max(before) if before else -1), 1, c["span"]["start"]
+        k = bisect_right(upto, c["span"]["start"])
+        return (most[k - 1] if k else -1), 1, c["span"]["start"]
 
     by = {c["index"]: c for c in citations}
     ordered = sorted(citations, key=order)
     done: dict[int, tuple[int | None, str]] = {}
     targets: dict[int, list[int | None]] = {i: [] for i in range(len(notes))}
-    earlier: list[dict] = []
+    pool = Pool()
+    at_number = {(n["number"], n.get("sequence") or 0): j for j, n in reversed(list(enumerate(notes)))}
     for k, c in enumerate(ordered):
         i, form = place[c["index"]], c["form"]
         target: int | None = None
         if form == "full":
             target = None if cites_record(c) else representative(c)
-            earlier.append(c)
+            if target is not None:
+                pool.add(c)
         else:
-            pool = [t for t in earlier if not cites_record(t)]
             if form == "unknown":
                 target, reason = None, "unknown_form"
             elif form == "ibid":
@@ -140,7 +196,7 @@ def resolve_rows(citations: list[dict], notes: list[dict] | None = None, g: Regi
                         reason = "ibid_previous" if target is not None else "ibid_after_unresolved"
                 else:
                     n = notes[i]
-                    last = next((j for j, m in enumerate(notes) if m["number"] == n["number"] - 1 and (m.get("sequence") or 0) == (n.get("sequence") or 0)), None)
+                    last = at_number.get((n["number"] - 1, n.get("sequence") or 0))
                     got = targets[last] if last is not None else []
                     if not got:
                         target, reason = None, "ibid_no_previous"
@@ -167,7 +223,7 @@ def resolve_rows(citations: list[dict], notes: list[dict] | None = None, g: Regi
     return [{"index": x, "antecedent": t, "reason": r} for x, (t, r) in sorted(done.items())]
 
 
-def _supra(c: dict, i: int | None, notes: list[dict], targets: dict, by: dict, pool: list[dict]) -> tuple[int | None, str]:
+def _supra(c: dict, i: int | None, notes: list[dict], targets: dict, by: dict, pool: Pool) -> tuple[int | None, str]:
     name, number = reference_name(c), c["fields"].get("note")
     if number is None or not notes:
         return by_name(name, pool)
@@ -181,7 +237,7 @@ def _supra(c: dict, i: int | None, notes: list[dict], targets: dict, by: dict, p
     if not got:
         return None, "note_without_authority"
     if name:
-        inside = [t for t in pool if representative(t) in got]
+        inside = [t for r in got for t in pool.of.get(r, [])]
         target, reason = by_name(name, inside)
         if target is not None:
             return target, "note_and_name"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import SparkSession
@@ -27,6 +28,8 @@ from .schema import Options
 from .sources.registry import SEED
 
 OPTION_NAMES = {"jurisdictionPriority": "jurisdiction_priority", "removeAmbiguous": "remove_ambiguous", "sourceOnly": "source_only", "earlyReferences": "early_references", "skipAuthorityLists": "skip_authority_lists", "ocrRepairs": "ocr_repairs", "yearRuns": "year_runs", "aliasKeys": "alias_keys", "reporterNames": "reporter_names", "splitTier": "split_tier"}
+OPTION_NAMES |= {"aliasKeys": "alias_keys", "splitTier": "split_tier", "supraLinkingMode": "supra_linking_mode"}
+#: Extents of this process; tables take them as a DataFrame (operators.extract.resolve).
 EXTENTS: dict[str, dict] = {}
 
 
@@ -72,7 +75,7 @@ def _resolve(r: dict) -> dict:
     notes = sorted(r.get("notes") or [], key=lambda n: n["start"])
     if any(a["end"] > b["start"] for a, b in zip(notes, notes[1:], strict=False)):
         raise ValueError("invalid_request: notes overlap")
-    got = resolve_rows(citations, notes or None, SEED, EXTENTS, r.get("locators", bool(EXTENTS)))
+    got = resolve_rows(citations, notes or None, SEED, EXTENTS, r.get("locators", bool(EXTENTS)), r.get("supraLinkingMode", "safe"))
     by = {c["index"]: c for c in citations}
     for x in got:
         by[x["index"]]["antecedent"] = x["antecedent"]
@@ -101,6 +104,24 @@ def _split_notes(r: dict) -> list[dict]:
     return [nt.split(t, options(r.get("options"))) for t in r["texts"]]
 
 
+def _hint(r: dict) -> str:
+    """The name that a request gives, or that stands before supra in its text."""
+    return r["hint"] if "hint" in r else sf.supra_hint(r["text"]) or ""
+
+
+def _infer(r: dict) -> list[str]:
+    """Short forms of a style, or of the styles of a text's full citations."""
+    if "style" in r:
+        return sf.infer(r["style"], r.get("kind", "case"))
+    return list(dict.fromkeys(n for c in _full(r["text"], Options()) if c["style"] for n in sf.infer(c["style"]["text"], c["authority"])))
+
+
+def _page(r: dict) -> str | None:
+    """The page of a citation at CanLII, or its PDF."""
+    page = canlii_citation_url(r["text"], r.get("language", "en"))
+    return re.sub(r"\.html$", ".pdf", page) if page and r.get("pdf") else page
+
+
 def _one(r: dict) -> dict:
     return r["citation"]
 
@@ -108,8 +129,8 @@ def _one(r: dict) -> dict:
 METHODS: dict[str, Callable[[dict], object]] = {
     "extract": _extract, "registerExtents": _register, "resolve": _resolve,
     "resolveReference": lambda r: sf.resolve_hint(r["name"], r["candidates"]),
-    "inferShortForms": lambda r: sf.infer(r["style"], r.get("kind", "case")),
-    "referenceShortForms": lambda r: sf.infer(r["style"], r.get("kind", "case")),
+    "inferShortForms": lambda r: _infer(r),
+    "referenceShortForms": lambda r: sf.reference_forms(r["text"]),
     "referenceInfo": lambda r: sf.reference_info(r["text"]),
     "bareCitation": lambda r: nt.bare_citation(r["text"], find(r["text"], SEED, Options())),
     "legislationLookup": lambda r: urls.legislation_lookup(r["text"]),
@@ -120,8 +141,8 @@ METHODS: dict[str, Callable[[dict], object]] = {
     "pinpointsAt": lambda r: au.pinpoints_at(r["text"], r["start"], r["end"], r.get("strict", False)),
     "caseNamesAgree": lambda r: fm.case_names_agree(r["written"], r["other"]),
     "normalizeShortForm": lambda r: sf.normalize(r["text"]),
-    "resolveInferredReference": lambda r: sf.resolve_hint(r["hint"], [{**x, "short_form": y} for x in r["rows"] for y in sf.infer(x.get("style", ""))]),
-    "resolveRegistryReference": lambda r: sf.resolve_hint(r["hint"], r["rows"]),
+    "resolveInferredReference": lambda r: sf.resolve_hint(_hint(r), [{**x, "short_form": y} for x in r["rows"] for y in sf.infer(x.get("style", ""))]),
+    "resolveRegistryReference": lambda r: sf.resolve_hint(_hint(r), r["rows"]),
     "reanchorReference": lambda r: sf.reanchor(r["url"], r.get("kind"), r.get("value"), r.get("form", "supra")),
     "supraHint": lambda r: sf.supra_hint(r["text"]),
     "splitSources": lambda r: nt.split(r["text"], options({"jurisdictionPriority": r["jurisdictionPriority"]} if "jurisdictionPriority" in r else None), strict=r.get("strict", False)),
@@ -149,8 +170,8 @@ METHODS: dict[str, Callable[[dict], object]] = {
     "canliiPdfPage": lambda r: urls.canlii_pdf_page(r["url"], r["page"]),
     "canliiLawPage": lambda r: urls.canlii_legislation(_one(r), r.get("language", "en")),
     "sourceCanliiRoutes": lambda r: urls.canlii_routes(),
-    "canliiAliasTarget": lambda r: next((k for k in urls.canlii_citation_keys(r["text"])), None),
-    "canliiAliasTargetInfo": lambda r: urls.legislation_lookup(r["text"]),
+    "canliiAliasTarget": lambda r: _page(r),
+    "canliiAliasTargetInfo": lambda r: {"url": _page(r), **key_for_text(r["text"])},
     "annotate": _annotate,
     "annotationRanges": lambda r: [{"start": a, "end": b} for a, b, _, _ in an.clamped(len(r["text"]), [(x["start"], x["end"], "", "") for x in r["annotations"]])],
     "clean": lambda r: {"text": clean(r["text"], r["steps"]).text},

@@ -47,6 +47,12 @@ def supra_hint(text: str) -> str | None:
     return m["n"].strip() if m else None
 
 
+def reference_forms(text: str) -> list[str]:
+    """The names that stand before the supra tokens of a text, clause by clause, normalised."""
+    hints = [supra_hint(part) for part in re.split(r"[;.]\s+", text)]
+    return list(dict.fromkeys(normalize(h) for h in hints if h))
+
+
 def resolve_hint(hint: str, rows: list[dict]) -> dict:
     """The one row (target, short_form, names, text) that a hint means, tier by tier; a tier with several targets stops the search."""
     h = normalize(hint)

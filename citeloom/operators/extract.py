@@ -16,6 +16,7 @@ from ..functions.urls import url
 from ..schema import CITATION, Options, table
 from ..sources.registry import SEED, Registry
 from . import authorities as au
+from .aliases import apply_aliases
 from .classify import is_ambiguous
 from .find import authority_list, find
 from .parallel import group
@@ -38,7 +39,7 @@ def read(text: str, o: Options, g: Registry = SEED, notes: list[dict] | None = N
         c["key"] = key(c, g) if not is_ambiguous(c) else None
     by = {c["index"]: c for c in citations}
     if o.resolve:
-        for r in resolve_rows(citations, notes, g, check_locators=o.locators):
+        for r in resolve_rows(citations, notes, g, check_locators=o.locators, linking=o.supra_linking_mode):
             by[r["index"]] |= {"antecedent": r["antecedent"], "antecedent_reason": r["reason"]}
         for k, members in enumerate(authorities(citations, g)):
             for i in members:
@@ -56,12 +57,13 @@ def schema_for(id_type: T.DataType) -> T.StructType:
     return T.StructType([T.StructField("doc_id", id_type), *SCHEMA.fields[1:], T.StructField("error", T.StringType())])
 
 
-def extract(docs: DataFrame, notes: DataFrame | None = None, options: Options | None = None, registry: Registry = SEED, id_col: str = "doc_id", text_col: str = "text", on_error: str = "record") -> DataFrame:
+def extract(docs: DataFrame, notes: DataFrame | None = None, options: Options | None = None, registry: Registry = SEED, id_col: str = "doc_id", text_col: str = "text", on_error: str = "record", aliases: DataFrame | None = None) -> DataFrame:
     """A row for each citation of each document, in the schema CITATION; ids keep their type.
 
     notes: doc_id, number, start, end, sequence. on_error: "record" gives a text that can't be read one row
-    with its id and the error, and nothing else; "raise" ends the job. The map has no shuffle but for the
-    join with notes; each text is read by itself.
+    with its id and the error, and nothing else; "raise" ends the job. aliases: written, key, court (see
+    apply_aliases); with them there is a column alias_key, which counts go by, unless options.alias_keys is
+    false. The map has no shuffle but for the joins with notes and aliases; each text is read by itself.
     """
     if on_error not in ("record", "raise"):
         raise ValueError(f"on_error is record or raise, not {on_error!r}")
@@ -93,13 +95,18 @@ def extract(docs: DataFrame, notes: DataFrame | None = None, options: Options |
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    return rows.mapInArrow(run, schema)
+    found = rows.mapInArrow(run, schema)
+    if aliases is None:
+        return found
+    told = apply_aliases(found.withColumn("core", F.col("span.text")).withColumn("_court", F.col("court")).withColumn("court", F.col("court.id")), aliases, o.alias_keys)
+    return told.withColumn("court", F.col("_court")).drop("core", "_court")
 
 
-def resolve(citations: DataFrame, notes: DataFrame | None = None, registry: Registry = SEED) -> DataFrame:
+def resolve(citations: DataFrame, notes: DataFrame | None = None, registry: Registry = SEED, extents: DataFrame | None = None, linking: str = "safe") -> DataFrame:
     """doc_id, index, antecedent, reason of every citation that is not full.
 
-    A document's citations and notes meet in one row, so that batches of documents go to Python and not one
+    extents: key, last_page, paragraphs: sizes of works that the host knows; each document gets those of its
+    keys, and references to places beyond them are refused. A document's citations and notes meet in one row, so that batches of documents go to Python and not one
     group at a time.
     """
     ship(citations.sparkSession)
@@ -111,12 +118,19 @@ def resolve(citations: DataFrame, notes: DataFrame | None = None, registry: Regi
     else:
         n = notes.groupBy("doc_id").agg(F.collect_list(F.struct("number", "start", "end", F.coalesce("sequence", F.lit(0)).alias("sequence"))).cast(NOTES).alias("n"))
         rows = rows.join(n, "doc_id", "left")
+    check = extents is not None
+    if extents is None:
+        rows = rows.withColumn("x", F.lit(None).cast("array<struct<key:string,last_page:int,paragraphs:int>>"))
+    else:
+        x = citations.where("key is not null").select("doc_id", "key").distinct().join(extents.select("key", "last_page", "paragraphs").dropDuplicates(["key"]), "key")
+        rows = rows.join(x.groupBy("doc_id").agg(F.collect_list(F.struct("key", "last_page", "paragraphs")).alias("x")), "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for doc, found, note in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                out += [(doc, r["index"], r["antecedent"], r["reason"]) for r in resolve_rows(found, note, registry)]
+            for doc, found, note, sizes in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                known = {x["key"]: x for x in sizes or ()}
+                out += [(doc, r["index"], r["antecedent"], r["reason"]) for r in resolve_rows(found, note, registry, known, check, linking)]
             if out:
                 kinds = (to_arrow_type(id_kind), pa.int32(), pa.int32(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "index", "antecedent", "reason"])
@@ -139,6 +153,8 @@ def citation_counts(citations: DataFrame) -> DataFrame:
 
     A reference counts for its antecedent's key, which a join within the document gives; sums are made before the shuffle.
     """
+    if "alias_key" in citations.columns:
+        citations = citations.withColumn("key", F.col("alias_key"))
     full = citations.select("doc_id", F.col("index").alias("antecedent"), F.col("key").alias("k"))
     back = citations.where("antecedent is not null").select("doc_id", "antecedent").join(full, ["doc_id", "antecedent"]).select("doc_id", F.col("k").alias("key"))
     every = citations.where("key is not null").select("doc_id", "key").unionByName(back.where("key is not null"))

@@ -14,6 +14,8 @@ CHAPTER = r"(?:[A-Z]{2,}-\d{4}|[A-Z]*[-.]?\d+(?:[.\-]?\w+)*(?:\s\(\d\w{1,2}\sSup
 VALUE = r"(?:\d+(?:\.\d+)*[a-z]?(?:\([\w.]+\))*(?![\w(])|[ivxlc]+\b)"
 RANGE = rf"{VALUE}(?:\s*(?:[-–—]|to\b|à\b)\s*(?:{VALUE}|(?:\([\w.]+\))+))?"
 LIST = rf"{RANGE}(?:(?:\s*,\s*|\s*,?\s+(?:and|et|&)\s+|\s*;\s*(?=\d+\s*(?:\[|[.;]|$)))(?!{YEAR}\s+[A-Z\[]){RANGE}(?!\s+[A-Z]))*"
+#: The men by whose names the first volumes of the United States Reports went.
+NOMINATIVE = r"(?:Dall|Cranch|Wheat|Pet|How|Black|Wall)\.?"
 #: Words that name a kind of pinpoint, longest first.
 PIN_WORDS = (
     ("paragraph", r"paragraphes?|paragraphs?|paras?\.?|pars?\.?|¶+"), ("subsection", r"subsections?|sub-?ss?\."), ("page", r"pages?|pp?\.?"), ("section", r"sections?|ss?\.?|§§?"),
@@ -74,7 +76,7 @@ def _families(key: int) -> list[tuple[str, re.Pattern]]:
         "database": rf"{LEFT}\[?(?P<year>{YEAR})\]?\s+(?P<reporter>Carswell[A-Z]\w*|[A-Z]{{1,3}}\.?J\.?\s+No\.?|WLR?\b|U\.?S\.?\s+LEXIS|LEXIS|J\.?Q\.?\s+no\.?)\s+(?P<number>\d+)\b",
         "law_reports": r"(?:\((?P<paren>" + YEAR + r")\),?\s+)?\bLR\s+(?P<volume>\d+)\s+(?P<division>HL|QB|CP|Ex|Ch|Eq)\s+(?P<page>\d+)",
         "journal": rf"\((?P<year>{YEAR})\)\s+(?P<volume>\d+)(?::(?P<issue>[\d-]+))?\s+(?P<journal>{journals})\s+(?P<page>\d+)|(?<=[\"”]\s)\((?P<year2>{YEAR})\)\s+(?P<volume2>\d+)(?::(?P<issue2>[\d-]+))?\s+(?P<journal2>{words})\s+(?P<page2>\d+)|{LEFT}(?P<volume3>\d+)\s+(?P<journal3>{journals})\s+(?P<page3>\d+)",
-        "reporter": rf"(?:\[(?P<bracketed>{YEAR})\]\s*|\((?P<paren>{YEAR})\),?\s*)?{LEFT}(?:(?P<volume>\d{{1,4}})\s+)?(?P<reporter>{reports})\s+(?P<page>\d{{1,6}}(?![\w])|_{{2,}}|[ivxlc]{{2,}}\b)",
+        "reporter": rf"(?:\[(?P<bracketed>{YEAR})\]\s*|\((?P<paren>{YEAR})\),?\s*)?{LEFT}(?:(?P<volume>\d{{1,4}})\s+)?(?P<reporter>{reports})(?:\s+\(\d+\s+{NOMINATIVE}\))?\s+(?P<page>\d{{1,6}}(?![\w])|_{{2,}}|[ivxlc]{{2,}}\b)",
         "unknown_reporter": rf"(?:\[(?P<bracketed>{YEAR})\]|\((?P<paren>{YEAR})\),)\s*(?P<volume>\d+)\s+(?P<reporter>[A-Z][A-Z.]{{1,8}}(?:\s\(\d\w{{1,2}}\))?)\s+(?P<page>\d+)\b",
         "short": rf"{LEFT}(?P<volume>\d{{1,4}})\s+(?P<reporter>{us}),?\s+at\s+(?P<page>\d+)",
         "code": rf"{LEFT}(?P<volume>\d+)\s+(?P<series>U\.?\s?S\.?\s?C\.?(?:\s?A\.?)?|C\.?\s?F\.?\s?R\.?)\s*(?:§§?|s(?:ec)?\.)\s*(?P<section>\d[\w.()-]*[\w)]|\d)",

@@ -66,7 +66,7 @@ def split(text: str, o, g: Registry = SEED, strict: bool = False) -> dict:
             mine = [c for c in citations if s <= c["span"]["start"] < e]
             parts.append({"start": s, "end": s + len(body), "text": body, "jurisdictionPriority": list(o.jurisdiction_priority), "fields": fields_of(body, mine)})
     clear = all(p["fields"]["kind"] != "none" for p in parts)
-    if strict and not clear:
+    if (strict or o.split_tier == "safest") and not clear:
         return {"status": "abstained", "parts": []}
     return {"status": "deterministic_complete" if clear else "partial", "parts": parts}
 

@@ -13,7 +13,7 @@ from functools import lru_cache
 from itertools import accumulate
 
 from ..functions.keys import key
-from ..functions.text import fold
+from ..functions.text import edits, fold
 from ..functions.text import plain as _plain
 from ..sources.registry import SEED, Registry
 from .find import is_crown
@@ -83,6 +83,13 @@ class Pool:
         return [c for c in rarest if any(contains_words(x, name) for x in names(c))]
 
 
+def near_name(name: str, pool: Pool) -> tuple[int | None, str]:
+    """The one authority a word of whose names differs from a word of a name by one letter, in words of five letters or more."""
+    words = [w for w in plain(name).split() if len(w) >= 5]
+    found = {representative(c) for x, cs in pool.words.items() if any(abs(len(x) - len(w)) <= 1 and len(x) >= 5 and edits(x, w, 1) <= 1 for w in words) for c in cs}
+    return (found.pop(), "near_name") if len(found) == 1 else (None, "ambiguous_name" if found else "no_match")
+
+
 def by_name(name: str | None, pool: Pool | list[dict]) -> tuple[int | None, str]:
     """The one authority of a pool that a name means: by its stated short form, else by a whole name, else by words of its style."""
     if not name:
@@ -144,8 +151,15 @@ def short(c: dict, pool: Pool, g: Registry) -> tuple[int | None, str]:
     return None, "short_no_match"
 
 
-def resolve_rows(citations: list[dict], notes: list[dict] | None = None, g: Registry = SEED, extents: dict | None = None, check_locators: bool = False) -> list[dict]:
-    """index, antecedent and reason of every citation that is not full, in order of index."""
+def resolve_rows(citations: list[dict], notes: list[dict] | None = None, g: Registry = SEED, extents: dict | None = None, check_locators: bool = False, linking: str = "safe") -> list[dict]:
+    """index, antecedent and reason of every citation that is not full, in order of index.
+
+    linking: "aggressive" also links names that are off by a letter, a name against the note that is stated,
+    and a note number by the shift that other references of the document show.
+    """
+    bold = linking == "aggressive"
+    shifts: list[tuple[int, int]] = []
+    note_numbers: dict[int, int] = {}
     notes = sorted(notes or [], key=lambda n: (n.get("sequence") or 0, n["number"], n["start"]))
     # notes in order of their place in the text; of overlapping ones the first in reading order holds a citation
     ranges = sorted((n["start"], n["end"], i) for i, n in enumerate(notes))
@@ -206,8 +220,25 @@ def resolve_rows(citations: list[dict], notes: list[dict] | None = None, g: Regi
                         target, reason = None, "ibid_after_multiple"
                     else:
                         target, reason = got[0], "ibid_previous_note"
+                if target is not None and not us_page_fits(c, by[target]):
+                    target, reason = None, "ibid_page_conflict"
             elif form == "supra":
                 target, reason = _supra(c, i, notes, targets, by, pool)
+                number, name = c["fields"].get("note"), reference_name(c)
+                if bold and target is None and reason in ("note_name_conflict", "note_out_of_range", "note_without_authority"):
+                    if name:
+                        target, told = by_name(name, pool)
+                        if target is not None:
+                            reason = "name_over_note"
+                            if target in note_numbers:
+                                shifts.append((number, note_numbers[target]))
+                    elif (d := drift(shifts)) is not None:
+                        moved = c | {"fields": c["fields"] | {"note": number + d}}
+                        target, told = _supra(moved, i, notes, targets, by, pool)
+                        reason = "renumbered" if target is not None else reason
+                if bold and target is None and name and reason in ("no_match", "note_name_conflict"):
+                    target, told = near_name(name, pool)
+                    reason = told if target is not None else reason
             elif form == "short":
                 target, reason = short(c, pool, g)
                 if target is None and reason == "short_no_match" and c.get("short_name"):
@@ -220,9 +251,18 @@ def resolve_rows(citations: list[dict], notes: list[dict] | None = None, g: Regi
             done[c["index"]] = (target, reason)
         if i is not None:
             targets[i].append(target)
+            if form == "full" and target is not None:
+                note_numbers.setdefault(target, notes[i]["number"])
     return [{"index": x, "antecedent": t, "reason": r} for x, (t, r) in sorted(done.items())]
 
 
+def us_page_fits(c: dict, target: dict) -> bool:
+    """Whether the page of an Id. can be in the American report that it would refer to: not before the report's first page."""
+    first = (target["fields"].get("page") or "") if target["format"] == "reporter" and (target.get("jurisdiction") or "").startswith("us") else ""
+    pages = [p["first"] for p in c["pinpoints"] if p["kind"] == "page" and p["first"].isdecimal()]
+    return not first.isdecimal() or not pages or min(map(int, pages)) >= int(first)
+
+
 def _supra(c: dict, i: int | None, notes: list[dict], targets: dict, by: dict, pool: Pool) -> tuple[int | None, str]:
     name, number = reference_name(c), c["fields"].get("note")
     if number is None or not notes:

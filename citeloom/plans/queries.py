@@ -20,6 +20,8 @@ from ..operators import intervals as iv
 from ..operators.aliases import apply_aliases, titled_chapters
 from ..operators.clean import clean, clean_column
 from ..operators.extents import volumes
+from ..operators.find import note_references
+from ..operators.parallel import preferred
 from ..operators.extract import citation_counts, clusters, extract, resolve, top_cited
 from ..schema import Options
 from ..sources.registry import SEED, dimension, surfaces
@@ -152,9 +154,11 @@ def _offsets(s, d):
     return m.join(t, "doc_id").select("doc_id", *[v.cast("long").alias(f"{k}_at") for k, v in o.items()])
 
 
-@query("negative_control_documents", "SELECT doc_id, CAST(0 AS BIGINT) AS citations FROM documents")
+@query("negative_control_documents", "SELECT doc_id, CAST(CASE doc_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS BIGINT) AS citations FROM documents")
 def _negative(s, d):
-    t = read(s, d, "documents").select("doc_id", "text")
+    """Prose without citations has none, and those planted at its end are found."""
+    more = F.expr("case doc_id % 5 when 0 then concat('.\\nSee Alder v Birch, 2011 SCC ', doc_id + 1, '.') when 1 then concat('.\\nSee 2011 SCC ', doc_id + 1, '; 2012 ONCA ', doc_id + 7, '.') else '' end")
+    t = read(s, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), more).alias("text"))
     found = extract(t).where("form = 'full'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     return t.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("citations"))
 
@@ -349,9 +353,17 @@ def _drift(s, d):
     return iv.drift_mode(rows, "g", "stated", "actual").select("g", F.col("drift").cast("long").alias("drift"))
 
 
-@query("parallel_preferred", "SELECT l_orderkey AS g, arg_min(l_linenumber, (l_suppkey % 7) * 1000 + l_linenumber) AS preferred FROM lineitem GROUP BY 1")
+THREE = [f"concat({Y}, ' SCC ', o_orderkey)", f"concat('[', {Y}, '] 1 SCR ', {PAGE})", f"concat({Y}, ' CanLII ', o_custkey + 1, ' (SCC)')"]
+
+
+@query("parallel_preferred", "SELECT o_orderkey AS doc_id, CAST(CASE o_orderkey % 3 WHEN 0 THEN 0 ELSE 1 END AS INTEGER) AS preferred FROM orders")
 def _preferred(s, d):
-    return read(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("g")).agg(F.min_by("l_linenumber", F.struct(F.col("l_suppkey") % 7, "l_linenumber")).alias("preferred"))
+    """Neutral first, then a report, then a database, wherever they stand in the group."""
+    orders = [(0, 1, 2), (1, 0, 2), (2, 1)]
+    written = " ".join(f"when {i} then concat('R v P', o_custkey, ', ', {', '.join(', '.join((THREE[k], chr(39) + ', ' + chr(39))) for k in o[:-1])}, {THREE[o[-1]]}, '.')" for i, o in enumerate(orders))
+    c = cites(s, d, f"case o_orderkey % 3 {written} end").groupBy("doc_id").agg(F.collect_list(F.struct("index", "form", "authority", "format", "parallel_group", "fields")).alias("c"))
+    best = F.udf(lambda rows: preferred([r.asDict(True) for r in rows], 0), "int")
+    return c.select("doc_id", best("c").alias("preferred"))
 
 
 @query("extents_delta_decode", "WITH g AS (SELECT l_orderkey AS o, l_linenumber AS i, CAST(l_quantity AS BIGINT) AS gap FROM lineitem), r AS (SELECT o, sum(gap) OVER w AS page, lead(gap) OVER w2 AS nxt FROM g WINDOW w AS (PARTITION BY o ORDER BY i, gap ROWS UNBOUNDED PRECEDING), w2 AS (PARTITION BY o ORDER BY i, gap)) SELECT 'dlr:' || o || ':' || CAST(page AS BIGINT) AS key, CAST(page + nxt - 1 AS INTEGER) AS last_page FROM r")
@@ -360,7 +372,8 @@ def _extents(s, d):
     return volumes(lines.select(F.concat(F.lit("V\tdlr:"), F.col("l_orderkey").cast("string"), F.lit("\t"), F.array_join(F.transform("a", lambda x: x["q"].cast("string")), ",")).alias("value")))
 
 
-@query("registry_counts", " UNION ALL ".join(f"SELECT '{t}' AS \"table\", CAST({len(v)} AS BIGINT) AS entries" for t, v in SEED.tables().items()))
+#: How many entries the seed states, as numbers.
+@query("registry_counts", "SELECT * FROM (VALUES ('courts', CAST(51 AS BIGINT)), ('reporters', CAST(56 AS BIGINT)), ('series', CAST(32 AS BIGINT)), ('journals', CAST(10 AS BIGINT)), ('jurisdictions', CAST(20 AS BIGINT))) AS t(\"table\", entries)")
 def _registry(s, d):
     out = None
     for t in SEED.tables():
@@ -396,16 +409,65 @@ def _titled(s, d):
 @query("note_references", "SELECT o_orderkey AS doc_id, CAST(o_custkey % 1000 AS BIGINT) AS note, CASE o_orderkey % 3 WHEN 0 THEN 'back' WHEN 1 THEN 'forward' ELSE 'unspecified' END AS direction FROM orders")
 def _note_refs(s, d):
     t = docs(s, d, "case o_orderkey % 3 when 0 then concat('Doe, supra note ', o_custkey % 1000) when 1 then concat('see infra note ', o_custkey % 1000) else concat('See footnote ', o_custkey % 1000) end")
-    back, forward = F.regexp_extract("text", r"(?i)\bsupra,?\s+(?:foot)?note\s+(\d{1,4})\b", 1), F.regexp_extract("text", r"(?i)\binfra,?\s+(?:foot)?note\s+(\d{1,4})\b", 1)
-    other = F.regexp_extract("text", r"(?i)\bsee\s+(?:also\s+)?footnotes?\s+(\d{1,4})\b", 1)
-    return t.select("doc_id", F.coalesce(F.nullif(back, F.lit("")), F.nullif(forward, F.lit("")), other).cast("long").alias("note"), F.when(back != "", "back").when(forward != "", "forward").otherwise("unspecified").alias("direction"))
-
-
-@query("stream_extract")
+    read_notes = F.udf(lambda x: [(r["note"], r["direction"]) for r in note_references(x)], "array<struct<note:long,direction:string>>")
+    return t.select("doc_id", F.explode(read_notes("text")).alias("r")).select("doc_id", "r.note", "r.direction")
+
+
+# --- the engine's own families, resolution in its bolder mode, and American reports -------------------------
+
+FAMILY = [
+    (f"concat('Alder v Birch', o_custkey, ', ', {Y}, ' CanLII ', o_orderkey)", f"{Y} || ' CanLII ' || o_orderkey", "case", "can_lii"),
+    (f"concat('Cedar v Elm, ', {Y}, ' CarswellOnt ', o_orderkey)", f"{Y} || ' CarswellOnt ' || o_orderkey", "case", "database"),
+    ("concat('Fishing Act, RSC 1985, c F-', o_custkey % 90 + 1, '.')", "'RSC 1985, c F-' || (o_custkey % 90 + 1)", "statute", "statute_volume"),
+    (f"concat('Harbour Regulations, SOR/', {Y}, '-', o_custkey % 900 + 1, '.')", f"'SOR/' || {Y} || '-' || (o_custkey % 900 + 1)", "regulation", "regulation_series"),
+    ("concat('See 17 U.S.C. § ', o_custkey % 900 + 1, '.')", "'17 U.S.C. § ' || (o_custkey % 900 + 1)", "statute", "code"),
+    (f"concat('Oak v. Pine, ', {VOL}, ' S.W.2d ', {PAGE}, ' (Tex. 1971).')", f"{VOL} || ' S.W.2d ' || {PAGE}", "case", "reporter"),
+    (f"concat('Rowan v. Sorrel, ', o_custkey % 80 + 1, ' U.S. (', o_custkey % 9 + 1, ' Wheat.) ', {PAGE}, '.')", f"(o_custkey % 80 + 1) || ' U.S. (' || (o_custkey % 9 + 1) || ' Wheat.) ' || {PAGE}", "case", "reporter"),
+    (f"concat('Tamarack v Willow, ', {VOL}, ' BCLR (4th) ', {PAGE}, '.')", f"{VOL} || ' BCLR (4th) ' || {PAGE}", "case", "reporter"),
+]
+_case = lambda i: " ".join(f"WHEN {k} THEN {f[i] if i < 2 else chr(39) + f[i] + chr(39)}" for k, f in enumerate(FAMILY))
+pipeline(
+    "engine_families", f"case o_orderkey % 8 {_case(0)} end", ["doc_id", "span.text as core", "authority", "format"],
+    f"SELECT o_orderkey AS doc_id, CASE o_orderkey % 8 {_case(1)} END AS core, CASE o_orderkey % 8 {_case(2)} END AS authority, CASE o_orderkey % 8 {_case(3)} END AS format FROM orders",
+)
+WRITTEN = "case o_orderkey % 3 when 0 then 'Harrington' when 1 then 'Harringten' else 'Zimmerman' end"
+for _mode, _near in (("safe", "CAST(NULL AS INTEGER)"), ("aggressive", "0")):
+    pipeline(
+        f"near_name_{_mode}", f"concat('Harrington v Moskalik, ', {Y}, ' SCC ', o_orderkey, '. ', {WRITTEN}, ', supra at para 3.')", ["doc_id", "antecedent", "antecedent_reason as reason"],
+        f"SELECT o_orderkey AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN 0 WHEN 1 THEN {_near} END AS antecedent, CASE o_orderkey % 3 WHEN 0 THEN 'name_only' WHEN 1 THEN '{'near_name' if _mode == 'aggressive' else 'no_match'}' ELSE 'no_match' END AS reason FROM orders",
+        where="form = 'supra'", supra_linking_mode=_mode,
+    )
+pipeline(
+    "id_page_check", f"concat('Oak v. Pine, ', {VOL}, ' F.2d ', {PAGE}, ' (2d Cir. 1969). Id. at ', o_orderkey % 900 + 1, '.')", ["doc_id", "antecedent", "antecedent_reason as reason"],
+    f"SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 900 + 1 >= {PAGE} THEN 0 END AS antecedent, CASE WHEN o_orderkey % 900 + 1 >= {PAGE} THEN 'ibid_previous' ELSE 'ibid_page_conflict' END AS reason FROM orders", where="form = 'ibid'",
+)
+
+
+@query("extents_refuse_pages", f"SELECT o_orderkey AS doc_id, CASE WHEN o_custkey % 60 < 30 THEN 0 END AS antecedent FROM orders")
+def _extents_refuse(s, d):
+    text = f"concat('Alder v Birch, ', {VOL}, ' DLR (4th) ', {PAGE}, '. Alder, supra at ', {PAGE} + o_custkey % 60, '.')"
+    found = cites(s, d, text, resolve=False)
+    sizes = found.where("form = 'full'").select("key", (F.col("fields.page").cast("int") + 29).alias("last_page"), F.lit(None).cast("int").alias("paragraphs"))
+    return resolve(found, extents=sizes).select("doc_id", "antecedent")
+
+
+@query("alias_counts", "SELECT 'one' || (o_orderkey % 5) AS key, COUNT(*) AS citations FROM orders GROUP BY 1")
+def _alias_counts(s, d):
+    text = f"case when o_custkey % 2 = 0 then concat('2011 SCC ', o_orderkey % 5 + 1) else concat('2012 ONCA ', o_orderkey % 5 + 1) end"
+    rows = [(f"4:neutral:{y}:{c}:{i + 1}", f"one{i}", None) for i in range(5) for y, c in ((2011, "scc"), (2012, "onca"))]
+    found = extract(docs(s, d, text), aliases=s.createDataFrame(rows, "written string, key string, court string"))
+    return citation_counts(found).select("key", "citations")
+
+
+@query("stream_extract", f"SELECT o_orderkey AS doc_id, 0 AS \"index\", 'full' AS form, '4:neutral:' || {Y} || ':scc:' || o_orderkey AS key FROM orders")
 def _stream(s, d):
     import tempfile
 
-    base = s.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="citeloom-stream-")
+    base = s.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not s.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="citeloom-stream-")
     base = f"{base}/stream-{os.urandom(8).hex()}"
     docs(s, d, CASE).write.parquet(f"{base}/in")
     stream_extract(stream_documents(s, f"{base}/in"), f"{base}/out", f"{base}/checkpoint").awaitTermination()

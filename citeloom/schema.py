@@ -73,6 +73,7 @@ class Options:
     alias_keys: bool = True
     reporter_names: bool = True
     split_tier: str = "safe"
+    supra_linking_mode: str = "safe"
     locators: bool = False
     latest_year: int = 2026
     language: str = "en"
@@ -84,6 +85,8 @@ class Options:
                 raise ValueError(f"invalid_request: unknown {name}: {sorted(bad)}")
         if self.split_tier not in TIERS:
             raise ValueError(f"invalid_request: unknown split_tier {self.split_tier!r}")
+        if self.supra_linking_mode not in ("safe", "aggressive"):
+            raise ValueError(f"invalid_request: unknown supra_linking_mode {self.supra_linking_mode!r}")
         from .sources.registry import SEED
 
         known = {j["id"] for j in SEED.jurisdictions}

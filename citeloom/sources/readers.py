@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -21,8 +21,12 @@ def json_lines(spark: SparkSession, path: str, strict: bool = True) -> DataFrame
     A line is a JSON string or an object with text. Where strict, a bad line ends the job with its number.
     line counts lines within a file.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "raw"))
-    raw = raw.withColumn("line", F.col("line") + 1).where(F.trim("raw") != "")
+    # large files are split; a block's first line number comes from the counts of the blocks before it
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("m"), F.col("value").alias("raw"))
+    counts = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("file", "block", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    raw = raw.join(counts, ["file", "block"]).withColumn("line", (F.col("before") + F.col("m") - F.col("first") + 1).cast("int")).where(F.trim("raw") != "")
     text = F.coalesce(F.get_json_object("raw", "$.text"), F.when(F.trim("raw").startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), F.col("raw"), F.lit("}")), "$.v")))
     rows = raw.select("file", "line", text.alias("text"), F.when(F.trim("raw").startswith("{"), F.col("raw")).alias("rest"))
     if strict:

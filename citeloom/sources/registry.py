@@ -100,6 +100,33 @@ br|specialty|us|B.R.||no||
 nj|official|us|N.J.||no||
 mass|official|us|Mass.|Mass=Mass.|no||
 cal|official|us|Cal.;Cal. 2d;Cal. 3d;Cal. 4th|Cal.2d=Cal. 2d|no||
+se|general|us|S.E.;S.E.2d|S. E. 2d=S.E.2d|no||
+sw|general|us|S.W.;S.W.2d;S.W.3d|S. W. 2d=S.W.2d|no||
+nw|general|us|N.W.;N.W.2d|N. W. 2d=N.W.2d|no||
+so|general|us|So.;So. 2d;So. 3d|So.2d=So. 2d;So.3d=So. 3d|no||
+cal-rptr|general|us|Cal. Rptr.;Cal. Rptr. 2d;Cal. Rptr. 3d|Cal.Rptr.=Cal. Rptr.;Cal.Rptr.2d=Cal. Rptr. 2d|no||
+nys|general|us|N.Y.S.;N.Y.S.2d;N.Y.S.3d|N.Y.S. 2d=N.Y.S.2d|no||
+f-appx|general|us|F. App'x|Fed. App'x=F. App'x;Fed. Appx.=F. App'x|no||
+frd|specialty|us|F.R.D.||no||
+fed-cl|specialty|us|Fed. Cl.|Fed.Cl.=Fed. Cl.|no||
+ny|official|us|N.Y.;N.Y.2d;N.Y.3d|N.Y. 2d=N.Y.2d|no||
+ohio-st|official|us|Ohio St.;Ohio St. 2d;Ohio St. 3d|Ohio St.2d=Ohio St. 2d;Ohio St.3d=Ohio St. 3d|no||
+ill|official|us|Ill.;Ill. 2d|Ill.2d=Ill. 2d|no||
+wash|official|us|Wash.;Wash. 2d|Wash.2d=Wash. 2d;Wn.2d=Wash. 2d|no||
+wis|official|us|Wis.;Wis. 2d|Wis.2d=Wis. 2d|no||
+mich|official|us|Mich.||no||
+minn|official|us|Minn.||no||
+tex|official|us|Tex.||no||
+bclr|general|ca-bc|BCLR;BCLR (2d);BCLR (3d);BCLR (4th);BCLR (5th)|B.C.L.R. (3d)=BCLR (3d);B.C.L.R. (4th)=BCLR (4th)|no||
+alta-lr|general|ca-ab|Alta LR;Alta LR (2d);Alta LR (3d);Alta LR (4th)|Alta. L.R. (2d)=Alta LR (2d)|no||
+sask-r|general|ca-sk|Sask R|Sask. R.=Sask R|no||
+man-r|general|ca-mb|Man R;Man R (2d)|Man. R. (2d)=Man R (2d)|no||
+nbr|general|ca-nb|NBR;NBR (2d)|N.B.R. (2d)=NBR (2d)|no||
+nsr|general|ca-ns|NSR;NSR (2d)|N.S.R. (2d)=NSR (2d)|no||
+oac|general|ca-on|OAC|O.A.C.=OAC|no||
+rfl|specialty|ca|RFL;RFL (2d);RFL (3d);RFL (4th);RFL (5th)|R.F.L. (3d)=RFL (3d)|no||
+cpr|specialty|ca|CPR;CPR (2d);CPR (3d);CPR (4th)|C.P.R. (3d)=CPR (3d);C.P.R. (4th)=CPR (4th)|no||
+ehrr|specialty|uk|EHRR|E.H.R.R.=EHRR|no||
 """
 # Id | kind | jurisdiction | abbreviation | other spellings | French spellings | CanLII jurisdiction/database | CanLII years
 SERIES = """

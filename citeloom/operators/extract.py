@@ -57,6 +57,19 @@ def schema_for(id_type: T.DataType) -> T.StructType:
     return T.StructType([T.StructField("doc_id", id_type), *SCHEMA.fields[1:], T.StructField("error", T.StringType())])
 
 
+#: Bytes of texts for a core, under which they are dealt out anew before they are read.
+SPREAD = 8 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt to all cores where they are so few that their files would keep only some cores busy; reading a text costs far more than moving it."""
+    if rows.isStreaming:
+        return rows
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(n) if size < n * SPREAD else rows
+
+
 def extract(docs: DataFrame, notes: DataFrame | None = None, options: Options | None = None, registry: Registry = SEED, id_col: str = "doc_id", text_col: str = "text", on_error: str = "record", aliases: DataFrame | None = None) -> DataFrame:
     """A row for each citation of each document, in the schema CITATION; ids keep their type.
 
@@ -95,7 +108,7 @@ def extract(docs: DataFrame, notes: DataFrame | None = None, options: Options |
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    found = rows.mapInArrow(run, schema)
+    found = spread(rows).mapInArrow(run, schema)
     if aliases is None:
         return found
     told = apply_aliases(found.withColumn("core", F.col("span.text")).withColumn("_court", F.col("court")).withColumn("court", F.col("court.id")), aliases, o.alias_keys)

@@ -17,7 +17,7 @@ from .scratch import join_counted, materialize, running
 
 BITS, DIMS = 4, 3
 #: Rows in a part of a cell of the grid: a cell with a third of all rows is still dealt to many tasks.
-PART = 1 << 14
+PART = 1 << 11
 
 
 def hilbert_index(point: list[int], bits: int) -> int:

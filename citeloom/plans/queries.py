@@ -372,7 +372,7 @@ def _extents(s, d):
     return volumes(lines.select(F.concat(F.lit("V\tdlr:"), F.col("l_orderkey").cast("string"), F.lit("\t"), F.array_join(F.transform("a", lambda x: x["q"].cast("string")), ",")).alias("value")))
 
 
-#: How many entries the seed states, as numbers.
+#: How many entries the seed stated when this was written; a change of the seed has to change them too.
 @query("registry_counts", "SELECT * FROM (VALUES ('courts', CAST(51 AS BIGINT)), ('reporters', CAST(56 AS BIGINT)), ('series', CAST(32 AS BIGINT)), ('journals', CAST(10 AS BIGINT)), ('jurisdictions', CAST(20 AS BIGINT))) AS t(\"table\", entries)")
 def _registry(s, d):
     out = None

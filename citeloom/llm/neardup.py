@@ -43,6 +43,8 @@ SMALL = 16
 LEFT, RIGHT = 256, 1024
 #: Words and texts whose hashes and keys a worker remembers.
 REMEMBERED, KEPT = 100_000, 5_000
+#: Hashes of a text's shingles that are held at once.
+HELD = 1 << 16
 FACTORS = mix(np.arange(1, SHINGLE + 1)) | np.uint64(1)
 SEEDS = mix(np.arange(101, 101 + SKETCHES)) | np.uint64(1)
 PLACES = mix(np.arange(301, 301 + ORDER)) | np.uint64(1)
@@ -86,14 +88,16 @@ def label(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def samples(seq: np.ndarray) -> np.ndarray:
     """SKETCHES keys of a sequence of different values: each of the ORDER that a hash function puts first, in the order of the text."""
-    k, keys = min(ORDER, len(seq)), []
-    for i in range(SKETCHES):
-        x = seq * SEEDS[i]
+    k, places = min(ORDER, len(seq)), []
+    some = max(1, HELD // len(seq))  # hash functions that are taken at once
+    for i in range(0, SKETCHES, some):
+        x = seq * SEEDS[i : i + some, None]
         x ^= x >> np.uint64(31)
-        x *= SEEDS[-1 - i]
-        at = np.sort(np.argpartition(x, k - 1)[:k]) if k < len(x) else np.arange(k)
-        keys.append((seq[at] * PLACES[:k]).sum(dtype=np.uint64))
-    return mix(np.array(keys, np.uint64) * SEEDS + np.arange(SKETCHES, dtype=np.uint64))
+        x *= SEEDS[::-1][i : i + some, None]
+        places.append(np.argpartition(x, k - 1, axis=1)[:, :k] if k < len(seq) else np.tile(np.arange(k), (len(x), 1)))
+    at = np.sort(np.concatenate(places), axis=1)
+    keys = (seq[at] * PLACES[:k]).sum(axis=1, dtype=np.uint64)
+    return mix(keys * SEEDS + np.arange(SKETCHES, dtype=np.uint64))
 
 
 def sketch(h: np.ndarray) -> list[int]:

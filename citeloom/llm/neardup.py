@@ -50,26 +50,33 @@ SEEDS = mix(np.arange(101, 101 + SKETCHES)) | np.uint64(1)
 PLACES = mix(np.arange(301, 301 + ORDER)) | np.uint64(1)
 
 
+class Hashes(dict):
+    """Words to their hashes, as they are asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 class Shingler:
     """Texts to hashes of shingles, with a memory for words."""
 
     def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = Hashes()
 
     def __call__(self, text: bytes) -> np.ndarray:
-        words, known = text.split(), self.known
+        words = text.split()
         if not words:
             return np.empty(0, np.uint64)
-        if len(known) > REMEMBERED:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        v = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        n = max(1, len(v) - SHINGLE + 1)
-        h = np.full(n, np.uint64(len(v) if len(v) < SHINGLE else SHINGLE))
-        for i, f in enumerate(FACTORS[: len(v)]):
-            h += mix(v[i : i + n] * f + np.uint64(i))
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        v = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+        long = min(len(v), SHINGLE)
+        n, places = len(v) - long + 1, np.arange(long, dtype=np.uint64)[:, None]
+        h = np.empty(n, np.uint64)
+        for i in range(0, n, HELD):  # a long text in parts
+            part = np.lib.stride_tricks.sliding_window_view(v[i : i + HELD + long - 1], long).T
+            h[i : i + HELD] = mix(part * FACTORS[:long, None] + places).sum(axis=0, dtype=np.uint64) + np.uint64(long)
         return mix(h)
 
 
@@ -179,6 +186,29 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.mapInArrow(run, f"_id {kind}, node binary, keys array<long>")
 
 
+class Postings:
+    """Sequences of different values, asked which of them may be similar to another one."""
+
+    def __init__(self, sequences: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sequences], np.int64)
+        flat = np.concatenate([*sequences, np.empty(0, np.uint64)])
+        order = np.argsort(flat, kind="stable")
+        self.owner = np.repeat(np.arange(len(sequences)), self.sizes)[order]
+        self.values, first, self.counts = np.unique(flat[order], return_index=True, return_counts=True)
+        self.first = first.astype(np.int64)
+
+    def similar(self, h: np.ndarray) -> np.ndarray:
+        """Places of those whose similarity without regard to order, never less than that with it, is enough."""
+        if not len(self.values):
+            return np.empty(0, np.int64)
+        at = np.minimum(np.searchsorted(self.values, h), len(self.values) - 1)
+        at = at[self.values[at] == h]
+        counts = self.counts[at]
+        places = np.repeat(self.first[at] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        shared = np.bincount(self.owner[places], minlength=len(self.sizes))
+        return np.flatnonzero((shared > 0) & (shared >= SIMILAR * (len(h) + self.sizes - shared) - 1e-9))
+
+
 def compare(tasks: DataFrame, texts: DataFrame) -> DataFrame:
     """tasks (task, side, node, group) → links (a, b): verified pairs of a task's left (0) and right (1) nodes.
 
@@ -189,7 +219,7 @@ def compare(tasks: DataFrame, texts: DataFrame) -> DataFrame:
     rows = rows.repartition(n, "task").sortWithinPartitions("task", "side", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, task, left, index, root, found = Shingler(), None, [], {}, {}, []
+        shingler, task, left, index, root, found = Shingler(), None, [], None, {}, []
 
         def top(x: bytes) -> bytes:
             while root.setdefault(x, x) != x:
@@ -199,26 +229,19 @@ def compare(tasks: DataFrame, texts: DataFrame) -> DataFrame:
         for b in batches:
             for t, side, node, group, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if t != task:
-                    task, left, index, root = t, [], {}, {}
+                    task, left, index, root = t, [], None, {}
                 h = shingler(text)
                 h = h[label(h)[1]]
                 if group is not None and top(group) != top(node):
                     root[top(node)] = top(group)
                 if side == 0:
-                    for x in h.tolist():
-                        index.setdefault(x, []).append(len(left))
                     left.append((node, h))
                     continue
-                shared: dict[int, int] = {}
-                for x in h.tolist():
-                    for i in index.get(x, ()):
-                        shared[i] = shared.get(i, 0) + 1
-                for i, s in shared.items():
+                # the left side comes first
+                index = index or Postings([g for _, g in left])
+                for i in index.similar(h).tolist():
                     other, g = left[i]
-                    # similarity without regard to order is never less than with it
-                    if s < SIMILAR * (len(h) + len(g) - s) - 1e-9 or top(node) == top(other):
-                        continue
-                    if aligned(g, h):
+                    if top(node) != top(other) and aligned(g, h):
                         root[top(node)] = top(other)
                         found.append((other, node))
             if found:

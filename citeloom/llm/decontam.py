@@ -23,6 +23,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 13
 #: Windows broadcast at once, about 40 MB. More of them are joined in blocks of this size.
 BLOCK = 100_000
+#: Bytes of keys of contaminated documents, ROW_BYTES for each row beside its key, that are broadcast.
+BROADCAST, ROW_BYTES = 32 << 20, 64
 
 
 def words(text: Column) -> Column:
@@ -115,8 +117,20 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return c.select(F.col("_id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that are not contaminated."""
-    bad = contamination(docs, benchmark, id_col=id_col, text_col=text_col).where("contaminated").select(F.col("_id").alias("__id"), F.col("_h").alias("__h")).distinct()
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))) == F.col("__h"))
-    return docs.join(bad, same, "left_anti")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast: int = BROADCAST) -> DataFrame:
+    """The rows of docs, all columns, that are not contaminated.
+
+    The contaminated ones are few beside docs: their ids and hashes are counted and, up to so many bytes,
+    sent to all tasks, so that no text is shuffled. Beyond that texts are dealt by key, hot keys apart.
+    """
+    key = lambda i, h: F.concat_ws("|", F.when(i.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), i.cast("string"))), h.cast("string"))
+    bad = contamination(docs, benchmark, id_col=id_col, text_col=text_col).where("contaminated")
+    bad = bad.groupBy(key(F.col("_id"), F.col("_h")).alias("__key")).agg(F.count(F.lit(1)).alias("n"))
+    bad = materialize(bad.withColumn("__bad", F.lit(True)), "bad", "fewer")
+    size = bad.agg(F.coalesce(F.sum(F.octet_length("__key") + ROW_BYTES), F.lit(0))).first()[0]
+    kept = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(docs.columns)], key(F.col(f"`{id_col}`"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))).alias("__key"))
+    if size <= broadcast:
+        kept = kept.join(F.broadcast(bad.select("__key")), "__key", "left_anti")
+    else:
+        kept = join_counted(kept, bad, "__key", how="left").where("__bad is null")
+    return kept.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -205,6 +205,20 @@ def test_decontamination(data, empty):
     assert decontam.digest(docs, items.limit(0)).where("n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [decontam.BROADCAST, 0])
+def test_decontaminated_keeps_every_clean_row(data, spark, broadcast, monkeypatch):
+    rows, bench, docs, items = data
+    monkeypatch.setattr("citeloom.llm.scratch.HEAVY", 3)
+    clash = [(None, bench[0]["text"]), (None, "free of it"), (2000, bench[2]["text"]), (2000, bench[2]["text"]), (2001, "also | free")]
+    docs = docs.unionByName(spark.createDataFrame(clash, "doc_id long, text string"), allowMissingColumns=True).withColumn("__key", F.lit(1)).withColumn("n", F.lit(2))
+    bad = Counter((w[0], t) for w, t in zip(decontaminated([*rows, *clash], [(b["item_id"], b["text"]) for b in bench] + [(78, "one two")]), [r[1] for r in [*rows, *clash]], strict=True) if w[5])
+    want = Counter((r[0], r[1]) for r in [*rows, *clash])
+    assert (None, bench[0]["text"]) in bad and (2000, bench[2]["text"]) in bad
+    got = decontam.decontaminated(docs, items, broadcast=broadcast)
+    assert got.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == want - bad
+
+
 def test_a_window_that_all_items_share(spark):
     common = " ".join(f"c{i}" for i in range(13))
     bench = [(i, f"{common} own{i} " + " ".join(f"i{i}w{j}" for j in range(14))) for i in range(40)] + [(None, common)]
@@ -858,6 +872,16 @@ def test_small_sets_find_every_partner(spark):
     same(neardup.digest(spark.createDataFrame(rows, SCHEMA)), brute_classes(rows), ["doc_id", "class_id"])
 
 
+def test_postings_match_plain_sets():
+    r = np.random.default_rng(3)
+    left = [np.unique(r.integers(0, 40, n)).astype(np.uint64) for n in [1, 5, 30, 30, 60, 60]]
+    for n in (1, 5, 20, 60):
+        h = np.unique(r.integers(0, 40, n)).astype(np.uint64)
+        want = [i for i, g in enumerate(left) if len(set(g) & set(h)) >= 0.8 * len(set(g) | set(h)) - 1e-9]
+        assert neardup.Postings(left).similar(h).tolist() == want
+    assert neardup.Postings([]).similar(left[0]).tolist() == []
+
+
 def test_banded_alignment_matches_plain_lcs():
     rng = np.random.default_rng(5)
     for _ in range(300):

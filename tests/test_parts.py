@@ -49,6 +49,13 @@ def test_works_that_differ_have_other_keys():
     assert len(set(keys)) == len(keys) and None not in keys
 
 
+@pytest.mark.parametrize("number", ["9999", "10000", "123456", "1234567"])
+def test_regulations_may_have_numbers_of_any_length(number):
+    for text, want in ((f"X Regulations, SOR/1996-{number}.", f"4:regulation:ca:sor:1996:{number}"), (f"Y, O Reg {number}/96.", f"4:regulation:ca-on:oreg:1996:{number}")):
+        c = one(text)
+        assert c["authority"] == "regulation" and key(c) == want
+
+
 def test_key_for_text_says_why_there_is_none():
     assert [api.key_for_text(t)["reason"] for t in ("plain", "2011 SCC 4; 2011 SCC 5", "2011 SCC 4")] == ["no_citation", "multiple_citations", None]
 

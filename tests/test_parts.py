@@ -54,6 +54,7 @@ def test_regulations_may_have_numbers_of_any_length(number):
     for text, want in ((f"X Regulations, SOR/1996-{number}.", f"4:regulation:ca:sor:1996:{number}"), (f"Y, O Reg {number}/96.", f"4:regulation:ca-on:oreg:1996:{number}")):
         c = one(text)
         assert c["authority"] == "regulation" and key(c) == want
+    assert urls.justice_laws(one(f"X Regulations, SOR/1996-{number}")) == f"https://laws-lois.justice.gc.ca/eng/regulations/SOR-1996-{number}/"
 
 
 def test_key_for_text_says_why_there_is_none():

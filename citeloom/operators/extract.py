@@ -27,8 +27,8 @@ FIELD_NAMES = [f.name for f in SCHEMA["fields"].dataType.fields]
 NOTES = "array<struct<number:int,start:int,end:int,sequence:int>>"
 
 
-def read(text: str, o: Options, g: Registry = SEED, notes: list[dict] | None = None) -> list[dict]:
-    """All stages over one text: found, grouped, keyed, resolved, clustered, filtered."""
+def read(text: str, o: Options, g: Registry = SEED, notes: list[dict] | None = None, wanted: frozenset[str] = frozenset(("authority_cluster", "url"))) -> list[dict]:
+    """All stages over one text: found, grouped, keyed, resolved, clustered, filtered; clusters and addresses only if wanted."""
     citations = find(text, g, o, notes)
     if o.skip_authority_lists:
         listed = authority_list(text, citations)
@@ -41,10 +41,10 @@ def read(text: str, o: Options, g: Registry = SEED, notes: list[dict] | None = N
     if o.resolve:
         for r in resolve_rows(citations, notes, g, check_locators=o.locators, linking=o.supra_linking_mode):
             by[r["index"]] |= {"antecedent": r["antecedent"], "antecedent_reason": r["reason"]}
-        for k, members in enumerate(authorities(citations, g)):
+        for k, members in enumerate(authorities(citations, g) if "authority_cluster" in wanted else ()):
             for i in members:
                 by[i]["authority_cluster"] = k
-    for c in citations:
+    for c in citations if "url" in wanted else ():
         c["url"] = url(c if c["form"] == "full" or c["antecedent"] is None else by[c["antecedent"]], o.language, g) if c["form"] == "full" or c["antecedent"] is not None else None
     if o.source_only:
         citations = [c for c in citations if c["form"] != "full" or (c["jurisdiction"] or "").startswith("us") and c["style"]]
@@ -52,10 +52,16 @@ def read(text: str, o: Options, g: Registry = SEED, notes: list[dict] | None = N
     return [c for c in citations if (not o.remove_ambiguous or not is_ambiguous(c)) and (o.authorities is None or c["authority"] in o.authorities or c["form"] != "full") and (o.forms is None or c["form"] in o.forms)]
 
 
-def schema_for(id_type: T.DataType) -> T.StructType:
-    """The schema CITATION with ids of a type, and a column for what went wrong."""
-    return T.StructType([T.StructField("doc_id", id_type), *SCHEMA.fields[1:], T.StructField("error", T.StringType())])
+def schema_for(id_type: T.DataType, columns: tuple[str, ...] | None = None) -> T.StructType:
+    """The schema CITATION, or some of its columns, with ids of a type, and a column for what went wrong."""
+    if columns is not None and (unknown := set(columns) - set(SCHEMA.names) - {"error"}):
+        raise ValueError(f"invalid_request: unknown columns: {sorted(unknown)}")
+    kept = [f for f in SCHEMA.fields[1:] if columns is None or f.name in columns]
+    return T.StructType([T.StructField("doc_id", id_type), *kept, T.StructField("error", T.StringType())])
+
 
+#: Citations that a Python worker holds before it passes them on.
+HELD = 2000
 
 #: Bytes of texts for a core, under which they are dealt out anew before they are read.
 SPREAD = 8 << 20
@@ -70,9 +76,11 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(n) if size < n * SPREAD else rows
 
 
-def extract(docs: DataFrame, notes: DataFrame | None = None, options: Options | None = None, registry: Registry = SEED, id_col: str = "doc_id", text_col: str = "text", on_error: str = "record", aliases: DataFrame | None = None) -> DataFrame:
+def extract(docs: DataFrame, notes: DataFrame | None = None, options: Options | None = None, registry: Registry = SEED, id_col: str = "doc_id", text_col: str = "text", on_error: str = "record", aliases: DataFrame | None = None, columns: tuple[str, ...] | None = None) -> DataFrame:
     """A row for each citation of each document, in the schema CITATION; ids keep their type.
 
+    columns: those of the schema to make, beside doc_id and error; the others cost time and memory in Python too.
+
     notes: doc_id, number, start, end, sequence. on_error: "record" gives a text that can't be read one row
     with its id and the error, and nothing else; "raise" ends the job. aliases: written, key, court (see
     apply_aliases); with them there is a column alias_key, which counts go by, unless options.alias_keys is
@@ -82,7 +90,11 @@ def extract(docs: DataFrame, notes: DataFrame | None = None, options: Options |
         raise ValueError(f"on_error is record or raise, not {on_error!r}")
     ship(docs.sparkSession)
     o = options or Options()
-    schema = schema_for(docs.schema[id_col].dataType)
+    if columns is not None and aliases is not None:
+        columns = (*columns, "span", "key", "court")
+    schema = schema_for(docs.schema[id_col].dataType, columns)
+    names = schema.names[1:-1]
+    plain, wanted = [n for n in names if n != "fields"], frozenset(names)
     arrow = to_arrow_schema(schema)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     if notes is None:
@@ -98,13 +110,21 @@ def extract(docs: DataFrame, notes: DataFrame | None = None, options: Options |
                 if not text:
                     continue
                 try:
-                    found = read(text, o, registry, note)
+                    found = read(text, o, registry, note, wanted)
                 except Exception as e:  # one text need not end the job, but it leaves a trace
                     if on_error == "raise":
                         raise
                     out.append({"doc_id": doc, "error": f"{type(e).__name__}: {e}"})
                     continue
-                out += [{"doc_id": doc, **c, "fields": {k: c["fields"].get(k) for k in FIELD_NAMES}} for c in found]
+                for c in found:
+                    row = {n: c[n] for n in plain}
+                    row["doc_id"] = doc
+                    if "fields" in wanted:
+                        row["fields"] = {k: c["fields"].get(k) for k in FIELD_NAMES}
+                    out.append(row)
+                if len(out) >= HELD:
+                    yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                    out = []
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
@@ -164,14 +184,17 @@ def clusters(citations: DataFrame) -> DataFrame:
 def citation_counts(citations: DataFrame) -> DataFrame:
     """key, citations, documents: how often each authority is cited, back references included.
 
-    A reference counts for its antecedent's key, which a join within the document gives; sums are made before the shuffle.
+    A reference counts for its antecedent's key. The citations are read once: each row stands at its own place in its
+    document, each reference at its antecedent's too, and what stands at one place meets in one aggregation.
     """
     if "alias_key" in citations.columns:
         citations = citations.withColumn("key", F.col("alias_key"))
-    full = citations.select("doc_id", F.col("index").alias("antecedent"), F.col("key").alias("k"))
-    back = citations.where("antecedent is not null").select("doc_id", "antecedent").join(full, ["doc_id", "antecedent"]).select("doc_id", F.col("k").alias("key"))
-    every = citations.where("key is not null").select("doc_id", "key").unionByName(back.where("key is not null"))
-    per = every.groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    own = F.when(F.col("key").isNotNull(), F.struct(F.col("index").alias("at"), F.col("key").alias("key"), F.lit(0).alias("back")))
+    back = F.when(F.col("antecedent").isNotNull() & F.col("doc_id").isNotNull(), F.struct(F.col("antecedent").alias("at"), F.lit(None).cast("string").alias("key"), F.lit(1).alias("back")))
+    placed = citations.select("doc_id", F.explode(F.array_compact(F.array(own, back))).alias("p")).select("doc_id", "p.at", "p.key", "p.back")
+    met = placed.groupBy("doc_id", "at").agg(F.collect_list("key").alias("keys"), F.sum("back").alias("back"))
+    every = met.select("doc_id", F.explode("keys").alias("key"), (F.col("back") + 1).alias("n"))
+    per = every.groupBy("key", "doc_id").agg(F.sum("n").alias("n"))
     return per.groupBy("key").agg(F.sum("n").alias("citations"), F.count(F.lit(1)).alias("documents"))
 
 

@@ -34,6 +34,28 @@ def test_resolve_clusters_and_counts(spark, docs):
     assert counts["4:neutral:2016:scc:27"] == (4, 2)
 
 
+def test_counts_read_each_text_once_and_only_their_columns(spark, docs):
+    every = extract(docs)
+    few = extract(docs, columns=("index", "antecedent", "key"))
+    assert few.columns == ["doc_id", "index", "antecedent", "key", "error"]
+    assert sorted(few.collect()) == sorted(every.select(*few.columns).collect())
+    counts = citation_counts(few)
+    assert counts._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(counts.collect()) == sorted(citation_counts(every).collect())
+    with pytest.raises(ValueError, match="unknown columns"):
+        extract(docs, columns=("nothing",))
+
+
+def test_workers_pass_citations_on(spark, monkeypatch):
+    """Python workers hold a bounded number of citations, however many texts a batch has."""
+    import sys
+
+    module = sys.modules["citeloom.operators.extract"]
+    monkeypatch.setattr(module, "HELD", 3)
+    d = spark.createDataFrame([(i, "2016 SCC 27; 2016 SCC 28") for i in range(20)], "doc_id long, text string").coalesce(1)
+    assert extract(d).count() == 40
+
+
 def test_notes_bound_citations(spark):
     text = "R v A, 2016 SCC 1. | Ibid."
     d = spark.createDataFrame([(1, text)], "doc_id long, text string")

@@ -135,34 +135,41 @@ def extract(docs: DataFrame, notes: DataFrame | None = None, options: Options |
     return told.withColumn("court", F.col("_court")).drop("core", "_court")
 
 
+#: Columns of citations that resolution uses.
+RESOLVED = ("index", "form", "authority", "format", "span", "full_span", "style", "parties", "fields", "court", "jurisdiction", "pinpoints", "parentheticals", "short_name", "explicit_short_name", "parallel_group", "key")
+#: Extents that are sent to all executors; more are joined by shuffles.
+FEW = 500_000
+
+
 def resolve(citations: DataFrame, notes: DataFrame | None = None, registry: Registry = SEED, extents: DataFrame | None = None, linking: str = "safe") -> DataFrame:
     """doc_id, index, antecedent, reason of every citation that is not full.
 
-    extents: key, last_page, paragraphs: sizes of works that the host knows; each document gets those of its
-    keys, and references to places beyond them are refused. A document's citations and notes meet in one row, so that batches of documents go to Python and not one
-    group at a time.
+    extents: key, last_page, paragraphs: sizes of works that the host knows; each citation gets that of its
+    key, and references to places beyond them are refused. A document's citations and notes meet in one row, so that batches of documents go to Python and not one
+    group at a time. The citations are read once; of their columns those in RESOLVED are used.
     """
     ship(citations.sparkSession)
-    needed = [c for c in citations.columns if c not in ("doc_id", "url", "reasons", "interpretations", "error")]
+    needed = [F.col(c) for c in RESOLVED if c in citations.columns]
     id_kind = citations.schema["doc_id"].dataType
-    rows = citations.where("index is not null").groupBy("doc_id").agg(F.collect_list(F.struct(*needed)).alias("c"))
+    rows, check = citations.where("index is not null"), extents is not None
+    if check:
+        known = extents.groupBy(F.col("key").alias("_key")).agg(F.first(F.struct("last_page", "paragraphs")).alias("_size"))
+        if known.limit(FEW + 1).count() <= FEW:
+            known = F.broadcast(known)
+        rows = rows.join(known, F.col("key") == F.col("_key"), "left")
+        needed.append(F.col("_size").alias("size"))
+    rows = rows.groupBy("doc_id").agg(F.collect_list(F.struct(*needed)).alias("c"))
     if notes is None:
         rows = rows.withColumn("n", F.lit(None).cast(NOTES))
     else:
         n = notes.groupBy("doc_id").agg(F.collect_list(F.struct("number", "start", "end", F.coalesce("sequence", F.lit(0)).alias("sequence"))).cast(NOTES).alias("n"))
         rows = rows.join(n, "doc_id", "left")
-    check = extents is not None
-    if extents is None:
-        rows = rows.withColumn("x", F.lit(None).cast("array<struct<key:string,last_page:int,paragraphs:int>>"))
-    else:
-        x = citations.where("key is not null").select("doc_id", "key").distinct().join(extents.select("key", "last_page", "paragraphs").dropDuplicates(["key"]), "key")
-        rows = rows.join(x.groupBy("doc_id").agg(F.collect_list(F.struct("key", "last_page", "paragraphs")).alias("x")), "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for doc, found, note, sizes in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                known = {x["key"]: x for x in sizes or ()}
+            for doc, found, note in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                known = {c["key"]: c["size"] for c in found if c["size"]} if check else {}
                 out += [(doc, r["index"], r["antecedent"], r["reason"]) for r in resolve_rows(found, note, registry, known, check, linking)]
             if out:
                 kinds = (to_arrow_type(id_kind), pa.int32(), pa.int32(), pa.string())

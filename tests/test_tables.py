@@ -53,6 +53,26 @@ def test_counts_of_odd_citations(spark):
     assert {tuple(r) for r in citation_counts(c).collect()} == {("a", 6, 3), ("b", 1, 1), ("c", 2, 1)}
 
 
+def test_resolve_with_extents_reads_each_text_once(spark):
+    import re
+    import sys
+
+    rows = [(i, f"Alder v Birch, 41 DLR (4th) {i}. Alder, supra at {i + 30}. Alder, supra at {i + 29}.") for i in range(1, 9)]
+    found = extract(spark.createDataFrame(rows, "doc_id long, text string"))
+    sizes = spark.createDataFrame([(f"4:reporter:dlr:dlr4th:41:{i}", i + 29, None) for i in range(1, 9) if i != 5], "key string, last_page int, paragraphs int")
+    module, got = sys.modules["citeloom.operators.extract"], []
+    for few in (module.FEW, 2):  # sent to all, and joined by shuffles
+        before, module.FEW = module.FEW, few
+        try:
+            r = resolve(found, extents=sizes)
+        finally:
+            module.FEW = before
+        got.append(sorted((x["doc_id"], x["index"], x["antecedent"]) for x in r.collect()))
+        plan = r._jdf.queryExecution().optimizedPlan().toString()
+        assert len(re.findall("MapInArrow", plan)) == 2  # one reads, one resolves
+    assert got[0] == got[1] == sorted((i, k, 0 if k == 2 or i == 5 else None) for i in range(1, 9) for k in (1, 2))
+
+
 def test_workers_pass_citations_on(spark, monkeypatch):
     """Python workers hold a bounded number of citations, however many texts a batch has."""
     import sys

@@ -4,16 +4,27 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 VERSUS = r"(?:v|vs|c)\.?"
+OTHER = re.compile(r"[\W_]+")
+
+
+#: Code points of names whose normal forms are remembered.
+SHORT = 64
 
 
 def fold(s: str | None) -> str:
     """A name's letters and digits in lower case: the key under which registries are looked up."""
-    return "".join(c for c in s or "" if c.isalnum()).lower()
+    return _folded(s) if s and len(s) <= SHORT else _folded.__wrapped__(s or "")
+
+
+@lru_cache(maxsize=10_000)
+def _folded(s: str) -> str:
+    return "".join(c for c in s if c.isalnum()).lower()
 
 
 def fold_column(c: Column) -> Column:
@@ -22,9 +33,15 @@ def fold_column(c: Column) -> Column:
 
 def plain(s: str | None) -> str:
     """Lower case without accents, punctuation as spaces, single spaces."""
-    s = unicodedata.normalize("NFKD", s or "")
-    s = "".join(c for c in s if not unicodedata.combining(c)).casefold()
-    return " ".join(re.sub(r"[^\w]+", " ", s.replace("_", " ")).split())
+    return _plain(s) if s and len(s) <= SHORT else _plain.__wrapped__(s or "")
+
+
+@lru_cache(maxsize=10_000)
+def _plain(s: str) -> str:
+    if not s.isascii():
+        s = unicodedata.normalize("NFKD", s)
+        s = "".join(c for c in s if not unicodedata.combining(c))
+    return " ".join(OTHER.sub(" ", s.casefold()).split())
 
 
 def ident(s: str | None) -> str | None:

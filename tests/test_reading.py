@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from citeloom.operators.extract import read
 from citeloom.operators.find import Taken, note_references, settle, settle_named
 from citeloom.schema import Options
+from citeloom.sources.registry import SEED
 
 
 def cite(text, **o):
@@ -233,3 +234,30 @@ def test_random_bytes_of_text_do_no_harm():
     r = random.Random(3)
     for _ in range(150):
         cite("".join(r.choice("[](){}.,;:§“” v c R2011SCCat para nte\n’'&-") for _ in range(r.randint(0, 200))))
+
+
+def test_families_are_chosen_once_for_all_texts(monkeypatch):
+    from citeloom.operators import find as fi
+
+    calls, chosen = [], fi.chosen
+    monkeypatch.setattr(fi, "_CHOSEN", {})
+    monkeypatch.setattr(fi, "chosen", lambda *a: calls.append(a) or chosen(*a))
+    for o in (Options(), Options(authorities=("case",)), Options(styles=("oscola",))):
+        for i in range(5):
+            fi.anchors(f"2016 SCC {i}; 17 U.S.C. § 106", SEED, o)
+    assert len(calls) == 3
+
+
+def test_every_name_of_the_registry_may_begin_a_core():
+    """The sets of first characters leave out no name."""
+    from citeloom.operators import grammar as gr
+
+    by = dict(gr.families(SEED))
+    for r in SEED.series:
+        for name in (r["abbreviation"], *r["variations"], *r["french"]):
+            family, text = ("regulation", f"{name}/2001-12") if r["kind"] == "regulations" else ("statute", f"{name} 2001, c 7")
+            if r["kind"] == "regulations" or "statutes" in r["kind"]:
+                assert by[family].search(text), name
+    for r in SEED.reporters:
+        for name in (*r["editions"], *r["variations"]):
+            assert by["reporter"].search(f"12 {name} 34") and by["reporter"].search(f"[2001] {name} 34"), name

@@ -73,6 +73,15 @@ def test_resolve_with_extents_reads_each_text_once(spark):
     assert got[0] == got[1] == sorted((i, k, 0 if k == 2 or i == 5 else None) for i in range(1, 9) for k in (1, 2))
 
 
+def test_note_queries_make_only_what_they_select(spark):
+    from citeloom.plans.queries import QUERIES
+
+    for name in ("ibid_across_notes", "supra_note_and_name", "supra_out_of_range"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        made = next(x for x in plan.splitlines() if "MapInArrow" in x)
+        assert "antecedent_reason" in made and "interpretations" not in made and "url" not in made, name
+
+
 def test_workers_pass_citations_on(spark, monkeypatch):
     """Python workers hold a bounded number of citations, however many texts a batch has."""
     import sys

@@ -13,7 +13,8 @@ P(words | classes).
 3. Baum-Welch: each task adds up expected counts of its blocks; they are summed, as whole numbers of
    1 / UNIT so that the order of sums changes nothing, and a table of STATES * CLASSES numbers goes to the driver.
    Rounds over all training texts go on until one gains less than ``TOLERANCE`` a token. Where there is much
-   text, the model they begin with has been trained in the same way on a sample of texts, which saves rounds.
+   text, the model they begin with has been trained in the same way on samples of texts, each some times as
+   large as the one before, which saves rounds over all.
 4. Each block meets the counts of its own words again for scoring.
 
 Null and empty texts are one end token. Null ids are in the training part. Repeated rows count as often
@@ -40,12 +41,14 @@ FREQUENT, ENDINGS = 2048, 2048
 CLASSES = 1 + FREQUENT + ENDINGS
 #: Training ends when a round raises the log10 likelihood of a training token by less.
 TOLERANCE = 0.002
-#: Tokens of the sample that the first model is trained on, and the rows it is dealt to.
-SAMPLE, PARTS = 1 << 20, 8
+#: Tokens of the sample that the first model is trained on, the least rows it is dealt to, and how many times as large the next sample is.
+SAMPLE, PARTS, NEXT = 1 << 20, 8, 4
 #: UTF-8 bytes of text in a block, beside its last text.
 BLOCK_BYTES = 32 << 20
 #: Tokens of texts whose recursions go on at once, and half of those that are held.
 LOAD = 200_000
+#: Rows of a product of matrices that sums expected transitions; such sums are added up in double precision.
+MOVES = 1 << 14
 UNIT = float(1 << 14)
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 END = 0
@@ -198,12 +201,12 @@ class Recursion:
         """alpha and scales of the steps from first to last, after prev, and the last alpha."""
         base = self.at[first]
         alpha = self.b[self.obs[base : self.at[last]]]
-        scale = np.empty(len(alpha), alpha.dtype)
+        scale, one = np.empty(len(alpha), alpha.dtype), np.ones(len(self.pi), alpha.dtype)
         for t in range(first, last):
             lo, hi = self.at[t] - base, self.at[t + 1] - base
             x = alpha[lo:hi]
             x *= self.pi if prev is None else prev[: hi - lo] @ self.a
-            s = x.sum(1)
+            s = x @ one
             x /= s[:, None]
             prev, scale[lo:hi] = x, s
         return alpha, scale, prev
@@ -219,7 +222,7 @@ class Recursion:
 
     def expect(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Expected counts of first states, transitions, and emissions (class by state), and the natural log likelihood of all."""
-        k, like, prev, starts = len(self.pi), 0.0, None, []
+        k, like, prev, starts, back = len(self.pi), 0.0, None, [], np.ascontiguousarray(self.a.T)
         for first, last in self.spans:
             starts.append(prev)
             made = self.span(first, last, prev)
@@ -231,24 +234,33 @@ class Recursion:
             alpha, scale = (made if i == len(self.spans) - 1 else self.span(first, last, starts[i]))[:2]
             base, made = self.at[first], None
             obs = self.obs[base : self.at[last]]
-            e = self.b[obs]
+            e, beta = self.b[obs], np.ones_like(alpha)
             e /= scale[:, None]
-            for t in range(last - 1, first - 1, -1):
-                lo, hi = self.at[t] - base, self.at[t + 1] - base
+            if w is not None:
+                lo = self.at[last - 1] - base
+                moves += alpha[lo : lo + len(w)].T @ w
+            at = (self.at[first : last + 1] - base).tolist()
+            for lo, hi in zip(at[-2::-1], at[:0:-1], strict=True):
                 now = e[lo:hi]
                 if w is not None:
                     n = len(w)
-                    moves += alpha[lo : lo + n].T @ w
-                    beta = w @ self.a.T
-                    alpha[lo : lo + n] *= beta
-                    now[:n] *= beta
+                    now[:n] *= np.matmul(w, back, out=beta[lo : lo + n])
                 w = now
             w = w.copy()
+            # each row after the first step moved there from the row of its text a step before
+            step = np.repeat(self.live[first : last - 1], self.live[first + 1 : last])
+            for lo in range(at[1], len(e), MOVES):
+                hi = min(lo + MOVES, len(e))
+                moves += alpha[np.arange(lo, hi) - step[lo - at[1] : hi - at[1]]].T @ e[lo:hi]
+            beta *= alpha
+            begun, alpha, e = beta[: self.live[first]].copy(), None, None
             order = np.argsort(obs, kind="stable")
-            seen = obs[order]
-            edge = np.flatnonzero(np.concatenate(([True], seen[1:] != seen[:-1])))
-            emit[seen[edge]] += np.add.reduceat(alpha[order], edge, axis=0)
-        return alpha[: self.live[0]].sum(0, dtype=np.float64), moves * self.a, emit, like
+            seen, beta = obs[order], beta[order]
+            edge = np.flatnonzero(np.concatenate(([True], seen[1:] != seen[:-1], [True])))
+            one = np.ones(int(np.diff(edge).max()), beta.dtype)
+            for c, lo, hi in zip(seen[edge[:-1]].tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                emit[c] += one[: hi - lo] @ beta[lo:hi] if hi - lo > 1 else beta[lo]
+        return begun.sum(0, dtype=np.float64), moves * self.a, emit, like
 
 
 def _sequences(numbers: np.ndarray, classes: np.ndarray, lengths: np.ndarray, pick: np.ndarray) -> list[np.ndarray]:
@@ -256,8 +268,8 @@ def _sequences(numbers: np.ndarray, classes: np.ndarray, lengths: np.ndarray, pi
     return [np.append(classes[numbers[ends[i] - lengths[i] : ends[i]]], np.uint16(END)) for i in pick]
 
 
-def sampled(blocks: DataFrame, share: float, classes: Classes) -> DataFrame:
-    """About a share of the training texts, picked and dealt by hashes of ids and words: PARTS rows (held, lengths, numbers, classes)."""
+def sampled(blocks: DataFrame, share: float, classes: Classes, n_parts: int = PARTS) -> DataFrame:
+    """About a share of the training texts, picked and dealt by hashes of ids and words: n_parts rows (held, lengths, numbers, classes)."""
     least = int(share * 2**64)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +282,7 @@ def sampled(blocks: DataFrame, share: float, classes: Classes) -> DataFrame:
                     text = flat[ends[i] - lengths[i] : ends[i]].tobytes()
                     h = xxhash.xxh64_intdigest(str(ids[i]).encode() + text)
                     if h < least:
-                        parts.append(h % PARTS)
+                        parts.append(h % n_parts)
                         texts.append(text)
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(texts, pa.binary())], names=["part", "text"])
 
@@ -284,13 +296,14 @@ def sampled(blocks: DataFrame, share: float, classes: Classes) -> DataFrame:
 
 
 def train(blocks: DataFrame, classes: Classes, tolerance: float = TOLERANCE, states: int = STATES, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch over the training texts of all blocks, to the tolerance; from a model of a sample where they have over twice its tokens."""
+    """Baum-Welch over the training texts of all blocks, to the tolerance; from a model of a sample where they have over twice its tokens, that of the largest such sample."""
     model = start(states)
     n = blocks.agg(F.sum("tokens")).first()[0] or 0
-    if n > 2 * sample:
-        some = materialize(sampled(blocks, sample / n, classes), "sample", "gathered")
+    while n > 2 * sample:
+        some = materialize(sampled(blocks, sample / n, classes, max(PARTS, sample // SAMPLE)), "sample", "gathered")
         model = climb(some, None, model, tolerance)
         drop(some)
+        sample *= NEXT
     return climb(blocks.select("held", "lengths", "numbers", "hashes", "endings"), classes, model, tolerance)
 
 

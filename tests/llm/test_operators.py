@@ -506,6 +506,26 @@ def test_recursion_in_spans_is_the_same():
         assert np.allclose(x, y)
 
 
+def test_sums_of_transitions_in_parts_are_the_same(monkeypatch):
+    r = np.random.default_rng(4)
+    seqs = sorted((np.array([*r.integers(1, 50, n), 0], np.uint16) for n in r.integers(1, 90, 30)), key=len, reverse=True)
+    got = []
+    for rows in (7, 1 << 14):
+        monkeypatch.setattr(hmm, "MOVES", rows)
+        got.append(hmm.Recursion(hmm.start(5), seqs, 40).expect())
+    assert all(np.allclose(x, y) for x, y in zip(*got, strict=True))
+
+
+def test_samples_grow_before_all_texts_are_trained_on(spark, monkeypatch):
+    rows = [(i, False, " ".join(f"w{(i * j) % 97}" for j in range(60))) for i in range(150)]
+    blocks, words = hmm.read_blocks(spark.createDataFrame(rows, "doc_id long, _held boolean, text string"))
+    shares, sampled = [], hmm.sampled
+    monkeypatch.setattr(hmm, "sampled", lambda b, share, *a: shares.append(share) or sampled(b, share, *a))
+    hmm.train(blocks, hmm.count_words(words)[1], 0.5, states=4, sample=600)
+    n = 150 * 61
+    assert shares == [600 / n, 2400 / n]
+
+
 def test_baum_welch_raises_likelihood():
     r = np.random.default_rng(1)
     seqs = sorted(([*r.integers(1, 50, n), 0] for n in r.integers(1, 60, 40)), key=len, reverse=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,15 +28,15 @@ FIELD_NAMES = [f.name for f in SCHEMA["fields"].dataType.fields]
 NOTES = "array<struct<number:int,start:int,end:int,sequence:int>>"
 
 
-def read(text: str, o: Options, g: Registry = SEED, notes: list[dict] | None = None, wanted: frozenset[str] = frozenset(("authority_cluster", "url"))) -> list[dict]:
-    """All stages over one text: found, grouped, keyed, resolved, clustered, filtered; clusters and addresses only if wanted."""
+def read(text: str, o: Options, g: Registry = SEED, notes: list[dict] | None = None, wanted: frozenset[str] = frozenset(("key", "authority_cluster", "url"))) -> list[dict]:
+    """All stages over one text: found, grouped, keyed, resolved, clustered, filtered; keys, clusters and addresses only if wanted."""
     citations = find(text, g, o, notes)
     if o.skip_authority_lists:
         listed = authority_list(text, citations)
         citations = [c for c in citations if c["index"] not in listed]
     if o.parallel:
         group(text, citations, g)
-    for c in citations:
+    for c in citations if "key" in wanted or "authority_cluster" in wanted else ():
         c["key"] = key(c, g) if not is_ambiguous(c) else None
     by = {c["index"]: c for c in citations}
     if o.resolve:
@@ -53,18 +54,23 @@ def read(text: str, o: Options, g: Registry = SEED, notes: list[dict] | None = N
 
 
 def schema_for(id_type: T.DataType, columns: tuple[str, ...] | None = None) -> T.StructType:
-    """The schema CITATION, or some of its columns, with ids of a type, and a column for what went wrong."""
-    if columns is not None and (unknown := set(columns) - set(SCHEMA.names) - {"error"}):
+    """The schema CITATION, or some of its columns (fields.note: of fields only note), with ids of a type, and a column for what went wrong."""
+    if columns is not None and (unknown := set(columns) - set(SCHEMA.names) - {"error"} - {f"fields.{n}" for n in FIELD_NAMES}):
         raise ValueError(f"invalid_request: unknown columns: {sorted(unknown)}")
     kept = [f for f in SCHEMA.fields[1:] if columns is None or f.name in columns]
+    parts = [f for f in SCHEMA["fields"].dataType.fields if columns is not None and f"fields.{f.name}" in columns]
+    if parts and "fields" not in columns:
+        kept.append(T.StructField("fields", T.StructType(parts)))
     return T.StructType([T.StructField("doc_id", id_type), *kept, T.StructField("error", T.StringType())])
 
 
 #: Citations that a Python worker holds before it passes them on.
 HELD = 2000
+#: Texts and their notes that it holds as Python objects.
+SLICE = 500
 
-#: Bytes of texts for a core, under which they are dealt out anew before they are read.
-SPREAD = 8 << 20
+#: Bytes of texts for a core, under which they are dealt out anew before they are read: to a part for each core, and to several.
+SPREAD, SEVERAL = 8 << 20, 128 << 20
 
 
 def spread(rows: DataFrame) -> DataFrame:
@@ -73,15 +79,24 @@ def spread(rows: DataFrame) -> DataFrame:
         return rows
     n = rows.sparkSession.sparkContext.defaultParallelism
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return rows.repartition(n) if size < n * SPREAD else rows
+    return rows.repartition(n if size < n * SPREAD else 4 * n) if size < n * SEVERAL else rows
 
 
-def extract(docs: DataFrame, notes: DataFrame | None = None, options: Options | None = None, registry: Registry = SEED, id_col: str = "doc_id", text_col: str = "text", on_error: str = "record", aliases: DataFrame | None = None, columns: tuple[str, ...] | None = None) -> DataFrame:
+def notes_of(column: pa.ListArray) -> Iterator[list[dict] | None]:
+    """The notes of each text, from a column of type NOTES."""
+    flat, at = list(zip(*(c.to_pylist() for c in column.flatten().flatten()), strict=True)), 0
+    for n in pc.list_value_length(column).to_pylist():
+        yield None if n is None else [{"number": i, "start": s, "end": e, "sequence": q} for i, s, e, q in flat[at : at + n]]
+        at += n or 0
+
+
+def extract(docs: DataFrame, notes: DataFrame | str | None = None, options: Options | None = None, registry: Registry = SEED, id_col: str = "doc_id", text_col: str = "text", on_error: str = "record", aliases: DataFrame | None = None, columns: tuple[str, ...] | None = None) -> DataFrame:
     """A row for each citation of each document, in the schema CITATION; ids keep their type.
 
     columns: those of the schema to make, beside doc_id and error; the others cost time and memory in Python too.
 
-    notes: doc_id, number, start, end, sequence. on_error: "record" gives a text that can't be read one row
+    notes: doc_id, number, start, end, sequence; or the name of a column of docs that has a text's notes as an
+    array of number, start, end, sequence, in this order, which spares the join. on_error: "record" gives a text that can't be read one row
     with its id and the error, and nothing else; "raise" ends the job. aliases: written, key, court (see
     apply_aliases); with them there is a column alias_key, which counts go by, unless options.alias_keys is
     false. The map has no shuffle but for the joins with notes and aliases; each text is read by itself.
@@ -95,18 +110,19 @@ def extract(docs: DataFrame, notes: DataFrame | None = None, options: Options |
     schema = schema_for(docs.schema[id_col].dataType, columns)
     names = schema.names[1:-1]
     plain, wanted = [n for n in names if n != "fields"], frozenset(names)
+    parts = schema["fields"].dataType.names if "fields" in wanted else []
     arrow = to_arrow_schema(schema)
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    if notes is None:
-        rows = rows.withColumn("notes", F.lit(None).cast(NOTES))
-    else:
+    within = F.col(f"`{notes}`") if isinstance(notes, str) else F.lit(None)
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), within.cast(NOTES).alias("notes"))
+    if notes is not None and not isinstance(notes, str):
+        rows = rows.drop("notes")
         n = notes.groupBy(F.col("doc_id").alias("_d")).agg(F.sort_array(F.collect_list(F.struct("number", "start", "end", F.coalesce("sequence", F.lit(0)).alias("sequence")))).cast(NOTES).alias("notes"))
         rows = rows.join(n, F.col("doc_id") == F.col("_d"), "left").drop("_d")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
             out = []
-            for doc, text, note in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for doc, text, note in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), notes_of(b.column(2)), strict=True):
                 if not text:
                     continue
                 try:
@@ -120,7 +136,7 @@ def extract(docs: DataFrame, notes: DataFrame | None = None, options: Options |
                     row = {n: c[n] for n in plain}
                     row["doc_id"] = doc
                     if "fields" in wanted:
-                        row["fields"] = {k: c["fields"].get(k) for k in FIELD_NAMES}
+                        row["fields"] = {k: c["fields"].get(k) for k in parts}
                     out.append(row)
                 if len(out) >= HELD:
                     yield pa.RecordBatch.from_pylist(out, schema=arrow)

@@ -261,3 +261,37 @@ def test_every_name_of_the_registry_may_begin_a_core():
     for r in SEED.reporters:
         for name in (*r["editions"], *r["variations"]):
             assert by["reporter"].search(f"12 {name} 34") and by["reporter"].search(f"[2001] {name} 34"), name
+
+
+PIECES = ["Ibid", "ibid.", "IBID", "Id. at 5", "id., ", "supra", "Supra note 3", "above n 4", "(n 5)", "(n x)", "précitée, note 2", "op cit", "op. cit. note 9", "Alder", "Alder's", "Alder2", "of the", " ", ", ", ". ", "; ", "| ", "\n", "“", "R v", "(", ")", "1999", "[2001]", "2001 SCC 5", "12001 SCC 5", "2003 CanLII 50", "[2003] OJ No 55", "2001 SCC at para 4", "é"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=12), st.integers(0, 20), st.integers(0, 80))
+def test_quick_looks_miss_nothing(pieces, start, end):
+    """What is tried only where a first look finds something is what the whole pattern finds everywhere."""
+    from citeloom.operators import find as fi
+    from citeloom.operators import grammar as gr
+
+    text = "".join(pieces)
+    spans = lambda ms: [(m.span(), m.groups()) for m in ms]
+    assert spans(gr.backs(text)) == spans(gr.BACK.finditer(text)) and spans(gr.backs(text, start, end)) == spans(gr.BACK.finditer(text, start, end))
+    assert spans(filter(None, [gr.name_before(text)])) == spans(filter(None, [gr.NAME_BEFORE.search(text)]))
+    years = [m.start() for m in gr.YEAR_AT.finditer(text)]
+    for family, pattern in gr.families(SEED):
+        if family in gr.BY_YEAR:
+            assert spans(fi.matches_at(pattern, text, years)) == spans(pattern.finditer(text)), family
+    for words in (["Alder", "of", "R"], [f"w{i}" for i in range(20)] + ["Alder", "of", "R"]):
+        assert list(fi.places(text, words)) == [(m.start(), m[0]) for m in fi.WORD.finditer(text) if m[0] in words]
+
+
+def test_every_name_of_the_registry_is_looked_for():
+    """The words that names begin with leave out no report and no journal."""
+    from citeloom.operators import grammar as gr
+
+    begun = gr.beginnings(SEED)
+    assert set(begun) == {"reporter", "short", "journal"}
+    for family, rows, kinds in (("reporter", SEED.reporters, ("editions", "variations")), ("journal", SEED.journals, ("variations",))):
+        for name in gr.spellings([x for r in rows for k in kinds for x in r[k]]):
+            for text in (f"12 {name} 34", f"[2001] {name} 34", f"({name} 34"):
+                assert not set(gr.WORD.findall(text)).isdisjoint(begun[family]), text

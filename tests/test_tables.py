@@ -82,6 +82,27 @@ def test_note_queries_make_only_what_they_select(spark):
         assert "antecedent_reason" in made and "interpretations" not in made and "url" not in made, name
 
 
+def test_note_queries_read_where_the_texts_are(spark):
+    """Notes are made beside their text: no join, no window, and of the fields only the note."""
+    from citeloom.plans.queries import QUERIES
+
+    for name in ("ibid_across_notes", "supra_note_and_name", "supra_out_of_range"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Window" not in plan and "Aggregate" not in plan, name
+    assert extract(spark.createDataFrame([(1, "x")], "doc_id long, text string"), columns=("fields.note",)).schema["fields"].dataType.names == ["note"]
+
+
+def test_notes_of_a_column_are_those_of_a_table(spark, monkeypatch):
+    import sys
+
+    monkeypatch.setattr(sys.modules["citeloom.operators.extract"], "SLICE", 3)
+    kind = "array<struct<number:int,start:int,end:int,sequence:int>>"
+    texts = [(i, "R v A, 2016 SCC 1. | Ibid." + " | supra note 1." * (i % 4), [(1, 0, 19, 0), (2, 20, 26, 0)][: i % 3] if i % 5 else None) for i in range(40)]
+    d = spark.createDataFrame(texts, f"doc_id long, text string, notes {kind}").coalesce(2)
+    n = d.selectExpr("doc_id", "inline(notes)")
+    assert sorted(map(repr, extract(d, "notes").collect())) == sorted(map(repr, extract(d, n).collect()))
+
+
 def test_workers_pass_citations_on(spark, monkeypatch):
     """Python workers hold a bounded number of citations, however many texts a batch has."""
     import sys

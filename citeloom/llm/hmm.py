@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -50,7 +51,6 @@ LOAD = 200_000
 #: Rows of a product of matrices that sums expected transitions; such sums are added up in double precision.
 MOVES = 1 << 14
 UNIT = float(1 << 14)
-LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 END = 0
 
 
@@ -59,8 +59,38 @@ def ending(word: bytes) -> int:
     return xxhash.xxh32_intdigest(word[-3:] + bytes([min(len(word), 8)])) % ENDINGS
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+word_hash = xxhash.xxh3_64_intdigest
+
+
+def endings_of(words: pa.Array) -> np.ndarray:
+    """ending() of each word of a binary array, called once for each different last bytes and length."""
+    if not len(words):
+        return np.empty(0, np.uint16)
+    edges = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data, n = np.frombuffer(words.buffers()[2], np.uint8), np.diff(edges)
+    key = np.minimum(n, 8)
+    for k in (1, 2, 3):
+        key |= np.where(n >= k, data[np.maximum(edges[1:] - k, 0)], 0).astype(np.int64) << 8 * k
+    _, first, back = np.unique(key, return_index=True, return_inverse=True)
+    return np.array([ending(w) for w in words.take(pa.array(first)).to_pylist()], np.uint16)[back]
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts (binary) one after the other, A-Z in lower case, and how many each text has."""
+    # these functions go by bytes, whatever the bytes are
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.binary()).view(pa.string())))
+    flat, edges = lists.flatten(), lists.offsets.to_numpy()
+    full = pc.greater(pc.binary_length(flat), 0)
+    upto = np.concatenate(([0], np.cumsum(full.to_numpy(zero_copy_only=False))))
+    return flat.filter(full).view(pa.binary()), np.diff(upto[edges - edges[0]]).astype(np.int32)
+
+
+def number_words(parts: list[pa.Array]) -> tuple[np.ndarray, pa.Array]:
+    """Words as numbers, in the order in which they occur first, and the different words in that order."""
+    told = pa.chunked_array(parts, pa.binary()).dictionary_encode().unify_dictionaries()
+    if not told.num_chunks:
+        return np.empty(0, np.uint32), pa.array([], pa.binary())
+    return np.concatenate([c.indices.to_numpy() for c in told.chunks]).astype(np.uint32), told.chunk(0).dictionary
 
 
 class Classes:
@@ -100,37 +130,44 @@ def read_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         first, made = TaskContext.get().partitionId() << 32, 0
         id_type = None
-        ids, held, numbers, index, load = [], [], [], Numbers(), 0
+        ids, held, lengths, parts, load = [], [], [], [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            block, n = first + made, len(index)
-            lengths = np.array([len(x) for x in numbers], np.int32)
-            flat = np.concatenate(numbers) if numbers else np.empty(0, np.uint32)
-            train = np.repeat(~np.array(held, bool), lengths)
+            block, each = first + made, np.concatenate(lengths)
+            flat, words = number_words(parts)
+            n = len(words)
+            train = np.repeat(~np.array(held, bool), each)
             tf = np.bincount(flat[train], minlength=n) if n else np.empty(0, np.int64)
-            words = list(index)
-            hashes, ends = np.fromiter(map(word_hash, words), np.uint64, n), np.fromiter(map(ending, words), np.uint16, n)
+            hashes, ends = np.fromiter(map(word_hash, words.to_pylist()), np.uint64, n), endings_of(words)
             names = ["kind", "block", "place", "word", "ending", "tf", "ids", "held", "lengths", "numbers", "hashes", "endings", "tokens"]
             kinds = [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.list_(id_type), pa.list_(pa.bool_()), *[pa.binary()] * 4, pa.int64()]
             tokens = int(train.sum()) + held.count(False)
-            values = ["blocks", block, None, None, None, None, ids, held, _pack(lengths), _pack(flat), _pack(hashes), _pack(ends), tokens]
+            values = ["blocks", block, None, None, None, None, ids, held, _pack(each), _pack(flat), _pack(hashes), _pack(ends), tokens]
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
             for i in range(0, n, 50_000):
                 m = min(50_000, n - i)
-                cols = [["words"] * m, [block] * m, np.arange(i, i + m, dtype=np.int32), words[i : i + m], ends[i : i + m].astype(np.int32), tf[i : i + m]]
+                cols = [["words"] * m, [block] * m, np.arange(i, i + m, dtype=np.int32), words.slice(i, m), ends[i : i + m].astype(np.int32), tf[i : i + m]]
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=False)), *(pa.nulls(m, k) for k in kinds[6:])], names=names)
 
         for b in batches:
-            id_type = b.schema.field(0).type
-            for doc, h, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                words = text.translate(LOWER).split()
-                numbers.append(np.fromiter(map(index.__getitem__, words), np.uint32, len(words)))
-                ids.append(doc)
-                held.append(h)
-                load += len(text) + 64
-                if load >= BLOCK_BYTES:
+            id_type, at = b.schema.field(0).type, 0
+            size = np.cumsum(pc.binary_length(b.column(2)).to_numpy().astype(np.int64) + 64)
+            while at < b.num_rows:
+                # a block ends with the text that brings it to BLOCK_BYTES
+                before = int(size[at - 1]) if at else 0
+                upto = int(np.searchsorted(size, before + BLOCK_BYTES - load)) + 1
+                full, upto = upto <= b.num_rows, min(upto, b.num_rows)
+                part = b.slice(at, upto - at)
+                words, n = split_words(part.column(2))
+                ids += part.column(0).to_pylist()
+                held += part.column(1).to_pylist()
+                lengths.append(n)
+                parts.append(words)
+                load += int(size[upto - 1]) - before
+                at = upto
+                if full:
                     yield from out()
-                    ids, held, numbers, index, load, made = [], [], [], Numbers(), 0, made + 1
+                    ids, held, lengths, parts, load, made = [], [], [], [], 0, made + 1
         if ids:
             yield from out()
 
@@ -166,14 +203,6 @@ def _groups(lengths: np.ndarray) -> Iterator[np.ndarray]:
         yield order[cut == k]
 
 
-class Numbers(dict):
-    """Words to numbers, in the order in which they are asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 class Recursion:
     """Scaled forward (and backward) recursions over a group of class sequences at once, longest first; each ends with the end class.
 
@@ -200,7 +229,7 @@ class Recursion:
     def span(self, first: int, last: int, prev: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """alpha and scales of the steps from first to last, after prev, and the last alpha."""
         base = self.at[first]
-        alpha = self.b[self.obs[base : self.at[last]]]
+        alpha = np.take(self.b, self.obs[base : self.at[last]], 0)
         scale, one = np.empty(len(alpha), alpha.dtype), np.ones(len(self.pi), alpha.dtype)
         for t in range(first, last):
             lo, hi = self.at[t] - base, self.at[t + 1] - base
@@ -234,7 +263,7 @@ class Recursion:
             alpha, scale = (made if i == len(self.spans) - 1 else self.span(first, last, starts[i]))[:2]
             base, made = self.at[first], None
             obs = self.obs[base : self.at[last]]
-            e, beta = self.b[obs], np.ones_like(alpha)
+            e, beta = np.take(self.b, obs, 0), np.ones_like(alpha)
             e /= scale[:, None]
             if w is not None:
                 lo = self.at[last - 1] - base
@@ -251,11 +280,11 @@ class Recursion:
             step = np.repeat(self.live[first : last - 1], self.live[first + 1 : last])
             for lo in range(at[1], len(e), MOVES):
                 hi = min(lo + MOVES, len(e))
-                moves += alpha[np.arange(lo, hi) - step[lo - at[1] : hi - at[1]]].T @ e[lo:hi]
+                moves += np.take(alpha, np.arange(lo, hi) - step[lo - at[1] : hi - at[1]], 0).T @ e[lo:hi]
             beta *= alpha
             begun, alpha, e = beta[: self.live[first]].copy(), None, None
             order = np.argsort(obs, kind="stable")
-            seen, beta = obs[order], beta[order]
+            seen, beta = obs[order], np.take(beta, order, 0)
             edge = np.flatnonzero(np.concatenate(([True], seen[1:] != seen[:-1], [True])))
             one = np.ones(int(np.diff(edge).max()), beta.dtype)
             for c, lo, hi in zip(seen[edge[:-1]].tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True):

@@ -491,6 +491,59 @@ def test_hmm(data, empty):
     assert all((x == y).all() for x, y in zip(one, two, strict=True))
 
 
+def test_texts_are_split_and_numbered_as_bytes_are():
+    import random
+
+    import pyarrow as pa
+
+    r, upper, lower = random.Random(3), bytes(range(65, 91)), bytes(range(97, 123))
+    odd = [*b" \t\n\x0b\x0c\r", 0, 0x1C, 0x1F, 0x7F, 0x85, 0xA0, 0xC3, 0xE9, 0xFF, *b"aAbzZ"]
+    for _ in range(400):
+        batches = [[bytes(r.choices(odd, k=r.randint(0, 40))) for _ in range(r.randint(1, 5))] for _ in range(r.randint(1, 3))]
+        split = [t.translate(bytes.maketrans(upper, lower)).split() for b in batches for t in b]
+        told = [hmm.split_words(pa.array([b"x Y", *b], pa.binary()).slice(1)) for b in batches]
+        numbers, words = hmm.number_words([w for w, _ in told])
+        place = {w: i for i, w in enumerate(dict.fromkeys(w for ws in split for w in ws))}
+        assert [n for _, ns in told for n in ns] == [len(ws) for ws in split]
+        assert words.to_pylist() == list(place) and numbers.tolist() == [place[w] for ws in split for w in ws]
+        assert hmm.endings_of(words).tolist() == [hmm.ending(w) for w in place]
+
+
+def test_blocks_end_with_the_text_that_fills_them(spark, monkeypatch):
+    import pyarrow as pa
+
+    rows = [(i, i % 7 == 2, "w " * (i * 37 % 90)) for i in range(200)]
+    want, load = [[]], 0
+    for i, _, text in rows:
+        want[-1].append(i)
+        load += len(text) + 64
+        if load >= 1000:
+            want, load = [*want, []], 0
+    monkeypatch.setattr(hmm, "BLOCK_BYTES", 1000)
+    made = []
+    monkeypatch.setattr(hmm, "_pack", lambda x: made.append(len(x)) or x.tobytes())
+
+    class Docs:
+        """Stands for a table: calls the function that a worker would run, on batches of 30 rows."""
+
+        sparkSession = spark
+        schema = spark.createDataFrame([], "_id long, _held boolean, _t binary").schema
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            t = pa.table({"_id": [r[0] for r in rows], "_held": [r[1] for r in rows], "_t": pa.array([r[2].encode() for r in rows], pa.binary())})
+            monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("C", (), {"partitionId": lambda self: 0})())
+            self.got = [b.to_pylist()[0]["ids"] for b in run(iter(t.to_batches(max_chunksize=30))) if b.column(0)[0].as_py() == "blocks"]
+            raise StopIteration
+
+    docs = Docs()
+    with pytest.raises(StopIteration):
+        hmm.read_blocks(docs)
+    assert docs.got == [w for w in want if w]
+
+
 def test_hmm_beats_its_base_on_held_out_text(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = hmm.digest(docs).where("held_out").agg(F.sum("n_tokens").alias("n"), F.sum("base_score").alias("base"), F.sum("score").alias("score"), F.avg((F.col("score") < F.col("base_score")).cast("int")).alias("worse")).first()

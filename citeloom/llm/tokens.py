@@ -18,8 +18,8 @@ repeated rows can't, and they stand one after the other. An empty table gives no
 
 from __future__ import annotations
 
+import codecs
 import json
-import struct
 import unicodedata
 import uuid
 import zlib
@@ -28,6 +28,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,8 +39,10 @@ from .scratch import bound_batches, make_dir, materialize, new_path
 LENGTH, END_ID = 2048, 2
 #: Sequences in a batch of a file.
 BATCH = 256
-#: Words whose ids a worker remembers; beyond, it forgets all and begins anew.
+#: Words whose ids a worker remembers, in two halves; when one is full, it forgets the older.
 REMEMBERED = 300_000
+#: Bytes of texts that are encoded at once, so that each of their different words is looked up once.
+ENCODED = 16 << 20
 
 
 @cache
@@ -60,7 +63,8 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-LETTERS = byte_letters()
+#: The same as a table for decoding; blanks stay, they stand between pieces.
+LETTERS = "".join(" " if b == 32 else c for b, c in sorted(byte_letters().items()))
 #: The steps before the model in vocabularies whose words stand for themselves.
 BY_WORDS = (
     {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -76,64 +80,141 @@ class Encoder:
 
     A tokenizer with the steps BY_WORDS drops ASCII white space and makes no token across it, so a text's ids
     are its words' ids one after the other (tests hold this against encoding whole texts). Words are kept as UTF-8. A word of
-    composed letters is normalised by lower case alone and is one piece, so it goes to the tokenizer's model
-    directly; so does such a word before a run of marks. Every other word takes the whole way.
+    composed letters is normalised by lower case alone and is one piece, whose last token alone has the suffix
+    of words' ends. So many such words go to the tokenizer's model at once, and their ids are cut at these
+    tokens; so do such words before a run of marks. Every other word takes the whole way.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = tokenizer(path), {}
-        self.model = self.tokenizer.model
-        self.packers = [struct.Struct(f"<{n}I").pack for n in range(256)]
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
+        self.tokenizer = tokenizer(path)
+        #: Ids of words met of late, and of those met before them.
+        self.known, self.older = {}, {}
         steps = json.loads(self.tokenizer.to_str())
-        self.by_words = (steps["normalizer"], steps["pre_tokenizer"]) == BY_WORDS
+        suffix = steps["model"].get("end_of_word_suffix")
+        self.by_words = (steps["normalizer"], steps["pre_tokenizer"]) == BY_WORDS and bool(suffix)
+        if self.by_words:
+            self.pieces = Tokenizer(self.tokenizer.model)
+            self.pieces.pre_tokenizer = WhitespaceSplit()
+            vocabulary = self.tokenizer.get_vocab()
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
 
     def whole(self, words: list[bytes]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         return [np.array(e.ids, np.uint32).tobytes() for e in got]
 
-    def letters(self, word: bytes) -> bytes | None:
-        """The ids of a word of letters; None if it is no such word."""
-        if len(word) > 60:
-            return None
-        if word.isalpha():
-            piece = word.lower().decode()
-        else:
-            low = (text := word.decode()).replace("Σ", "σ").lower()  # a last sigma is like others there
-            if not text.isalpha() or not low.isalpha() or not unicodedata.is_normalized("NFC", text):
-                return None
-            piece = low.encode().decode("latin-1").translate(LETTERS)
-        ids = [t.id for t in self.model.tokenize(piece)]
-        return self.packers[len(ids)](*ids)
-
-    def learn(self, words: set[bytes]) -> None:
-        known, letters, rest = self.known, self.letters, []
+    def letters(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words of letters in lower case."""
+        piece = codecs.charmap_decode(b" ".join(words), "strict", LETTERS)[0]
+        ids = np.array(self.pieces.encode_batch_fast([piece], add_special_tokens=False)[0].ids, np.uint32)
+        ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+        if len(ends) != len(words):  # a byte that the vocabulary lacks
+            return self.whole(words)
+        flat = ids.tobytes()
+        return [flat[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+    def learn(self, words: list[bytes]) -> None:
+        known, lows, mine, rest = self.known, {}, [], []
         for w in words:
             base = w.rstrip(MARKS)
-            ids = (known.get(base) if base.isalpha() else None) or letters(base) if base else None
-            if ids is None:
+            low = lower(base)
+            if low is None:
                 rest.append(w)
-            elif len(base) == len(w):
-                known[w] = ids
             else:
-                end = w[len(base) :]
-                if end not in known:
-                    known[end] = self.whole([end])[0]
-                known[w] = ids + known[end]
-        for i in range(0, len(rest), 5000):
-            part = rest[i : i + 5000]
+                mine.append((w, lows.setdefault(low, len(lows)), w[len(base) :]))
+        rest += {end for _, _, end in mine if end and end not in known}
+        for part in spans(rest):
             known.update(zip(part, self.whole(part), strict=True))
+        ids = [x for part in spans(list(lows)) for x in self.letters(part)]
+        for w, i, end in mine:
+            known[w] = ids[i] + known[end] if end else ids[i]
+
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of different words."""
+        if len(self.known) + len(words) > REMEMBERED // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = []
+        for w in words:
+            if w not in known:
+                if (ids := older.get(w)) is None:
+                    new.append(w)
+                else:
+                    known[w] = ids
+        self.learn(new)
+        return [known[w] for w in words]
+
+    def flat(self, texts: pa.Array, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (strings without null) one after the other, each with these after it, and how many each has."""
+        if not self.by_words:
+            got = [np.array(e.ids + end, np.uint32) for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.empty(0, np.uint32), *got]), np.array([len(e) for e in got], np.int64)
+        lists = pc.ascii_split_whitespace(texts.cast(pa.string()))
+        told = lists.flatten().cast(pa.binary()).dictionary_encode()
+        place, different = told.indices.to_numpy(), values(told.dictionary)
+        # splitting leaves empty words at the edges of texts: they have no ids; the ids after each text are one more word
+        ids = [*self.words(list(filter(None, different))), np.array(end, np.uint32).tobytes()]
+        if b"" in different:
+            ids.insert(different.index(b""), b"")
+        edges = lists.offsets.to_numpy().astype(np.int64)
+        edges -= edges[0]
+        place = np.insert(place, edges[1:], len(ids) - 1)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begin, n = (np.cumsum(size) - size)[place], size[place]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        at = np.repeat((begin - upto[:-1]).astype(np.int32 if upto[-1] < 1 << 31 else np.int64), n)
+        at += np.arange(upto[-1], dtype=at.dtype)
+        return np.frombuffer(b"".join(ids), np.uint32)[at], np.diff(upto[edges + np.arange(len(edges))])
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.by_words:
-            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        known, words = self.known, [t.encode().split() for t in texts]
-        new = {w for ws in words for w in ws if w not in known}
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = {w for ws in words for w in ws}
-            self.learn(new)
-        return [np.frombuffer(b"".join(map(known.__getitem__, ws)), np.uint32) for ws in words]
+        flat, n = self.flat(pa.array(texts, pa.string()), [])
+        return np.split(flat, np.cumsum(n)[:-1])
+
+
+def lower(word: bytes) -> bytes | None:
+    """A word of composed letters in lower case, as the vocabularies' steps make it; None for every other word."""
+    if len(word) > 60:
+        return None
+    if word.isalpha():
+        return word.lower()
+    if word.isascii():
+        return None
+    low = (text := word.decode()).replace("Σ", "σ").lower()  # a last sigma is like others there
+    return low.encode() if text.isalpha() and low.isalpha() and unicodedata.is_normalized("NFC", text) else None
+
+
+def values(words: pa.Array) -> list[bytes]:
+    """The values of a binary array without null."""
+    edges = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].tolist() if len(words) else [0]
+    data = words.buffers()[2].to_pybytes() if len(words) else b""
+    return [data[i:j] for i, j in zip(edges, edges[1:], strict=False)]
+
+
+def spans(words: list[bytes], n: int = 5000) -> Iterator[list[bytes]]:
+    return (words[i : i + n] for i in range(0, len(words), n))
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a worker, which go on with the words of those before."""
+    return Encoder(path)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], limit: int = ENCODED) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in lists of at most so many bytes, or of one batch; empty ones are left out."""
+    held, load = [], 0
+    for b in batches:
+        if held and load + b.nbytes > limit:
+            yield held
+            held, load = [], 0
+        if b.num_rows:
+            held.append(b)
+            load += b.nbytes
+    if held:
+        yield held
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -202,18 +283,19 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder, packer = TaskContext.get().partitionId(), None, None
-        for b in batches:
+        part, encode, packer = TaskContext.get().partitionId(), None, None
+        for held in gathered(batches):
+            b = held[0]
             if packer is None:
-                encoder = Encoder(vocabulary)
-                width = pa.uint16() if encoder.tokenizer.get_vocab_size() <= 1 << 16 else pa.uint32()
+                encode = encoder(vocabulary)
+                width = pa.uint16() if encode.tokenizer.get_vocab_size() <= 1 << 16 else pa.uint32()
                 file = f"{path}/part-{part:05d}-{uuid.uuid4().hex}.arrow"
                 packer = Packer(file, b.schema.field(0).type, width, length)
-            ids = b.column(0).to_pylist()
-            texts = b.column(1).to_pylist()
-            for i in range(0, len(texts), 64):
-                for doc, e in zip(ids[i : i + 64], encoder.ids(texts[i : i + 64]), strict=True):
-                    packer.add(doc, np.append(e, np.uint32(end_id)))
+            ids = [i for b in held for i in b.column(0).to_pylist()]
+            flat, n = encode.flat(pa.concat_arrays([b.column(1) for b in held]), [end_id])
+            upto = np.cumsum(n)
+            for doc, at, end in zip(ids, (upto - n).tolist(), upto.tolist(), strict=True):
+                packer.add(doc, flat[at:end])
         if packer is not None:
             packer.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [file], "n_docs": [packer.docs], "n_tokens": [packer.total]})

@@ -308,6 +308,25 @@ def test_encoder_is_exact_on_odd_texts():
         assert e.ids([text])[0].tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
+def test_encoder_looks_each_different_word_up_once(monkeypatch):
+    import pyarrow as pa
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    t, e, learned = Tokenizer.from_file(path("word_bpe_49k.json")), tokens.Encoder(path("word_bpe_49k.json")), []
+    monkeypatch.setattr(tokens, "REMEMBERED", 40)
+    learn = e.learn
+    monkeypatch.setattr(e, "learn", lambda ws: (learned.extend(ws), learn(ws)))
+    texts = [" ".join(f"Wort{chr(97 + i * j % 13)}é, ÉTÉ\n's{i % 3}" for j in range(30)) for i in range(100)] + ["", " \t", " a"]
+    flat, n = e.flat(pa.array(["left out", *texts]).slice(1), [2])
+    want = [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+    assert n.tolist() == [len(w) for w in want] and flat.tolist() == [i for w in want for i in w]
+    assert len(learned) == len(set(learned))
+    # words met a list before are still known
+    more = len(learned)
+    assert [x.tolist() for x in e.ids(texts[:5])] == [w[:-1] for w in want[:5]] and len(learned) == more
+
+
 def test_other_vocabularies_are_encoded_whole():
     from public_tokenizers import path
     from tokenizers import Tokenizer

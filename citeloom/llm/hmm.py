@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from .langid import fold
 from .scratch import bound_batches, drop, join_counted, make_dir, materialize, new_path
+from .tokens import values
 
 STATES, SEED = 32, 7
 #: Classes: the end of a text, the commonest words, and the endings of all others.
@@ -46,8 +47,8 @@ TOLERANCE = 0.002
 SAMPLE, PARTS, NEXT = 1 << 20, 8, 4
 #: UTF-8 bytes of text in a block, beside its last text.
 BLOCK_BYTES = 32 << 20
-#: Tokens of texts whose recursions go on at once, and half of those that are held.
-LOAD = 200_000
+#: Tokens of texts whose recursions go on at once, and of the steps that are held.
+LOAD, HELD = 400_000, 500_000
 #: Rows of a product of matrices that sums expected transitions; such sums are added up in double precision.
 MOVES = 1 << 14
 UNIT = float(1 << 14)
@@ -87,9 +88,10 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 def number_words(parts: list[pa.Array]) -> tuple[np.ndarray, pa.Array]:
     """Words as numbers, in the order in which they occur first, and the different words in that order."""
+    if sum(p.nbytes for p in parts) < 1 << 31:  # as one array, whose words are looked up once
+        told = pa.concat_arrays([*parts, pa.array([], pa.binary())]).dictionary_encode()
+        return told.indices.to_numpy().astype(np.uint32), told.dictionary
     told = pa.chunked_array(parts, pa.binary()).dictionary_encode().unify_dictionaries()
-    if not told.num_chunks:
-        return np.empty(0, np.uint32), pa.array([], pa.binary())
     return np.concatenate([c.indices.to_numpy() for c in told.chunks]).astype(np.uint32), told.chunk(0).dictionary
 
 
@@ -138,16 +140,16 @@ def read_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             n = len(words)
             train = np.repeat(~np.array(held, bool), each)
             tf = np.bincount(flat[train], minlength=n) if n else np.empty(0, np.int64)
-            hashes, ends = np.fromiter(map(word_hash, words.to_pylist()), np.uint64, n), endings_of(words)
+            hashes, ends = np.fromiter(map(word_hash, values(words)), np.uint64, n), endings_of(words)
             names = ["kind", "block", "place", "word", "ending", "tf", "ids", "held", "lengths", "numbers", "hashes", "endings", "tokens"]
             kinds = [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.list_(id_type), pa.list_(pa.bool_()), *[pa.binary()] * 4, pa.int64()]
             tokens = int(train.sum()) + held.count(False)
-            values = ["blocks", block, None, None, None, None, ids, held, _pack(each), _pack(flat), _pack(hashes), _pack(ends), tokens]
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
+            row = ["blocks", block, None, None, None, None, ids, held, _pack(each), _pack(flat), _pack(hashes), _pack(ends), tokens]
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
             for i in range(0, n, 50_000):
                 m = min(50_000, n - i)
-                cols = [["words"] * m, [block] * m, np.arange(i, i + m, dtype=np.int32), words.slice(i, m), ends[i : i + m].astype(np.int32), tf[i : i + m]]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=False)), *(pa.nulls(m, k) for k in kinds[6:])], names=names)
+                cols = [pa.repeat("words", m), pa.repeat(block, m), np.arange(i, i + m, dtype=np.int32), words.slice(i, m), ends[i : i + m].astype(np.int32), tf[i : i + m]]
+                yield pa.RecordBatch.from_arrays([*(c.cast(k) if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(cols, kinds, strict=False)), *(pa.nulls(m, k) for k in kinds[6:])], names=names)
 
         for b in batches:
             id_type, at = b.schema.field(0).type, 0
@@ -206,7 +208,7 @@ def _groups(lengths: np.ndarray) -> Iterator[np.ndarray]:
 class Recursion:
     """Scaled forward (and backward) recursions over a group of class sequences at once, longest first; each ends with the end class.
 
-    Steps are taken in spans of about 2 * LOAD tokens. The forward recursion holds one span; the backward one
+    Steps are taken in spans of about HELD tokens. The forward recursion holds one span; the backward one
     holds one too and makes it again from the state at its start, so that a text of any length has room.
     """
 
@@ -222,7 +224,7 @@ class Recursion:
         step = np.repeat(np.arange(longest), self.live)
         self.which = np.arange(len(flat)) - np.repeat(self.at[:-1], self.live)
         self.obs = flat[begin[self.which] + step]
-        cut = self.at[:-1] // (load or 2 * LOAD)
+        cut = self.at[:-1] // (load or HELD)
         edges = np.flatnonzero(np.concatenate(([True], cut[1:] != cut[:-1])))
         self.spans = list(zip(edges.tolist(), [*edges[1:].tolist(), longest], strict=True))
 
@@ -263,17 +265,17 @@ class Recursion:
             alpha, scale = (made if i == len(self.spans) - 1 else self.span(first, last, starts[i]))[:2]
             base, made = self.at[first], None
             obs = self.obs[base : self.at[last]]
-            e, beta = np.take(self.b, obs, 0), np.ones_like(alpha)
+            e, beta = np.take(self.b, obs, 0), np.empty_like(alpha)
             e /= scale[:, None]
             if w is not None:
                 lo = self.at[last - 1] - base
                 moves += alpha[lo : lo + len(w)].T @ w
             at = (self.at[first : last + 1] - base).tolist()
             for lo, hi in zip(at[-2::-1], at[:0:-1], strict=True):
-                now = e[lo:hi]
-                if w is not None:
-                    n = len(w)
+                now, n = e[lo:hi], 0 if w is None else len(w)
+                if n:
                     now[:n] *= np.matmul(w, back, out=beta[lo : lo + n])
+                beta[lo + n : hi] = 1
                 w = now
             w = w.copy()
             # each row after the first step moved there from the row of its text a step before

@@ -569,6 +569,17 @@ def test_hmm_beats_its_base_on_held_out_text(spark):
     assert (r["score"] - r["base"]) / r["n"] > 0.3 and r["worse"] < 0.1
 
 
+def test_words_of_a_block_are_numbered_as_one_array(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.delattr(pa, "chunked_array")
+    parts = [pa.array([b"left", b"b", b"a", b"b"]).slice(1), pa.array([], pa.binary()), pa.array([b"c", "é".encode(), b"a"])]
+    flat, words = hmm.number_words(parts)
+    assert flat.dtype == np.uint32 and flat.tolist() == [0, 1, 0, 2, 3, 1] and words.to_pylist() == [b"b", b"a", b"c", "é".encode()] == tokens.values(words)
+    flat, words = hmm.number_words([])
+    assert len(flat) == len(words) == 0 and tokens.values(words) == []
+
+
 def test_recursion_in_spans_is_the_same():
     r = np.random.default_rng(2)
     seqs = sorted((np.array([*r.integers(1, 50, n), 0], np.uint16) for n in r.integers(1, 90, 30)), key=len, reverse=True)

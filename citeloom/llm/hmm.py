@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .langid import fold
-from .scratch import bound_batches, drop, join_counted, make_dir, materialize, new_path
+from .scratch import bound_batches, drop, give_back, giving_back, join_counted, make_dir, materialize, new_path
 from .tokens import values
 
 STATES, SEED = 32, 7
@@ -49,8 +49,8 @@ SAMPLE, PARTS, NEXT = 1 << 20, 8, 4
 BLOCK_BYTES = 32 << 20
 #: Tokens of texts whose recursions go on at once, and of the steps that are held.
 LOAD, HELD = 400_000, 500_000
-#: Rows of a product of matrices that sums expected transitions; such sums are added up in double precision.
-MOVES = 1 << 14
+#: Rows of a part of the backward recursion and of the products that sum expected counts; such sums are added up in double precision.
+MOVES = 1 << 13
 UNIT = float(1 << 14)
 END = 0
 
@@ -181,7 +181,7 @@ def read_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     before = spark.conf.get(writers, None)
     spark.conf.set(writers, "2")
     try:
-        rows.mapInArrow(run, f"kind string, {word}, {block}").write.partitionBy("kind").option("compression", "zstd").parquet(path)
+        rows.mapInArrow(giving_back(run), f"kind string, {word}, {block}").write.partitionBy("kind").option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(writers, before) if before is not None else spark.conf.unset(writers)
     for kind in ("blocks", "words"):
@@ -210,6 +210,8 @@ class Recursion:
 
     Steps are taken in spans of about HELD tokens. The forward recursion holds one span; the backward one
     holds one too and makes it again from the state at its start, so that a text of any length has room.
+    Within a span it goes by parts of about MOVES rows, and what it makes of a part takes the part's place,
+    so that one table of a span's steps and states is held and not one for each of its factors.
     """
 
     def __init__(self, model: tuple, sequences: list[np.ndarray], load: int | None = None):
@@ -256,42 +258,48 @@ class Recursion:
         k, like, prev, starts, back = len(self.pi), 0.0, None, [], np.ascontiguousarray(self.a.T)
         for first, last in self.spans:
             starts.append(prev)
+            made = None
             made = self.span(first, last, prev)
             like += float(np.log(made[1], dtype=np.float64).sum())
             prev = made[2].copy()
-        moves, emit, w = np.zeros((k, k)), np.zeros((len(self.b), k)), None
+        moves, emit, w, one = np.zeros((k, k)), np.zeros((len(self.b), k)), None, np.ones(MOVES, self.b.dtype)
         for i in range(len(self.spans) - 1, -1, -1):
             first, last = self.spans[i]
             alpha, scale = (made if i == len(self.spans) - 1 else self.span(first, last, starts[i]))[:2]
             base, made = self.at[first], None
-            obs = self.obs[base : self.at[last]]
-            e, beta = np.take(self.b, obs, 0), np.empty_like(alpha)
-            e /= scale[:, None]
+            obs, at = self.obs[base : self.at[last]], self.at[first : last + 1] - base
             if w is not None:
-                lo = self.at[last - 1] - base
-                moves += alpha[lo : lo + len(w)].T @ w
-            at = (self.at[first : last + 1] - base).tolist()
-            for lo, hi in zip(at[-2::-1], at[:0:-1], strict=True):
-                now, n = e[lo:hi], 0 if w is None else len(w)
-                if n:
-                    now[:n] *= np.matmul(w, back, out=beta[lo : lo + n])
-                beta[lo + n : hi] = 1
-                w = now
-            w = w.copy()
+                moves += alpha[at[-2] : at[-2] + len(w)].T @ w
             # each row after the first step moved there from the row of its text a step before
             step = np.repeat(self.live[first : last - 1], self.live[first + 1 : last])
-            for lo in range(at[1], len(e), MOVES):
-                hi = min(lo + MOVES, len(e))
-                moves += np.take(alpha, np.arange(lo, hi) - step[lo - at[1] : hi - at[1]], 0).T @ e[lo:hi]
-            beta *= alpha
-            begun, alpha, e = beta[: self.live[first]].copy(), None, None
+            cut = at[:-1] // MOVES
+            edges = [*np.flatnonzero(np.concatenate(([True], cut[1:] != cut[:-1]))).tolist(), last - first]
+            for p, q in zip(edges[-2::-1], edges[:0:-1], strict=True):
+                low, high = int(at[p]), int(at[q])
+                e = np.take(self.b, obs[low:high], 0)
+                e /= scale[low:high, None]
+                beta, own = np.empty_like(e), (at[p : q + 1] - low).tolist()
+                for lo, hi in zip(own[-2::-1], own[:0:-1], strict=True):
+                    now, n = e[lo:hi], 0 if w is None else len(w)
+                    if n:
+                        now[:n] *= np.matmul(w, back, out=beta[lo : lo + n])
+                    beta[lo + n : hi] = 1
+                    w = now
+                for lo in range(max(low, int(at[1])), high, MOVES):
+                    hi = min(lo + MOVES, high)
+                    moves += np.take(alpha, np.arange(lo, hi) - step[lo - at[1] : hi - at[1]], 0).T @ e[lo - low : hi - low]
+                alpha[low:high] *= beta
+            w, e, beta, now = w.copy(), None, None, None
+            begun = alpha[: self.live[first]].sum(0, dtype=np.float64)
             order = np.argsort(obs, kind="stable")
-            seen, beta = obs[order], np.take(beta, order, 0)
-            edge = np.flatnonzero(np.concatenate(([True], seen[1:] != seen[:-1], [True])))
-            one = np.ones(int(np.diff(edge).max()), beta.dtype)
-            for c, lo, hi in zip(seen[edge[:-1]].tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                emit[c] += one[: hi - lo] @ beta[lo:hi] if hi - lo > 1 else beta[lo]
-        return begun.sum(0, dtype=np.float64), moves * self.a, emit, like
+            for low in range(0, len(order), MOVES):
+                rows = np.take(alpha, order[low : low + MOVES], 0)
+                seen = obs[order[low : low + MOVES]]
+                edge = np.flatnonzero(np.concatenate(([True], seen[1:] != seen[:-1], [True])))
+                for c, lo, hi in zip(seen[edge[:-1]].tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                    emit[c] += one[: hi - lo] @ rows[lo:hi] if hi - lo > 1 else rows[lo]
+            alpha = None
+        return begun, moves * self.a, emit, like
 
 
 def _sequences(numbers: np.ndarray, classes: np.ndarray, lengths: np.ndarray, pick: np.ndarray) -> list[np.ndarray]:
@@ -322,7 +330,7 @@ def sampled(blocks: DataFrame, share: float, classes: Classes, n_parts: int = PA
         lengths, flat = np.array([len(x) for x in texts], np.int32), np.concatenate(texts).astype(np.uint32)
         return pa.table({"held": pa.array([[False] * len(texts)], pa.list_(pa.bool_())), "lengths": [_pack(lengths)], "numbers": [_pack(flat)], "classes": [_pack(np.arange(CLASSES, dtype=np.uint16))]})
 
-    rows = blocks.select("ids", "held", "lengths", "numbers", "hashes", "endings").mapInArrow(pick, "part int, text binary")
+    rows = blocks.select("ids", "held", "lengths", "numbers", "hashes", "endings").mapInArrow(giving_back(pick), "part int, text binary")
     return rows.groupBy("part").applyInArrow(gather, "held array<boolean>, lengths binary, numbers binary, classes binary")
 
 
@@ -359,7 +367,7 @@ def climb(rows: DataFrame, classes: Classes | None, model: tuple, tolerance: flo
                 at = np.flatnonzero(total)
                 yield pa.RecordBatch.from_pydict({"i": at.astype(np.int32), "n": total[at]})
 
-        got = rows.mapInArrow(expect, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()  # a row for each number of the model at most
+        got = rows.mapInArrow(giving_back(expect), "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()  # a row for each number of the model at most
         if not got.num_rows:
             return model
         sums = np.zeros(size)
@@ -383,6 +391,7 @@ def score_blocks(blocks: DataFrame, words: DataFrame, model: tuple, classes: Cla
     floor = np.log10(n_tokens + distinct + 1)
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        give_back()  # what the block before has left
         place, c = right.column("place").to_numpy(), right.column("c").to_numpy()
         count = np.zeros(len(place), np.int64)
         count[place] = c

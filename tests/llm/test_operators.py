@@ -599,6 +599,44 @@ def test_sums_of_transitions_in_parts_are_the_same(monkeypatch):
     assert all(np.allclose(x, y) for x, y in zip(*got, strict=True))
 
 
+def test_expected_counts_hold_one_table_of_their_steps():
+    import tracemalloc
+
+    r = np.random.default_rng(5)
+    seqs = sorted((np.array([*r.integers(1, 4000, n), 0], np.uint16) for n in r.integers(300, 500, 300)), key=len, reverse=True)
+    model = tuple(x.astype(np.float32) for x in hmm.start())
+    table = sum(map(len, seqs)) * hmm.STATES * 4
+    for load, spans in ((None, 1), (80_000, 2)):
+        recursion = hmm.Recursion(model, seqs, load)
+        tracemalloc.start()
+        recursion.expect()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(recursion.spans) == spans and peak < 1.9 * table
+
+
+def test_workers_give_back_what_a_task_has_freed():
+    import subprocess
+    import sys
+
+    code = """
+from pathlib import Path
+from citeloom.llm.scratch import giving_back
+def run(batches):
+    held = [bytearray(3000) for _ in range(100_000)]
+    kept.append(bytearray(3000))  # above all others, so that the allocator alone can return none
+    yield from batches
+kept, got, mb = [], [], lambda: int(Path('/proc/self/statm').read_text().split()[1]) >> 8
+before = mb()
+for wrap in (lambda f: f, giving_back):
+    assert list(wrap(run)(iter([1]))) == [1]
+    got.append(mb() - before)
+print(*got)
+"""
+    alone, after = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert alone > 250 and after < 60
+
+
 def test_samples_grow_before_all_texts_are_trained_on(spark, monkeypatch):
     rows = [(i, False, " ".join(f"w{(i * j) % 97}" for j in range(60))) for i in range(150)]
     blocks, words = hmm.read_blocks(spark.createDataFrame(rows, "doc_id long, _held boolean, text string"))
